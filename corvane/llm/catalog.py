@@ -7,12 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import line_dedup, sharding, url_filter
+from corvane.llm import decontaminate, language_id, line_dedup, sharding, token_files, url_filter
+from corvane.llm.shared import scratch
 from corvane.sources.tables import table
 
 #: Host and path rules of op6.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 N_SHARDS = 40
+#: Id that op1 puts after each document.
+END_ID = 2
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; only these queries depend on that package, operators take paths."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = token_files.write_tokens(docs, vocabulary("byte_bpe_50k.json"), scratch(spark, "tokens"), end_id=END_ID)
+    return token_files.read_digests(manifest, docs.schema["doc_id"].dataType)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +41,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~language_id.held_out("doc_id")))
+    return language_id.predict(docs.drop("lang").withColumn("held_out", language_id.held_out("doc_id")), model).drop("text")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard_by_bytes(docs, N_SHARDS).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -30,6 +57,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
+OP5_SQL = f"""
+WITH plain AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), worded AS (
+  SELECT side, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\u0080-\U0010ffff]+') AS w FROM plain
+), item_len AS (
+  SELECT id, least(len(w), {decontaminate.SHINGLE}) AS n, w FROM worded WHERE side = 'i' AND len(w) > 0
+), item_grams AS (
+  SELECT DISTINCT id AS item_id, n, array_to_string(w[k : k + n - 1], ' ') AS gram
+  FROM (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM item_len)
+), doc_grams AS (
+  SELECT DISTINCT id AS doc_id, n, array_to_string(w[k : k + n - 1], ' ') AS gram
+  FROM (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM worded, (SELECT DISTINCT n FROM item_len) WHERE side = 'd')
+), pairs AS (
+  SELECT doc_id, item_id, count(*) AS n_shared FROM doc_grams JOIN item_grams USING (n, gram) GROUP BY ALL
+)
+SELECT doc_id, item_id, n_item::BIGINT AS n_item, n_shared::BIGINT AS n_shared, n_shared / n_item AS containment
+FROM pairs JOIN (SELECT item_id, count(*) AS n_item FROM item_grams GROUP BY ALL) USING (item_id)
+WHERE n_shared >= {decontaminate.THRESHOLD} * n_item
+"""
+
 OP10_SQL = f"""
 WITH lines AS (
   SELECT doc_id, source, trim(line, ' ') AS line
@@ -56,11 +104,14 @@ UNION ALL SELECT doc_id, 0, 0, md5('') FROM documents WHERE text IS NULL
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
+        "op5_decontamination": op5_decontamination,
         "op6_url_filter": op6_url_filter,
+        "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
         "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op5_decontamination": OP5_SQL, "op10_line_dedup": OP10_SQL}
