@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import decontaminate, language_id, line_dedup, sharding, token_files, url_filter
+from corvane.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dedup, quality, sharding, suffix_dedup, token_files, url_filter
 from corvane.llm.shared import scratch
 from corvane.sources.tables import table
 
@@ -31,6 +31,24 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(manifest, docs.schema["doc_id"].dataType)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.remove_repeats(docs)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, ranks = table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken")
+    found = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -41,6 +59,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.clean_lines(docs, with_text=False)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(docs.where(~language_id.held_out("doc_id")))
@@ -105,8 +128,12 @@ UNION ALL SELECT doc_id, 0, 0, md5('') FROM documents WHERE text IS NULL
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
+        "op2_suffix_dedup": op2_suffix_dedup,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_near_dedup": op4_near_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_url_filter": op6_url_filter,
+        "op7_quality_rules": op7_quality_rules,
         "op8_language_id": op8_language_id,
         "op9_sharding": op9_sharding,
         "op10_line_dedup": op10_line_dedup,
