@@ -1,7 +1,7 @@
 """Removal of byte strings of a given length that occur more than once, by merged Burrows-Wheeler transforms.
 
 Every window of LENGTH bytes belongs to the lowest hash among its K-byte strings, so equal windows belong to the same
-hash wherever they stand. A maximal run of windows with one lowest hash is a piece; equal pieces are counted before
+hash wherever they stand. A maximal run of windows with their lowest hash in one place is a piece; equal pieces are counted before
 anything is shuffled by content, and pieces of one hash that differ go to the same bucket. A bucket splits its
 pieces into shards, sorts each shard's rotations, and merges the shards' Burrows-Wheeler transforms by iterative interleave
 refinement: every round orders the interleave by Q more symbols, and marks where common prefixes end. After LENGTH symbols,
@@ -27,14 +27,18 @@ K = 32
 BUCKET_BYTES = 1 << 20
 SHARDS = 4
 
+_HIGH = np.uint64((1 << 64) - (1 << 22))
+
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lowest hash, document, first window, last window + 1) of the pieces of a slice's documents."""
+    """(lowest hash, document, first window, last window + 1) of the pieces of a slice's documents, of less than 4 MB together."""
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     starts = np.arange(len(data) - k + 1)
-    low = W.span_hashes(data, starts, starts + k)
+    hashes = W.span_hashes(data, starts, starts + k)
+    # High bits of the hash and the place: of equal strings in a window, the first counts.
+    low = (hashes & _HIGH) | starts.astype(np.uint64)
     width, have = length - k + 1, 1
     while have < width:  # minima of windows that double in width
         step = min(have, width - have)
@@ -46,7 +50,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[
     fresh[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | ~inside[:-1]
     first = np.flatnonzero(fresh & inside)
     ends = np.flatnonzero(np.r_[fresh[1:] | ~inside[1:], True] & inside) + 1
-    return low[first], doc[first], first, ends
+    return hashes[(low[first] & ~_HIGH).astype(np.int64)], doc[first], first, ends
 
 
 def _packed(text: np.ndarray, bits: int, q: int, jump) -> np.ndarray:
