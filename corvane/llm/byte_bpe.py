@@ -10,7 +10,6 @@ the block and the bound, not the table.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from corvane.llm.shared import cut
 
 #: Characters of text whose distinct words are looked up together; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 12_000_000
 #: Words folded together in one row.
 ROW_WORDS = 20_000
 #: Most words that go to all tasks; every other word is folded in each block that holds it.
@@ -34,8 +34,6 @@ MAX_KNOWN = 2_000_000
 N_MAPS = 1 << 15
 #: No such token.
 NONE = (1 << 31) - 1
-#: White space other than single spaces and newlines between other characters.
-_IRREGULAR = re.compile(r"[^\S \n\x1c-\x1f]|[ \n][ \n]")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,8 +96,31 @@ class _Codes(dict):
         return n
 
 
+class _Known:
+    """Words with their ids, found by hash and then compared, in a few bytes a word."""
+
+    def __init__(self, words: list[bytes], ids: list[bytes]):
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.word_at, self.id_at = (np.concatenate([[0], np.cumsum([len(x[k]) for k in order])]).astype(np.int64) for x in (words, ids))
+        self.words, self.ids = (b"".join([x[k] for k in order]) for x in (words, ids))
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """The place of each word, -1 for others."""
+        at = np.full(len(words), -1, np.int32)
+        if len(self.hashes) and words:
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            for k in np.flatnonzero(self.hashes[place] == hashes).tolist():
+                p = place[k]
+                if self.words[self.word_at[p] : self.word_at[p + 1]] == words[k]:
+                    at[k] = p
+        return at
+
+
 class _Block:
-    """Documents as pieces, numbered, and the words of each piece.
+    """Documents as numbered pieces, and the words of each piece.
 
     A text whose white space is single spaces and newlines is cut before spaces and around newlines, where the pattern
     always cuts too; any other text is cut by the pattern at once. So the pattern runs over distinct pieces only.
@@ -107,41 +128,35 @@ class _Block:
 
     def __init__(self, pattern: regex.Pattern, cuts_at_spaces: bool):
         self.pattern, self.cuts = pattern, cuts_at_spaces
-        self.ids, self.counts, self.codes, self.chars = [], [], [], 0
-        self.plain, self.spaced = _Codes(), _Codes()
+        self.ids, self.counts, self.codes, self.chars, self.number = [], [], [], 0, _Codes()
+        self.newline = self.number["\n"]
 
     def add(self, doc, text: str) -> None:
-        codes: list[int] = []
-        if not self.cuts or _IRREGULAR.search(text):
-            codes += [2 * c for c in map(self.plain.__getitem__, self.pattern.findall(text))]
-            codes = np.array(codes, np.int32)
-        elif text:
-            lines = [line.split(" ") for line in text.split("\n")]
-            flat: list[int] = []
-            starts = np.zeros(2 * len(lines) - 1, np.int64)
-            for k, words in enumerate(lines):
-                if k:
-                    starts[2 * k - 1] = len(flat)
-                    flat.append(self.plain["\n"])
-                starts[2 * k] = len(flat)
-                flat.append(self.plain[words[0]])
-                flat += map(self.spaced.__getitem__, words[1:])
-            codes = np.array(flat, np.int32) * 2 + 1
-            codes[starts] -= 1
+        """A piece's code is twice its number, and one more if a space stands before it."""
+        if self.cuts and " ".join(text.split()) == text.replace("\n", " "):
+            codes = np.array(list(map(self.number.__getitem__, text.replace("\n", " \n ").split(" "))) if text else [], np.int32)
+            bare = codes == self.newline
+            bare[1:] |= bare[:-1].copy()
+            bare[:1] = True
+            codes = 2 * codes + ~bare
+        else:
+            codes = 2 * np.array(list(map(self.number.__getitem__, self.pattern.findall(text))), np.int32)
         self.ids.append(doc)
         self.counts.append(len(codes))
-        self.codes.append(np.asarray(codes, np.int32))
+        self.codes.append(codes)
         self.chars += len(text)
 
     def words(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(distinct words, words in each piece, words of all pieces, number of the piece in each place)."""
-        number, each, of = _Codes(), [], []
-        for piece in [*self.plain, *[f" {w}" for w in self.spaced]]:
-            found = self.pattern.findall(piece)
+        codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int32)
+        used = np.zeros(2 * len(self.number), bool)
+        used[codes] = True
+        codes = (np.cumsum(used, dtype=np.int32) - 1)[codes]
+        names, number, each, of = list(self.number), _Codes(), [], []
+        for c in np.flatnonzero(used).tolist():
+            found = self.pattern.findall(" " + names[c >> 1] if c & 1 else names[c >> 1])
             each.append(len(found))
             of += map(number.__getitem__, found)
-        codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int32)
-        codes = (codes >> 1) + (codes & 1) * np.int32(len(self.plain))
         return list(number), np.array(each, np.int32), np.array(of, np.int32), codes
 
 
@@ -163,7 +178,7 @@ def _as_bytes(words: list[str]) -> list[str]:
     return [w.encode().decode("latin-1") for w in words]
 
 
-def _known_words(texts: DataFrame, ranks_path: str, pattern: str, max_known: int) -> dict[str, bytes]:
+def _known_words(texts: DataFrame, ranks_path: str, pattern: str, max_known: int) -> _Known:
     """Ids of the words that most blocks hold; all words of one count range or none, at most `max_known`."""
 
     def list_words(batches):
@@ -181,7 +196,7 @@ def _known_words(texts: DataFrame, ranks_path: str, pattern: str, max_known: int
             break
         lowest = level
     if lowest is None:
-        return {}
+        return _Known([], [])
 
     def pack(batches):
         ranks = _rank_map(read_ranks(ranks_path))
@@ -196,7 +211,7 @@ def _known_words(texts: DataFrame, ranks_path: str, pattern: str, max_known: int
 
     packed = counted.where(F.col("level") >= lowest).select("word").mapInArrow(pack, "word array<string>, words array<string>, ranks array<map<string,int>>")
     table = _fold(packed).mapInArrow(unpack, "word string, ids binary").toArrow()
-    return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
+    return _Known(table.column(0).cast(pa.binary()).to_pylist(), table.column(1).to_pylist())
 
 
 def _joined(folded: pa.Array) -> pa.Array:
@@ -223,11 +238,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         ranks, known = _rank_map(read_ranks(ranks_path)), sent.value
         for block in _blocks(batches, pattern):
             words, each, of, codes = block.words()
-            new = [w for w in words if w not in known]
+            places = known.find([w.encode() for w in words])
+            new = [words[k] for k in np.flatnonzero(places < 0).tolist()]
             n = pa.array([block.counts], pa.list_(pa.int32()))
-            binary = [pa.array([a.tobytes()], pa.large_binary()).cast(pa.binary()) for a in (codes, each, of)]
+            binary = [pa.array([a.tobytes()], pa.binary()) for a in (codes, each, of, places)]
             ids = pa.ListArray.from_arrays(pa.array([0, len(block.ids)], pa.int32()), pa.array([x.as_py() for x in block.ids], block.ids[0].type))
-            yield pa.RecordBatch.from_arrays([ids, n, *binary, pa.array([words], pa.list_(pa.string())), pa.array([_as_bytes(new)], pa.list_(pa.string())), ranks], names=block_schema.names)
+            yield pa.RecordBatch.from_arrays([ids, n, *binary, pa.array([_as_bytes(new)], pa.list_(pa.string())), ranks], names=block_schema.names)
 
     def join(batches):
         known = sent.value
@@ -235,8 +251,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 folded = iter(_joined(batch.column("folded").slice(i, 1)).to_pylist())
-                of_word = [known[w] if w in known else next(folded) for w in row["all_words"].as_py()]
-                codes, each, of = (np.frombuffer(row[c].as_py(), np.int32) for c in ("codes", "each", "of"))
+                codes, each, of, places = (np.frombuffer(row[c].as_py(), np.int32) for c in ("codes", "each", "of", "places"))
+                begins, ends = known.id_at[places], known.id_at[places + 1]
+                of_word = [next(folded) if p < 0 else known.ids[a:b] for p, a, b in zip(places.tolist(), begins.tolist(), ends.tolist(), strict=True)]
                 words, at = [of_word[k] for k in of.tolist()], [0, *np.cumsum(each).tolist()]
                 pieces = [b"".join(words[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 at, out, size, first = [0, *np.cumsum(row["n"].as_py()).tolist()], [], 0, 0
@@ -248,7 +265,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                         out, size, first = [], 0, k + 1
 
     binary, strings = T.BinaryType(), T.ArrayType(T.StringType())
-    block_schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("n", T.ArrayType(T.IntegerType())), *[T.StructField(c, binary) for c in ("codes", "each", "of")], T.StructField("all_words", strings), T.StructField("words", strings), T.StructField("ranks", T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))])
+    block_schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("n", T.ArrayType(T.IntegerType())), *[T.StructField(c, binary) for c in ("codes", "each", "of", "places")], T.StructField("words", strings), T.StructField("ranks", T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))])
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", binary)])
     return _fold(texts.mapInArrow(split, block_schema)).mapInArrow(join, schema).withColumnRenamed("id", id_col)
 

@@ -23,8 +23,8 @@ from corvane.llm.shared import cut
 LENGTH = 200
 #: Bytes whose hash chooses a window's bucket.
 K = 32
-#: Bytes of pieces in a bucket, on average, and shards in each.
-BUCKET_BYTES = 1 << 20
+#: Bytes of pieces in a bucket, on average, and shards in each. Of few enough symbols, numpy sorts a round in one pass.
+BUCKET_BYTES = 1 << 16
 SHARDS = 4
 
 _HIGH = np.uint64((1 << 64) - (1 << 22))
