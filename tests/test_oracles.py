@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -11,8 +12,8 @@ import __spark_entry__ as entry
 
 
 def _plain(v):
-    if isinstance(v, float):
-        return f"{v + 0.0:.6f}"
+    if isinstance(v, int | float | np.number) and not isinstance(v, bool):
+        return f"{float(v) + 0.0:.6f}"
     return str(v)
 
 
