@@ -3,8 +3,8 @@
 A folder holds one pair of files for each range of document ids, and `manifest`, a Parquet table that lists the
 valid ones in order:
 
-* `*.tokens.arrow`: an Arrow stream whose batches have the fixed-size-list columns `tokens` (uint32) and `mask` (uint8,
-  1 for a token, 0 for padding) of LENGTH values a row. The documents of the range follow each other without gaps; only
+* `*.tokens.arrow`: an Arrow stream whose batches have the fixed-size-list columns `tokens` (uint16, or uint32 for over
+  65,536 ids) and `mask` (uint8, 1 for a token, 0 for padding) of LENGTH values a row. The documents of the range follow each other without gaps; only
   the last sequence is padded. All batches but the last have BATCH rows, so sequence i is row i % BATCH of batch
   i // BATCH, and a memory-mapped file gives it without a copy.
 * `*.index.arrow`: an Arrow stream with doc_id, start (in the file's tokens) and n_tokens of each document.
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 LENGTH = 2048
 BATCH = 64
 #: Words whose ids a worker remembers at most; more are encoded anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Texts are encoded in groups of about so many characters.
 GROUP_CHARS = 1 << 20
 
@@ -56,36 +56,40 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str], into: dict[str, bytes], before: str) -> None:
-        missing = [w for w in words if w not in into]
+        missing = list(words.difference(into))
         into.update(zip(missing, self._ids([before + w for w in missing]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         if len(self.plain) + len(self.spaced) > CACHE_WORDS:
             self.plain, self.spaced = {}, {}
-        lines: list[list[list[str]] | None] = []
+        cut: list[tuple[list[str], list[int]] | None] = []
         first: set[str] = set()
         rest: set[str] = set()
         for text in texts:
             if " ".join(text.split()) != text.replace("\n", " "):
-                lines.append(None)
+                cut.append(None)
                 continue
-            own = [line.split(" ") for line in text.split("\n")]
-            lines.append(own)
-            for words in own:
-                first.add(words[0])
-                rest.update(words[1:])
+            words = text.replace("\n", " \n ").split(" ")
+            breaks, at = [], -1
+            for _ in range(text.count("\n")):
+                breaks.append(at := words.index("\n", at + 1))
+            rest.update(words)
+            first.update([words[0], *[words[i + 1] for i in breaks]])
+            cut.append((words, breaks))
         self._learn(first, self.plain, "")
         self._learn(rest, self.spaced, " ")
         out = []
-        for text, own in zip(texts, lines, strict=True):
+        for text, own in zip(texts, cut, strict=True):
             if own is None:
                 out += self._ids([text])
                 continue
-            parts = []
-            for words in own:
-                parts += [self.newline, self.plain[words[0]], *map(self.spaced.__getitem__, words[1:])]
-            out.append(b"".join(parts[1:]))
+            words, breaks = own
+            parts = list(map(self.spaced.__getitem__, words))
+            parts[0] = self.plain[words[0]]
+            for i in breaks:
+                parts[i], parts[i + 1] = self.newline, self.plain[words[i + 1]]
+            out.append(b"".join(parts))
         return out
 
 
@@ -112,9 +116,9 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 class _Writer:
     """Packs ids into fixed-length rows and streams them out in batches."""
 
-    def __init__(self, sink, length: int):
-        self.length, self.left, self.n = length, [], 0
-        self.schema = pa.schema([("tokens", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, sink, length: int, kind: type):
+        self.length, self.kind, self.left, self.n = length, kind, [], 0
+        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.out = pa.ipc.new_stream(sink, self.schema)
         self.held = 0
 
@@ -138,7 +142,7 @@ class _Writer:
 
     def close(self) -> None:
         if self.held:
-            ids = np.zeros(-(-self.held // self.length) * self.length, np.uint32)
+            ids = np.zeros(-(-self.held // self.length) * self.length, self.kind)
             ids[: self.held] = np.concatenate(self.left)
             self._write(ids, self.held)
         self.out.close()
@@ -163,20 +167,21 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
         task = TaskContext.get()
         name = f"{run}-{task.partitionId():06d}-{task.taskAttemptId()}"
         encoder, index, writer, n_docs = _encoder(tokenizer_path), None, None, 0
+        kind_of_ids = np.uint16 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
                 token_sink = store.open_output_stream(f"{base}/{name}.tokens.arrow")
                 index_sink = store.open_output_stream(f"{base}/{name}.index.arrow")
-                writer = _Writer(token_sink, length)
+                writer = _Writer(token_sink, length, kind_of_ids)
                 index_schema = pa.schema([("doc_id", batch.schema.field(0).type), ("start", pa.int64()), ("n_tokens", pa.int64())])
                 index = pa.ipc.new_stream(index_sink, index_schema)
             texts = [t or "" for t in batch.column(1).to_pylist()]
             starts, counts = [], []
             for i, j in _groups(texts):
                 for ids in encoder.encode(texts[i:j]):
-                    ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+                    ids = np.append(np.frombuffer(ids, "<u4").astype(kind_of_ids), kind_of_ids(end_id))
                     starts.append(writer.n)
                     counts.append(len(ids))
                     writer.add(ids)
