@@ -102,11 +102,13 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
     """Learn from rows with text and label; at most `max_texts`, those whose text has the lowest hash. None without any."""
     text = F.col(text_col)
     rows = labelled.where(text.isNotNull() & F.col(lang_col).isNotNull()).select(text.alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.orderBy(F.xxhash64("text"), "lang").limit(max_texts)
-    # Windows are cut before anything reaches the driver, so its share is bounded whatever the texts' length.
+    # Windows are cut and rows are thinned by hash before anything reaches the driver, so its share is bounded.
+    n, place = rows.count(), F.xxhash64("text")
+    lowest = -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * (1.2 * max_texts + 100) / max(n, 1)))
     step = F.greatest(F.length("text") / F.lit(WINDOWS_PER_TEXT), F.lit(1))
     pieces = F.array(*[F.substr("text", (step * i).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS_PER_TEXT)])
-    got = rows.select("lang", F.array_distinct(pieces).alias("pieces")).collect()
+    rows = rows.select(place.alias("place"), "lang", F.array_distinct(pieces).alias("pieces")).where(F.col("place") <= lowest)
+    got = rows.orderBy("place", "lang").limit(max_texts).collect()
     got = [(r["lang"], p.encode()[:WINDOW]) for r in got for p in r["pieces"] if _LETTER.search(p)]
     if not got:
         return None
