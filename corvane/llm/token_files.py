@@ -4,7 +4,7 @@ A folder holds one pair of files for each range of document ids, and `manifest`,
 valid ones in order:
 
 * `*.tokens.arrow`: an Arrow stream whose batches have the fixed-size-list columns `tokens` (uint16, or uint32 for over
-  65,536 ids) and `mask` (uint8, 1 for a token, 0 for padding) of LENGTH values a row. The documents of the range follow each other without gaps; only
+  65,536 ids) and `mask` (bool, a bit each, false for padding) of LENGTH values a row. The documents of the range follow each other without gaps; only
   the last sequence is padded. All batches but the last have BATCH rows, so sequence i is row i % BATCH of batch
   i // BATCH, and a memory-mapped file gives it without a copy.
 * `*.index.arrow`: an Arrow stream with doc_id, start (in the file's tokens) and n_tokens of each document.
@@ -118,7 +118,7 @@ class _Writer:
 
     def __init__(self, sink, length: int, kind: type):
         self.length, self.kind, self.left, self.n = length, kind, [], 0
-        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.out = pa.ipc.new_stream(sink, self.schema)
         self.held = 0
 
@@ -135,8 +135,7 @@ class _Writer:
             self.left, self.held = [rest], len(rest)
 
     def _write(self, ids: np.ndarray, n: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:n] = 1
+        mask = np.arange(len(ids)) < n
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(a), self.length) for a in (ids, mask)]
         self.out.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
@@ -213,7 +212,7 @@ class TokenFile:
         self._sources = [self._open(tokens), self._open(index)]
         batches = list(pa.ipc.open_stream(self._sources[0]))
         self.index = pa.ipc.open_stream(self._sources[1]).read_all()
-        self.batches = [[b.column(c).flatten().to_numpy(zero_copy_only=True) for c in (0, 1)] for b in batches]
+        self.batches = [(b.column(0).flatten().to_numpy(zero_copy_only=True), b.column(1).flatten()) for b in batches]
         self.length = batches[0].schema.field(0).type.list_size if batches else LENGTH
 
     @staticmethod
@@ -223,8 +222,8 @@ class TokenFile:
         store, path = fs.FileSystem.from_uri(uri)
         return pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and mask of sequence i."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Tokens and mask of sequence i, both views."""
         b, row = divmod(i, BATCH)
         return tuple(a[row * self.length : (row + 1) * self.length] for a in self.batches[b])
 
