@@ -1,6 +1,6 @@
 """Near-duplicate classes by Order MinHash.
 
-Of each text's 5-word shingles, labelled by occurrence, N_BANDS hash functions sample the MINIMA lowest each and keep
+Of each text's 3-word shingles, labelled by occurrence, N_BANDS hash functions sample the MINIMA lowest each and keep
 them in the order of the text: texts agree in such a band with a probability that follows edit similarity, not only set
 overlap. Texts that agree in a band are candidates, verified by banded alignment of their words; verified links
 are closed to classes.
@@ -18,11 +18,12 @@ from corvane.llm import words as W
 from corvane.llm.graph import components
 from corvane.llm.shared import cut
 
-SHINGLE = 5
+#: Short shingles and few minima: a text with every fifth word changed keeps half of its 3-word shingles.
+SHINGLE = 3
 THRESHOLD = 0.8
-N_BANDS = 16
+N_BANDS = 24
 #: Shingles sampled for a band.
-MINIMA = 3
+MINIMA = 2
 #: Texts of a bucket up to which each is compared with each; those of larger ones with so many next ones, and the first.
 SMALL = 8
 

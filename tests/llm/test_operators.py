@@ -62,6 +62,18 @@ def test_near_dedup(spark, odd):
     assert near_dedup.near_classes(odd.limit(0)).count() == 0
 
 
+def test_bands_find_scattered_changes():
+    """Texts of 200 words with 20, 15 and 10 % of them changed agree in a band."""
+    rng = np.random.default_rng(1)
+    for share, least in ((0.2, 0.9), (0.15, 0.95), (0.1, 0.98)):
+        words = np.repeat(rng.integers(1, 1 << 62, (100, 1, 200)).astype(np.uint64), 2, axis=1)
+        for pair in words:
+            pair[1, rng.choice(200, int(share * 200), replace=False)] = rng.integers(1, 1 << 62, int(share * 200))
+        shingles = near_dedup.W.shingles(words.ravel(), np.arange(201) * 200, near_dedup.SHINGLE)
+        bands = near_dedup.order_minhash(*shingles)
+        assert (bands[::2] == bands[1::2]).any(axis=1).mean() >= least
+
+
 def test_edit_distances_against_plain():
     rng = np.random.default_rng(0)
 
