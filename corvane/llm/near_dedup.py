@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,11 @@ THRESHOLD = 0.8
 N_BANDS = 24
 #: Shingles sampled for a band.
 MINIMA = 2
-#: Texts of a bucket up to which each is compared with each; those of larger ones with so many next ones, and the first.
+#: Texts of a bucket up to which each is compared with each; those of larger ones with the first, then by their rare words.
 SMALL = 8
+#: Texts that share a word up to which that alone makes them candidates; log2 of the slots in which words are counted.
+FEW = 32
+SLOT_BITS = 18
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 1 << 63, N_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,14 +195,73 @@ def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _ordered_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of texts of a bucket: each with the first and, in the order of length, with the SMALL next ones."""
-    order = Window.partitionBy("v").orderBy("n", "next", "t")
-    ahead = F.collect_list("t").over(order.rowsBetween(1, SMALL))
-    near = members.select("t", F.col("lead.t").alias("lead"), ahead.alias("ahead"))
-    pairs = near.select("t", "lead", F.explode(F.array_distinct(F.concat("ahead", F.array("lead")))).alias("o")).where("t <> o")
-    pairs = pairs.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), (F.col("o") == F.col("lead")).alias("to_lead"))
-    return pairs.groupBy("a", "b").agg(F.bool_or("to_lead").alias("to_lead"))
+def _close_lengths(n: str, m: str) -> Column:
+    """Whether texts of so many words can be THRESHOLD similar."""
+    return F.least(n, m) >= F.ceil(F.greatest(n, m) * F.lit(THRESHOLD) - F.lit(1e-6))
+
+
+def _pairs_within(members: DataFrame, key: str, apart: bool = False) -> DataFrame:
+    """The pairs of texts (a, b) that share a `key` and can be similar by length; with `apart` only those of different roots."""
+    one, other = (members.select(key, *[F.col(c).alias(f"{side}_{c}") for c in members.columns if c != key]) for side in "xy")
+    met = one.join(other, key).where((F.col("x_t") < F.col("y_t")) & _close_lengths("x_n", "y_n"))
+    if apart:
+        met = met.where("x_root <> y_root")
+    return met.select(F.col("x_t").alias("a"), F.col("y_t").alias("b")).distinct()
+
+
+def _labelled(words: bytes) -> np.ndarray:
+    """64-bit elements of a text: its words, equal ones told apart by their occurrence."""
+    w = np.frombuffer(words, np.uint32).astype(np.uint64)
+    order = np.argsort(w, kind="stable")
+    run = np.flatnonzero(np.r_[True, w[order][1:] != w[order][:-1]])
+    occurrence = np.zeros(len(w), np.uint64)
+    occurrence[order] = np.arange(len(w)) - np.repeat(run, np.diff(np.r_[run, len(w)]))
+    return W.mix(w + (occurrence << np.uint64(32)))
+
+
+def _rare_pairs(hot: DataFrame, sequences: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the texts `hot` (t, n, root) that may be similar and are of different roots.
+
+    Similar texts of n words and more share all but n / 5 of their labelled words, so whatever the order of words, they have one in
+    common among the n // 5 + 1 first of each, and two among the n // 5 + 2 first. The order is from rare to frequent. Texts that
+    share a word of few texts are compared; for more frequent words those that share two of them are.
+    """
+    texts = cut(sequences.join(hot, "t").select("t", "n", "root", "words"))
+
+    def count(batches):
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for words in batch.column(0):
+                np.add.at(total, (_labelled(words.as_py()) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], names=["slot", "c"])
+
+    counted = texts.select("words").mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    frequency = np.zeros(1 << SLOT_BITS, np.int64)
+    frequency[counted["slot"].to_numpy()] = counted["c"].to_numpy()
+    sent = hot.sparkSession.sparkContext.broadcast(frequency)
+
+    def rare(batches):
+        for batch in batches:
+            found, at = [], []
+            for i, words in enumerate(batch.column("words")):
+                h = _labelled(words.as_py())
+                c = sent.value[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                first = np.lexsort((h, c))[: len(h) // 5 + 2]
+                first = first[c[first] > 1]  # others are of this text alone
+                found.append(h[first])
+                at.append(np.full(len(first), i))
+            own = batch.select(["t", "n", "root"]).take(pa.array(np.concatenate(at)))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate(found).view(np.int64))], names=["t", "n", "root", "w"])
+
+    keyed = cut(texts.mapInArrow(rare, "t binary, n long, root binary, w long"))
+    sizes = keyed.groupBy("w").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("m > 1 and low <> high")
+    keyed = cut(keyed.join(sizes.select("w", "m"), "w"))
+    few = keyed.where(F.col("m") <= FEW).drop("m")
+    many = keyed.where(F.col("m") > FEW).groupBy("t", "n", "root").agg(F.collect_set("w").alias("ws"))
+    two = F.flatten(F.transform("ws", lambda x: F.transform(F.filter("ws", lambda y: y > x), lambda y: F.xxhash64(x, y))))
+    many = many.select("t", "n", "root", F.explode(two).alias("w"))
+    return _pairs_within(few, "w", apart=True).unionByName(_pairs_within(many, "w", apart=True)).distinct()
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,26 +270,31 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Two different texts are linked if they agree in a band and are at least THRESHOLD similar: 1 - edit distance / longer
     length, in words. Classes are the connected components of links and equal texts, so pairs that are
     of one class already need no alignment. Texts without words have no links, but equal ones are one class; each
-    row of null text is one for itself. Each text of a bucket of over SMALL texts is compared
-    with the bucket's first text and the SMALL next ones in the order of length, so the pairs grow with the bucket and not
-    its square; texts of one class have further buckets in common, each with an order of its own.
+    row of null text is one for itself. Buckets of up to SMALL texts give all their pairs. Texts of larger ones are compared
+    with the bucket's first; where that leaves more than one class in a bucket, its texts meet all others of such buckets by
+    their rare words, which misses no link.
     """
     sketched = cut(sketch(docs, id_col, text_col))
     texts = sketched.where("t is not null").groupBy("t").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    # The next band breaks ties of length, so a text's neighbours differ from bucket to bucket.
-    turned = F.concat(F.slice("bands", 2, N_BANDS), F.slice("bands", 1, 1))
-    bucketed = texts.where("n > 0").select("t", "n", F.posexplode(F.arrays_zip(F.col("bands").alias("v"), turned.alias("next"))).alias("j", "band"))
-    members = cut(bucketed.select("t", F.col("n").cast("long").alias("n"), F.xxhash64("j", "band.v").alias("v"), "band.next"))
-    counts = members.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("n", "t")).alias("lead")).where("m > 1")
-    members = members.join(counts, "v").select("v", "t", "n", "next", "lead")
-    pairs = cut(_ordered_pairs(members))
-    sequences = cut(_sequences(docs, text_col, pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()))
-    links = cut(_verified(pairs.where("to_lead").select("a", "b"), sequences))
+    bucketed = texts.where("n > 0").select("t", F.col("n").cast("long").alias("n"), F.posexplode("bands").alias("j", "band")).select("t", "n", F.xxhash64("j", "band").alias("v"))
+    counts = bucketed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
+    members = cut(bucketed.join(counts, "v").select("v", "t", "n", "m"))
+    small, large = members.where(F.col("m") <= SMALL).drop("m"), members.where(F.col("m") > SMALL).drop("m")
+    leads = large.groupBy("v").agg(F.min(F.struct("n", "t")).alias("lead"))
+    led = large.join(leads, "v").where((F.col("t") != F.col("lead.t")) & _close_lengths("n", "lead.n"))
+    led = led.select(F.least("t", "lead.t").alias("a"), F.greatest("t", "lead.t").alias("b")).distinct()
+    sequences = cut(_sequences(docs, text_col, members.select("t").distinct()))
+    links = cut(_verified(led, sequences))
     roots = components(links)
     of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
-    apart = pairs.where("not to_lead").join(of_a, "a", "left").join(of_b, "b", "left")
+    apart = _pairs_within(small, "v").join(of_a, "a", "left").join(of_b, "b", "left")
     apart = apart.where("a_root is null or b_root is null or a_root <> b_root").select("a", "b")
-    roots = components(cut(links.unionByName(_verified(apart, sequences))))
+    rooted = cut(large.join(roots.withColumnRenamed("node", "t"), "t", "left").select("v", "t", "n", F.coalesce("root", "t").alias("root")))
+    mixed = rooted.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("v")
+    hot = cut(rooted.join(mixed, "v", "left_semi").select("t", "n", "root").distinct())
+    if not hot.isEmpty():
+        apart = apart.unionByName(_rare_pairs(hot, sequences)).distinct()
+    roots = components(cut(links.unionByName(_verified(cut(apart), sequences))))
     named = texts.select("t", "low").join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("root", "t").alias("root"), "low")
     named = cut(named)
     classes = named.join(named.groupBy("root").agg(F.min("low").alias("class_id")), "root").select("t", "class_id")
