@@ -3,7 +3,8 @@
 Containment search by MinHash, partitioned by size: an item of s word shingles belongs to the class S, the power of two
 with S / 2 < s <= S, and is sought in windows of 2 S shingles, S apart, so any verbatim occurrence lies inside a window
 that is at most about four times its size, however long the document is. A window is a candidate if one of
-N_HASHES minima equals the item's; candidates are verified by exact containment in the whole document.
+N_HASHES minima equals the item's. Items of up to FEW shingles are too small for that, so each of their shingles is looked up.
+Candidates are verified by exact containment in the whole document.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ THRESHOLD = 0.8
 N_HASHES = 48
 #: Shingles in a block; minima of windows are put together from those of blocks.
 BLOCK = 8
+#: Shingles of an item up to which they are looked up themselves.
+FEW = BLOCK
 #: Shingles of items that are broadcast at once (8 bytes each); more items take more passes over the documents.
 MAX_BROADCAST = 2_000_000
 
@@ -35,7 +38,7 @@ class _Items:
     """The sketches and shingle sets of a block of items."""
 
     def __init__(self, ids: list, texts: list):
-        self.ids, self.sets, self.short, classes = ids, [], {}, {}
+        self.ids, self.sets, self.short, self.few, classes = ids, [], {}, {}, {}
         for i, text in enumerate(texts):
             data = np.frombuffer((text or "").encode(), np.uint8)
             w, first = W.word_hashes(data, np.array([0, len(data)]))
@@ -44,8 +47,12 @@ class _Items:
             self.sets.append(s)
             if 0 < len(w) < SHINGLE:
                 self.short.setdefault(len(w), []).append(i)
+            elif 0 < len(s) <= FEW:
+                for k in s.tolist():
+                    self.few.setdefault(k, []).append(i)
             elif len(w):
                 classes.setdefault(max(BLOCK, 1 << (len(s) - 1).bit_length()), []).append(i)
+        self.few_keys = np.array(sorted(self.few), np.uint64)
         #: {class: for each hash function, (sorted minima, items in that order)}
         self.classes = {}
         for size, members in sorted(classes.items()):
@@ -63,6 +70,10 @@ class _Items:
                 d = int(np.searchsorted(first, k, "right")) - 1
                 if k + n <= first[d + 1]:
                     found |= {(d, i) for i in members if self.sets[i][0] == g[k]}
+        if self.few:
+            hits = np.flatnonzero(np.isin(s, self.few_keys))
+            for k, d in zip(s[hits].tolist(), (np.searchsorted(at, hits, "right") - 1).tolist(), strict=True):
+                found.update((d, i) for i in self.few[k])
         if not len(s) or not self.classes:
             return found
         count = np.diff(at)

@@ -113,6 +113,18 @@ def test_decontaminate(spark, odd):
     assert decontaminate.contained_items(odd.limit(0), items).count() == 0 == decontaminate.contained_items(odd, items.limit(0)).count()
 
 
+def test_decontaminate_finds_every_small_item(spark):
+    rng = np.random.default_rng(2)
+    docs, items = [], []
+    for i in range(1200):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 400)]
+        n, at = 5 + i % 3, int(rng.integers(0, 390))
+        docs.append((i, " ".join(words)))
+        items.append((i, " ".join(words[at : at + n])))
+    found = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(1200)]
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/x?q", "https://net", "x://example.com/de/", "http://b.org/fr/1#f", "http://b.org/frx", "http://notnet/"]
     rows = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
