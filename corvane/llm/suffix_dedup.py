@@ -2,7 +2,8 @@
 
 Every window of LENGTH bytes belongs to the lowest hash among its K-byte strings, so equal windows belong to the same
 hash wherever they stand. A maximal run of windows with their lowest hash in one place is a piece; equal pieces are counted before
-anything is shuffled by content, and pieces of one hash that differ go to the same bucket. A bucket splits its
+anything is shuffled by content, and pieces of one hash that differ go to the same bucket. A hash with too many bytes of
+them would outgrow its bucket, so the windows of its pieces are dealt out by a hash of all their bytes. A bucket splits its
 pieces into shards, sorts each shard's rotations, and merges the shards' Burrows-Wheeler transforms by iterative interleave
 refinement: every round orders the interleave by Q more symbols, and marks where common prefixes end. After LENGTH symbols,
 the intervals between marks are the distinct windows; those with more than one occurrence are repeated.
@@ -26,6 +27,8 @@ K = 32
 #: Bytes of pieces in a bucket, on average, and shards in each. Of few enough symbols, numpy sorts a round in one pass.
 BUCKET_BYTES = 1 << 16
 SHARDS = 4
+#: Bytes of the different pieces of one hash from which their windows are counted one by one.
+HOT_BYTES = 1 << 20
 
 _HIGH = np.uint64((1 << 64) - (1 << 22))
 
@@ -189,17 +192,51 @@ def _merge_transforms(strings: DataFrame, buckets: int, length: int) -> DataFram
     return strings.groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).applyInArrow(run, "h long, s long, runs array<struct<x:int,y:int>>")
 
 
+def _count_windows(strings: DataFrame, length: int) -> DataFrame:
+    """As _merge_transforms, for pieces of hot hashes: each window goes by the 128-bit hash of its own bytes, so equal ones meet and no group holds a hash's pieces."""
+
+    def windows(batches):
+        for batch in batches:
+            for row, _, data, offsets in W.slices(batch.column("data"), 1 << 18):
+                count = np.maximum(np.diff(offsets) - length + 1, 0)
+                of = np.repeat(np.arange(len(count)), count)
+                at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                raw = data.tobytes()
+                digests = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in (offsets[of] + at).tolist()]
+                own = batch.select(["h", "s", "n"]).take(pa.array(of + row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(at.astype(np.int32)), pa.array(digests, pa.binary())], names=["h", "s", "n", "x", "w"])
+
+    def joined(batches):
+        for batch in batches:
+            runs = []
+            for places in batch.column("xs"):
+                x = np.sort(np.array(places.as_py(), np.int64))
+                ends = np.flatnonzero(np.r_[x[1:] != x[:-1] + 1, True])
+                runs.append([{"x": int(a), "y": int(b) + 1} for a, b in zip(x[np.r_[0, ends[:-1] + 1]], x[ends], strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("s"), pa.array(runs, pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))], names=["h", "s", "runs"])
+
+    found = cut(strings.mapInArrow(windows, "h long, s long, n long, x int, w binary"))
+    repeated = found.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
+    places = found.join(repeated, "w").groupBy("h", "s").agg(F.collect_set("x").alias("xs"))  # at most a piece's windows
+    return places.mapInArrow(joined, "h long, s long, runs array<struct<x:int,y:int>>")
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(t, spans) of the texts (t, data) with repeated bytes: sorted, disjoint ranges of bytes. Equal t must mean equal data; copies are rows of their own."""
     found = _cut_up(texts, length, min(k, length))
     shared = found.groupBy("h").count().where("count > 1").select("h")
     found = cut(found.join(shared, "h"))
     distinct = found.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("t", "a", "b")).alias("rep"))
-    kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds"))
-    distinct = cut(distinct.join(kinds, "h").select("h", "s", "n", "rep.*", "kinds"))
-    mixed = distinct.where("kinds > 1").drop("kinds")
-    size = mixed.agg(F.sum(F.col("b") - F.col("a") + length - 1)).first()[0] or 0
-    judged = _merge_transforms(_strings(texts, mixed, length), -(-size // BUCKET_BYTES) + 1, length)
+    size = (F.col("rep.b") - F.col("rep.a") + length - 1).cast("long")
+    kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(size).alias("bytes"))
+    distinct = cut(distinct.join(kinds, "h").select("h", "s", "n", "rep.*", "kinds", "bytes"))
+    is_hot = F.col("bytes") > HOT_BYTES
+    mixed = distinct.where("kinds > 1")
+    own = F.col("b") - F.col("a") + length - 1
+    size, hot_size = mixed.agg(F.sum(F.when(~is_hot, own)), F.sum(F.when(is_hot, own))).first()
+    judged = _merge_transforms(_strings(texts, mixed.where(~is_hot).drop("kinds", "bytes"), length), -(-(size or 0) // BUCKET_BYTES) + 1, length)
+    if hot_size:
+        judged = judged.unionByName(_count_windows(_strings(texts, mixed.where(is_hot).drop("kinds", "bytes"), length), length))
     # A hash of one piece alone has all its occurrences equal.
     alone = distinct.where("kinds = 1").select("h", "s", F.array(F.struct(F.lit(0).alias("x"), (F.col("b") - F.col("a")).alias("y"))).alias("runs"))
     runs = judged.where(F.size("runs") > 0).unionByName(alone)

@@ -37,6 +37,32 @@ def test_suffix_dedup(odd):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_suffix_dedup_spreads_a_hot_hash(spark, monkeypatch):
+    """A notice of 150 bytes in 300 differing texts: no bucket gets the pieces of its hash together, and the result is that of brute force."""
+    bound, largest, merge, length = 20_000, [], suffix_dedup._merge_transforms, 200
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", bound, raising=False)
+
+    def watched(strings, *rest):
+        largest.append(strings.groupBy("h").agg(F.sum(F.octet_length("data")).alias("x")).agg(F.max("x")).first()[0] or 0)
+        return merge(strings, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_merge_transforms", watched)
+    rng = np.random.default_rng(4)
+    some = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    notice, after = some(150), some(70)
+    texts = [some(300) + notice + (after if i % 10 == 0 else "") + some(200) for i in range(300)]
+    count = {}
+    for t in texts:
+        for k in range(len(t) - length + 1):
+            count[t[k : k + length]] = count.get(t[k : k + length], 0) + 1
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        want[i] = len({x for k in range(len(t) - length + 1) if count[t[k : k + length]] > 1 for x in range(k, k + length)})
+    assert got == want and want[0] >= 220
+    assert max(largest) <= bound
+
+
 @pytest.mark.parametrize("known", [0, 1_000_000])
 def test_byte_bpe(odd, known):
     import tiktoken
