@@ -1,39 +1,39 @@
 """Byte-level BPE encoding and decoding.
 
-A pattern cuts texts into words. Spark higher-order functions fold the ranked merges over the bytes of distinct words, in
-two places: words of the whole table that many blocks of texts hold, up to a bound, are folded once and sent to all
-tasks; the others are folded where a block of texts holds them. The documents of a block are then put together from
-their words' ids, and decoding concatenates the binary pieces of the ids. Texts are never shuffled; memory follows
-the block and the bound, not the table.
+A pattern cuts the texts of a block of documents into words. Each distinct word of the table is folded once: blocks send
+their words to the bucket of the word's hash, Spark higher-order functions fold the ranked merges over the bytes of a
+bucket's distinct words by a literal map of ranks, and the ids go back to the blocks, which put their documents
+together from them. A word comes from a block at most once, however frequent it is, so no bucket is hot; nothing
+passes through the driver but the ranks. Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.shared import cut
-
 #: Characters of text whose distinct words are looked up together; a longer text is a block of its own.
-BLOCK_CHARS = 12_000_000
-#: Words folded together in one row.
-ROW_WORDS = 20_000
-#: Most words that go to all tasks; every other word is folded in each block that holds it.
-MAX_KNOWN = 2_000_000
+BLOCK_CHARS = 8_000_000
+#: Bytes of a word up to which Spark folds it; every merge of the fold passes over the word, so longer ones take a heap instead.
+LONG_WORD = 1_000
+#: Buckets of words for each shuffle partition.
+SPREAD = 3
 #: Parts of the rank map. A Spark map is searched from end to end, so there is one for each hash value.
 N_MAPS = 1 << 15
-#: No such token.
-NONE = (1 << 31) - 1
+#: Most ranks that are sent as a literal.
+MAX_RANKS = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,50 +42,106 @@ def read_ranks(path: str) -> dict[bytes, int]:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     if missing := 256 - sum(bytes([b]) in ranks for b in range(256)):
         raise ValueError(f"{path}: {missing} single bytes have no rank")
+    if len(ranks) > MAX_RANKS or max(ranks.values()) >= MAX_RANKS:
+        raise ValueError(f"{path}: {len(ranks)} ranks; at most {MAX_RANKS} fit the fold's numbers")
     return ranks
 
 
-def _rank_map(ranks: dict[bytes, int]) -> pa.Array:
-    """The ranks as one value of type array of maps. In words, the characters of the code points 0 to 255 stand for bytes."""
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal: an array of maps from the hexadecimal form of a token, at its CRC modulo N_MAPS."""
     maps: list[dict[str, int]] = [{} for _ in range(N_MAPS)]
     for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        maps[zlib.crc32(key.encode()) % N_MAPS][key] = rank
-    return pa.array([[list(m.items()) for m in maps]], pa.list_(pa.map_(pa.string(), pa.int32())))
+        maps[zlib.crc32(token) % N_MAPS][token.hex().upper()] = rank
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")  # folded to a value before the query runs
 
 
 def fold_merges(word: Column, ranks: Column) -> Column:
-    """Ids of a word whose characters stand for bytes: a word that is a token is that token; else the pair of the lowest rank, the first such, is merged until no pair has a rank.
+    """Ids of a word of at most LONG_WORD bytes: one that is a token is that token; else the pair of the lowest rank, the first such, is merged until no pair has a rank.
 
-    The fold's state is `at`, the places where parts start, with the end, and `pair`, the rank of each part with its next.
+    The fold's state is an array with a number for each part: from the high bits down the rank of the part joined with
+    the next, where the part starts, where it ends, and where the next one ends (0 for the last part). So the lowest number is
+    the pair to merge, and a merge changes only the parts that touch it.
     """
+    none, bits, some = 1 << 22, 10, F.lit(1023).cast("long")
+
+    def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), use)[0]
 
     def rank(start: Column, end: Column) -> Column:
-        s = F.substring(word, start, end - start)
-        return F.coalesce(F.try_element_at(F.get(ranks, (F.crc32(s) % N_MAPS).cast("int")), s), F.lit(NONE))
+        piece = F.substring(word, start.cast("int"), (end - start).cast("int"))
+        return bind(piece, lambda p: F.try_element_at(F.get(ranks, F.pmod(F.crc32(p), F.lit(N_MAPS)).cast("int")), F.hex(p)))
+
+    def part(start: Column, end: Column, following: Column) -> Column:
+        high = F.shiftleft(F.coalesce(rank(start, following), F.lit(none)).cast("long"), 3 * bits)
+        return high.bitwiseOR(F.shiftleft(start, 2 * bits)).bitwiseOR(F.shiftleft(end, bits)).bitwiseOR(following)
+
+    start_of = lambda x: F.shiftright(x, 2 * bits).bitwiseAND(some)
+    end_of = lambda x: F.shiftright(x, bits).bitwiseAND(some)
+    following_of = lambda x: x.bitwiseAND(some)
 
     def merge(state: Column, _: Column) -> Column:
-        low = F.array_min(state["pair"])
-        first = F.array_position(state["pair"], low).cast("int")
-        return F.when(low < NONE, F.transform(F.array(first), lambda p: joined(state["at"], state["pair"], p))[0]).otherwise(state)
+        return bind(F.array_min(state), lambda low: F.when(low < F.lit(none << 3 * bits), bind(start_of(low), lambda a: bind(end_of(low), lambda b: merged(state, low, a, b)))).otherwise(state))
+
+    def merged(state: Column, low: Column, start: Column, end: Column) -> Column:
+        rest = F.filter(state, lambda x: x != low)
+        own, before = lambda x: part(start, following_of(low), following_of(x)), lambda x: part(start_of(x), start, following_of(low))
+        return F.transform(rest, lambda x: F.when(start_of(x) == end, own(x)).when(end_of(x) == start, before(x)).otherwise(x))
+
+    n = F.length(word).cast("long")
+    numbers = F.sequence(F.lit(1).cast("long"), n)
+    begin = F.transform(numbers, lambda i: part(i, i + 1, F.when(i < n, i + 2).otherwise(F.lit(0).cast("long"))))
+    parts = F.transform(F.aggregate(numbers, begin, merge), lambda x: rank(start_of(x), end_of(x)))
+    return bind(rank(F.lit(1).cast("long"), n + 1), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(parts))
+
+
+def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids that fold_merges gives, in time that hardly outgrows the word."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    following, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at each place
+
+    def rank(at: int) -> int | None:
+        middle = following[at]
+        return ranks.get(word[at : following[middle]]) if middle < n else None
+
+    heap = [(r, i) for i in range(n - 1) if (r := rank(i)) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(n)
+    while heap:
+        r, at = heapq.heappop(heap)
+        if gone[at] or rank(at) != r:
+            continue
+        middle = following[at]
+        gone[middle] = 1
+        following[at] = end = following[middle]
+        if end < n:
+            before[end] = at
+        for i in (before[at], at):
+            if i >= 0 and (new := rank(i)) is not None:
+                heapq.heappush(heap, (new, i))
+    return [ranks[word[i : following[i]]] for i in range(n) if not gone[i]]
 
-    def joined(at: Column, pair: Column, p: Column) -> Column:
-        rest = F.filter(pair, lambda _, i: i != p - 1)
-        before, here = rank(F.get(at, p - 2), F.get(at, p + 1)), rank(F.get(at, p - 1), F.get(at, p + 2))
-        fresh = F.transform(rest, lambda old, i: F.when(i == p - 1, here).when(i == p - 2, before).otherwise(old))
-        return F.struct(F.filter(at, lambda _, i: i != p).alias("at"), fresh.alias("pair"))
 
-    n = F.length(word)
-    numbers = F.sequence(F.lit(1), n - 1)
-    begin = F.struct(F.sequence(F.lit(1), n + 1).alias("at"), F.transform(numbers, lambda i: rank(i, i + 2)).alias("pair"))
-    parts = F.aggregate(numbers, begin, merge, lambda s: F.transform(F.sequence(F.lit(1), F.size(s["at"]) - 1), lambda i: rank(s["at"][i - 1], s["at"][i])))
-    whole = rank(F.lit(1), n + 1)
-    return F.when(whole != NONE, F.array(whole)).otherwise(parts)
+def _squeeze(*parts: bytes) -> bytes:
+    sizes = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
+    return zstandard.compress(sizes + b"".join(parts), 1)
 
 
-def _fold(rows: DataFrame) -> DataFrame:
-    """`rows` with `folded`, the ids of the array `words`. The rank map is the column `ranks` of each row: as a literal expression, every task would build its 50,000 objects anew."""
-    return rows.withColumn("folded", F.transform("words", lambda w: fold_merges(w, F.col("ranks")))).drop("words", "ranks")
+def _parts(squeezed: bytes) -> list[bytes]:
+    raw = zstandard.decompress(squeezed)
+    n = int.from_bytes(raw[:8], "little")
+    ends = np.cumsum(np.frombuffer(raw, "<i8", n, 8)) + 8 * (n + 1)
+    return [raw[a:b] for a, b in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers, all first bytes before all second ones: small numbers compress well so."""
+    return np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 class _Codes(dict):
@@ -96,29 +152,6 @@ class _Codes(dict):
         return n
 
 
-class _Known:
-    """Words with their ids, found by hash and then compared, in a few bytes a word."""
-
-    def __init__(self, words: list[bytes], ids: list[bytes]):
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.word_at, self.id_at = (np.concatenate([[0], np.cumsum([len(x[k]) for k in order])]).astype(np.int64) for x in (words, ids))
-        self.words, self.ids = (b"".join([x[k] for k in order]) for x in (words, ids))
-
-    def find(self, words: list[bytes]) -> np.ndarray:
-        """The place of each word, -1 for others."""
-        at = np.full(len(words), -1, np.int32)
-        if len(self.hashes) and words:
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            for k in np.flatnonzero(self.hashes[place] == hashes).tolist():
-                p = place[k]
-                if self.words[self.word_at[p] : self.word_at[p + 1]] == words[k]:
-                    at[k] = p
-        return at
-
-
 class _Block:
     """Documents as numbered pieces, and the words of each piece.
 
@@ -128,13 +161,14 @@ class _Block:
 
     def __init__(self, pattern: regex.Pattern, cuts_at_spaces: bool):
         self.pattern, self.cuts = pattern, cuts_at_spaces
-        self.ids, self.counts, self.codes, self.chars, self.number = [], [], [], 0, _Codes()
+        self.ids, self.codes, self.chars, self.number = [], [], 0, _Codes()
         self.newline = self.number["\n"]
 
     def add(self, doc, text: str) -> None:
         """A piece's code is twice its number, and one more if a space stands before it."""
         if self.cuts and " ".join(text.split()) == text.replace("\n", " "):
-            codes = np.array(list(map(self.number.__getitem__, text.replace("\n", " \n ").split(" "))) if text else [], np.int32)
+            pieces = text.replace("\n", " \n ").split(" ") if text else []
+            codes = np.fromiter(map(self.number.__getitem__, pieces), np.int32, len(pieces))
             bare = codes == self.newline
             bare[1:] |= bare[:-1].copy()
             bare[:1] = True
@@ -142,22 +176,28 @@ class _Block:
         else:
             codes = 2 * np.array(list(map(self.number.__getitem__, self.pattern.findall(text))), np.int32)
         self.ids.append(doc)
-        self.counts.append(len(codes))
         self.codes.append(codes)
         self.chars += len(text)
 
-    def words(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """(distinct words, words in each piece, words of all pieces, number of the piece in each place)."""
-        codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int32)
+        codes = np.concatenate(self.codes)
         used = np.zeros(2 * len(self.number), bool)
         used[codes] = True
         codes = (np.cumsum(used, dtype=np.int32) - 1)[codes]
         names, number, each, of = list(self.number), _Codes(), [], []
+        letters = self.cuts and self.pattern.findall("ab é") == ["ab", " é"]
         for c in np.flatnonzero(used).tolist():
-            found = self.pattern.findall(" " + names[c >> 1] if c & 1 else names[c >> 1])
-            each.append(len(found))
-            of += map(number.__getitem__, found)
-        return list(number), np.array(each, np.int32), np.array(of, np.int32), codes
+            name = names[c >> 1]
+            piece = " " + name if c & 1 else name
+            if letters and name.isalpha():
+                each.append(1)
+                of.append(number[piece])
+            else:
+                found = self.pattern.findall(piece)
+                each.append(len(found))
+                of += map(number.__getitem__, found)
+        return [w.encode() for w in number], np.array(each, np.int32), np.array(of, np.int32), codes
 
 
 def _blocks(batches, pattern: str) -> Iterator[_Block]:
@@ -174,109 +214,167 @@ def _blocks(batches, pattern: str) -> Iterator[_Block]:
         yield block
 
 
-def _as_bytes(words: list[str]) -> list[str]:
-    return [w.encode().decode("latin-1") for w in words]
-
+def _ragged(flat: bytes, lengths: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-def _known_words(texts: DataFrame, ranks_path: str, pattern: str, max_known: int) -> _Known:
-    """Ids of the words that most blocks hold; all words of one count range or none, at most `max_known`."""
 
-    def list_words(batches):
-        for block in _blocks(batches, pattern):
-            words = block.words()[0]
-            for i in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.string())], names=["word"])
+def _split(texts: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """(key, block, bucket, ids, data): a row of each block with its documents' ids and codes, bucket -1, and rows with its words of each bucket."""
+    kind = texts.schema["id"].dataType
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("data", T.BinaryType())])
 
-    counted = texts.mapInArrow(list_words, "word string").groupBy("word").agg(F.count("*").alias("n"))
-    counted = cut(counted.select("word", F.floor(F.log2("n") * 4).cast("int").alias("level")))
-    lowest, n = None, 0
-    for level, here in sorted(((r["level"], r["count"]) for r in counted.groupBy("level").count().collect()), reverse=True):
-        n += here
-        if n > max_known:
-            break
-        lowest = level
-    if lowest is None:
-        return _Known([], [])
-
-    def pack(batches):
-        ranks = _rank_map(read_ranks(ranks_path))
+    def run(batches):
+        first = TaskContext.get().partitionId() << 32
+        for k, block in enumerate(_blocks(batches, pattern), first):
+            words, each, of, codes = block.words()
+            id_type = block.ids[0].type
+            counts = np.array([len(c) for c in block.codes], np.int32)
+            own = _squeeze(np.array([len(words)], np.int64).tobytes(), *map(_planes, (counts, each, of, codes)))
+            own_ids = pa.array([[x.as_py() for x in block.ids]], pa.list_(id_type))
+            del block
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([k]), pa.array([-1], pa.int32()), own_ids, pa.array([own], pa.binary())], names=schema.names)
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            rows = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                mine = [words[i] for i in order[a:b].tolist()]
+                rows.append(_squeeze(order[a:b].astype("<i4").tobytes(), np.array([len(w) for w in mine], "<i4").tobytes(), b"".join(mine)))
+            found = bucket[order[edges[:-1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(rows), k)), pa.array(found.astype(np.int32)), pa.nulls(len(rows), pa.list_(id_type)), pa.array(rows, pa.binary())], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    """`rows` with `words`, those that this partition has not had before; data: places in the block, then numbers of the partition's words."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("words", T.ArrayType(T.BinaryType()))])
+
+    def run(batches):
+        number = _Codes()
         for batch in batches:
-            for i in range(0, batch.num_rows, ROW_WORDS):
-                own = batch.column(0).slice(i, ROW_WORDS).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([_as_bytes(own)], pa.list_(pa.string())), ranks], names=["word", "words", "ranks"])
-
-    def unpack(batches):
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                new: list[bytes] = []
+                if row.column("bucket")[0].as_py() >= 0:
+                    places, lengths, flat = _parts(row.column("data")[0].as_py())
+                    known = len(number)
+                    words = _ragged(flat, np.frombuffer(lengths, "<i4"))
+                    at = np.fromiter(map(number.__getitem__, words), "<i4", len(words))
+                    new = [w for w, k in zip(words, at.tolist(), strict=True) if k >= known]  # a block has a word once
+                    row = row.set_column(row.schema.get_field_index("data"), "data", pa.array([places + at.tobytes()], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([new], pa.list_(pa.binary()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _addressed(rows: DataFrame, long_words) -> DataFrame:
+    """(block, bucket, ids, data) for the blocks: data has the places of their words, the lengths of the words' ids, and the ids."""
+    schema = T.StructType([f for f in rows.schema.fields if f.name in ("block", "bucket", "ids", "data")])
+
+    def run(batches):
+        known: list[bytes] = []
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word").flatten(), _joined(batch.column("folded"))], names=["word", "ids"])
-
-    packed = counted.where(F.col("level") >= lowest).select("word").mapInArrow(pack, "word array<string>, words array<string>, ranks array<map<string,int>>")
-    table = _fold(packed).mapInArrow(unpack, "word string, ids binary").toArrow()
-    return _Known(table.column(0).cast(pa.binary()).to_pylist(), table.column(1).to_pylist())
-
-
-def _joined(folded: pa.Array) -> pa.Array:
-    """Each list of ids of a column of lists of lists as little-endian bytes."""
-    lists = folded.flatten()
-    at = np.asarray(lists.offsets, np.int64)
-    ids = np.asarray(lists.values, np.int64).astype("<u4")[at[0] : at[-1]].tobytes()
-    at = (at - at[0]) * 4
-    return pa.array([ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
-
-
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_known: int = MAX_KNOWN) -> DataFrame:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                folded = row.column("folded")[0].values
+                at = np.asarray(folded.offsets, np.int64)
+                flat = np.asarray(folded.values, np.int64).astype("<u4").tobytes()[4 * at[0] :] if len(folded) else b""
+                for word, ids in zip(row.column("words")[0], _ragged(flat, 4 * np.diff(at)) if len(folded) else (), strict=True):
+                    known.append(ids or np.array(heap_merges(word.as_py(), long_words.value), "<u4").tobytes())
+                out = row.select(schema.names)
+                if row.column("bucket")[0].as_py() >= 0:
+                    raw = row.column("data")[0].as_py()
+                    places, at = raw[: len(raw) // 2], np.frombuffer(raw, "<i4", offset=len(raw) // 2)
+                    own = [known[k] for k in at.tolist()]
+                    data = _squeeze(places, np.array([len(x) for x in own], "<i4").tobytes(), b"".join(own))
+                    out = out.set_column(out.schema.get_field_index("data"), "data", pa.array([data], pa.binary()))
+                yield out
+
+    return rows.mapInArrow(run, schema)
+
+
+def _put_together(rows: DataFrame, kind: T.DataType) -> DataFrame:
+    """(id, n_tokens, tokens) of the documents of sorted `rows`: the row of each block, then those with the ids of its words."""
+    schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType())])
+
+    def finish(ids, own: list[bytes], of_word: list[bytes | None]):
+        counts, each, of, codes = map(_from_planes, own)
+        words = [of_word[k] for k in of.tolist()]
+        if None in words:
+            raise ValueError("a block lacks words: its documents did not come in the same order twice")
+        at = [0, *np.cumsum(each).tolist()]
+        pieces = [b"".join(words[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        at, out, size, first = [0, *np.cumsum(counts).tolist()], [], 0, 0
+        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            out.append(b"".join(map(pieces.__getitem__, codes[a:b].tolist())))
+            size += len(out[-1])
+            if size > 1 << 22 or k + 2 == len(at):
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(out)), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=schema.names)
+                out, size, first = [], 0, k + 1
+
+    def run(batches):
+        ids = own = None
+        of_word: list[bytes | None] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = _parts(batch.column("data")[i].as_py())
+                if batch.column("bucket")[i].as_py() < 0:
+                    if own is not None:
+                        yield from finish(ids, own, of_word)
+                    ids, own = batch.column("ids")[i].values, parts[1:]
+                    of_word = [None] * int.from_bytes(parts[0], "little")
+                else:
+                    places, lengths, flat = parts
+                    for p, w in zip(np.frombuffer(places, "<i4").tolist(), _ragged(flat, np.frombuffer(lengths, "<i4")), strict=True):
+                        of_word[p] = w
+        if own is not None:
+            yield from finish(ids, own, of_word)
+
+    return rows.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column, n_tokens (long) and ids (binary, little-endian unsigned 32-bit), one row for each row of `docs`.
 
     As tiktoken without special tokens. Null text is empty: no ids. Null and repeated document ids are harmless, an
-    empty table gives an empty one, other columns of `docs` are not read. Tasks read `ranks_path`, so it must be on
-    every machine.
+    empty table gives an empty one, other columns of `docs` are not read, a text of any length is whole. `ranks_path` is read on the
+    driver. Blocks are cut where the rows of `docs` come in the same order again if a task is repeated, as from a table.
     """
-    kind = docs.schema[id_col].dataType
+    spark, kind, ranks = docs.sparkSession, docs.schema[id_col].dataType, read_ranks(ranks_path)
+    literal, for_long = rank_map(ranks), spark.sparkContext.broadcast(ranks)
+    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(_known_words(texts, ranks_path, pattern, max_known))
-
-    def split(batches):
-        ranks, known = _rank_map(read_ranks(ranks_path)), sent.value
-        for block in _blocks(batches, pattern):
-            words, each, of, codes = block.words()
-            places = known.find([w.encode() for w in words])
-            new = [words[k] for k in np.flatnonzero(places < 0).tolist()]
-            n = pa.array([block.counts], pa.list_(pa.int32()))
-            binary = [pa.array([a.tobytes()], pa.binary()) for a in (codes, each, of, places)]
-            ids = pa.ListArray.from_arrays(pa.array([0, len(block.ids)], pa.int32()), pa.array([x.as_py() for x in block.ids], block.ids[0].type))
-            yield pa.RecordBatch.from_arrays([ids, n, *binary, pa.array([_as_bytes(new)], pa.list_(pa.string())), ranks], names=block_schema.names)
-
-    def join(batches):
-        known = sent.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                folded = iter(_joined(batch.column("folded").slice(i, 1)).to_pylist())
-                codes, each, of, places = (np.frombuffer(row[c].as_py(), np.int32) for c in ("codes", "each", "of", "places"))
-                begins, ends = known.id_at[places], known.id_at[places + 1]
-                of_word = [next(folded) if p < 0 else known.ids[a:b] for p, a, b in zip(places.tolist(), begins.tolist(), ends.tolist(), strict=True)]
-                words, at = [of_word[k] for k in of.tolist()], [0, *np.cumsum(each).tolist()]
-                pieces = [b"".join(words[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                at, out, size, first = [0, *np.cumsum(row["n"].as_py()).tolist()], [], 0, 0
-                for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    out.append(b"".join(map(pieces.__getitem__, codes[a:b].tolist())))
-                    size += len(out[-1])
-                    if size > 1 << 24 or k + 2 == len(at):
-                        yield pa.RecordBatch.from_arrays([row["ids"].values.slice(first, len(out)), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=["id", "n_tokens", "ids"])
-                        out, size, first = [], 0, k + 1
-
-    binary, strings = T.BinaryType(), T.ArrayType(T.StringType())
-    block_schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("n", T.ArrayType(T.IntegerType())), *[T.StructField(c, binary) for c in ("codes", "each", "of", "places")], T.StructField("words", strings), T.StructField("ranks", T.ArrayType(T.MapType(T.StringType(), T.IntegerType())))])
-    schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids", binary)])
-    return _fold(texts.mapInArrow(split, block_schema)).mapInArrow(join, schema).withColumnRenamed("id", id_col)
+    met = _distinct(_split(texts, pattern, buckets).repartition("key"))
+    short = lambda w: F.when(F.length(w) <= LONG_WORD, fold_merges(w, literal)).otherwise(F.array().cast("array<int>"))
+    folded = _addressed(met.select("block", "bucket", "ids", "data", "words", F.transform("words", short).alias("folded")), for_long)
+    whole = _put_together(folded.repartition("block").sortWithinPartitions("block", "bucket"), kind)
+    return whole.select(F.col("id").alias(id_col), "n_tokens", F.col("tokens").alias("ids"))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """`encoded` with `decoded` (binary): the pieces of its ids, concatenated. Null ids: null. An id without a piece is an error."""
-
-    @F.pandas_udf("binary")
-    def pieces(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = {rank: token for token, rank in read_ranks(ranks_path).items()}
-        for column in columns:
-            yield column.map(lambda ids: None if ids is None else b"".join(map(of.__getitem__, np.frombuffer(ids, "<u4").tolist())))
+    """`encoded` with `decoded` (binary): the pieces of its ids, concatenated. Null ids: null. An id without a piece is an error. A column `decoded` is replaced."""
+    ranks = read_ranks(ranks_path)
+    pieces: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    sent = encoded.sparkSession.sparkContext.broadcast(pieces)
+    rest = [c for c in encoded.columns if c != "decoded"]
+    schema = T.StructType([*[encoded.schema[c] for c in rest], T.StructField("decoded", T.BinaryType())])
 
-    return encoded.withColumn("decoded", pieces(F.col(ids_col)))
+    def run(batches):
+        of = pa.array(sent.value, pa.large_binary())
+        for batch in batches:
+            column = batch.column(ids_col).cast(pa.large_binary())
+            decoded: list[bytes | None] = []
+            for ids in column:
+                raw = ids.as_py()
+                found = None if raw is None else of.take(pa.array(np.frombuffer(raw, "<u4")))
+                if found is not None and found.null_count:
+                    raise ValueError("an id without a piece")
+                at = None if found is None else np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
+                decoded.append(None if found is None else found.buffers()[2].to_pybytes()[at[0] : at[-1]] if len(found) else b"")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=schema.names)
+
+    return encoded.select(*rest).mapInArrow(run, schema)

@@ -63,20 +63,38 @@ def test_suffix_dedup_spreads_a_hot_hash(spark, monkeypatch):
     assert max(largest) <= bound
 
 
-@pytest.mark.parametrize("known", [0, 1_000_000])
-def test_byte_bpe(odd, known):
+def test_byte_bpe(spark, odd):
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
-    extra = odd.select("doc_id", F.concat("text", F.lit("  naïve\t\u00a0x's 漢字 \n\n 12 ")).alias("text"))
-    got = byte_bpe.decode(byte_bpe.encode(extra, path, public_tokenizers.PATTERN, max_known=known), path).collect()
+    extra = odd.select("doc_id", F.concat("text", F.lit("  naïve\t\u00a0x's 漢字 \n\n 12 ")).alias("text"), F.lit(1).alias("block"), F.lit("k").alias("decoded"))
+    got = byte_bpe.decode(byte_bpe.encode(extra, path, public_tokenizers.PATTERN), path).collect()
     texts = [r[1] + "  naïve\t\u00a0x's 漢字 \n\n 12 " if r[1] is not None else "" for r in ROWS]
     assert sorted(r.ids for r in got) == sorted(np.array(own.encode_ordinary(t), "<u4").tobytes() for t in texts)
     assert sorted(bytes(r.decoded) for r in got) == sorted(t.encode() for t in texts)
     assert byte_bpe.encode(odd.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_folds_words_of_any_length(spark, monkeypatch):
+    """The fold and the heap give tiktoken's ids; a word of 200,000 letters and a text of 3 MB are encoded whole, over blocks of any size."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = byte_bpe.read_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(8)
+    some = lambda n: bytes(rng.choice(np.frombuffer(b"etaoinshr", np.uint8), n)).decode()
+    assert all(byte_bpe.heap_merges(w, ranks) == own.encode_ordinary(w.decode()) for w in (some(n).encode() for n in range(1, 300)))
+    texts = [some(200_000), " ".join(some(int(n)) for n in rng.integers(1, 12, 400_000)), some(byte_bpe.LONG_WORD), some(byte_bpe.LONG_WORD + 1), "".join(f"{x} " for x in range(5000))]
+    want = [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for chars in (1_000, byte_bpe.BLOCK_CHARS):
+        monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", chars)
+        got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, path, public_tokenizers.PATTERN).collect()}
+        assert [bytes(got[i]) for i in range(len(texts))] == want
+
+
 def test_near_dedup(spark, odd):
     got = near_dedup.near_classes(odd).collect()
     assert len(got) == len(ROWS) and {r.class_id for r in got if r.doc_id == 1} == {1}
