@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text whose distinct words are looked up together; a longer text is a block of its own.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 #: Bytes of a word up to which Spark folds it; every merge of the fold passes over the word, so longer ones take a heap instead.
 LONG_WORD = 1_000
 #: Buckets of words for each shuffle partition.
@@ -90,7 +90,7 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     n = F.length(word).cast("long")
     numbers = F.sequence(F.lit(1).cast("long"), n)
     begin = F.transform(numbers, lambda i: part(i, i + 1, F.when(i < n, i + 2).otherwise(F.lit(0).cast("long"))))
-    parts = F.transform(F.aggregate(numbers, begin, merge), lambda x: rank(start_of(x), end_of(x)))
+    parts = F.transform(F.aggregate(F.sequence(F.lit(2).cast("long"), n), begin, merge), lambda x: rank(start_of(x), end_of(x)))
     return bind(rank(F.lit(1).cast("long"), n + 1), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(parts))
 
 
@@ -144,6 +144,24 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
+def _coded(numbers: np.ndarray) -> list[bytes]:
+    """Numbers that were given in order of first use, in few bytes: how often each occurs, and in each place 0 for a first use, else one more than the rank by frequency."""
+    often = np.bincount(numbers)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(-often, kind="stable")] = np.arange(len(often))
+    new = numbers > np.maximum.accumulate(np.concatenate([[-1], numbers]))[:-1]
+    return [_planes(often), _planes(np.where(new, 0, rank[numbers] + 1))]
+
+
+def _decoded(often: bytes, coded: bytes) -> np.ndarray:
+    coded = _from_planes(coded)
+    of_rank = np.argsort(-_from_planes(often), kind="stable")
+    out = np.cumsum(coded == 0) - 1
+    known = coded > 0
+    out[known] = of_rank[coded[known] - 1]
+    return out
+
+
 class _Codes(dict):
     """Numbers its keys in the order in which they are first asked for."""
 
@@ -182,12 +200,15 @@ class _Block:
     def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """(distinct words, words in each piece, words of all pieces, number of the piece in each place)."""
         codes = np.concatenate(self.codes)
-        used = np.zeros(2 * len(self.number), bool)
-        used[codes] = True
-        codes = (np.cumsum(used, dtype=np.int32) - 1)[codes]
+        first = np.full(2 * len(self.number), -1)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        used = np.flatnonzero(first >= 0)
+        used = used[np.argsort(first[used])]
+        first[used] = np.arange(len(used))  # numbers in order of first use
+        codes = first[codes].astype(np.int32)
         names, number, each, of = list(self.number), _Codes(), [], []
         letters = self.cuts and self.pattern.findall("ab é") == ["ab", " é"]
-        for c in np.flatnonzero(used).tolist():
+        for c in used.tolist():
             name = names[c >> 1]
             piece = " " + name if c & 1 else name
             if letters and name.isalpha():
@@ -230,7 +251,7 @@ def _split(texts: DataFrame, pattern: str, buckets: int) -> DataFrame:
             words, each, of, codes = block.words()
             id_type = block.ids[0].type
             counts = np.array([len(c) for c in block.codes], np.int32)
-            own = _squeeze(np.array([len(words)], np.int64).tobytes(), *map(_planes, (counts, each, of, codes)))
+            own = _squeeze(np.array([len(words)], np.int64).tobytes(), _planes(counts), _planes(each), *_coded(of), *_coded(codes))
             own_ids = pa.array([[x.as_py() for x in block.ids]], pa.list_(id_type))
             del block
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([k]), pa.array([-1], pa.int32()), own_ids, pa.array([own], pa.binary())], names=schema.names)
@@ -240,7 +261,7 @@ def _split(texts: DataFrame, pattern: str, buckets: int) -> DataFrame:
             rows = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 mine = [words[i] for i in order[a:b].tolist()]
-                rows.append(_squeeze(order[a:b].astype("<i4").tobytes(), np.array([len(w) for w in mine], "<i4").tobytes(), b"".join(mine)))
+                rows.append(_squeeze(_planes(np.diff(order[a:b], prepend=0)), _planes(np.array([len(w) for w in mine])), b"".join(mine)))
             found = bucket[order[edges[:-1]]]
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(rows), k)), pa.array(found.astype(np.int32)), pa.nulls(len(rows), pa.list_(id_type)), pa.array(rows, pa.binary())], names=schema.names)
 
@@ -260,7 +281,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
                 if row.column("bucket")[0].as_py() >= 0:
                     places, lengths, flat = _parts(row.column("data")[0].as_py())
                     known = len(number)
-                    words = _ragged(flat, np.frombuffer(lengths, "<i4"))
+                    words = _ragged(flat, _from_planes(lengths))
                     at = np.fromiter(map(number.__getitem__, words), "<i4", len(words))
                     new = [w for w, k in zip(words, at.tolist(), strict=True) if k >= known]  # a block has a word once
                     row = row.set_column(row.schema.get_field_index("data"), "data", pa.array([places + at.tobytes()], pa.binary()))
@@ -288,7 +309,7 @@ def _addressed(rows: DataFrame, long_words) -> DataFrame:
                     raw = row.column("data")[0].as_py()
                     places, at = raw[: len(raw) // 2], np.frombuffer(raw, "<i4", offset=len(raw) // 2)
                     own = [known[k] for k in at.tolist()]
-                    data = _squeeze(places, np.array([len(x) for x in own], "<i4").tobytes(), b"".join(own))
+                    data = _squeeze(places, _planes(np.array([len(x) for x in own])), _planes(np.frombuffer(b"".join(own), "<u4")))
                     out = out.set_column(out.schema.get_field_index("data"), "data", pa.array([data], pa.binary()))
                 yield out
 
@@ -300,7 +321,8 @@ def _put_together(rows: DataFrame, kind: T.DataType) -> DataFrame:
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
     def finish(ids, own: list[bytes], of_word: list[bytes | None]):
-        counts, each, of, codes = map(_from_planes, own)
+        counts, each = map(_from_planes, own[:2])
+        of, codes = _decoded(*own[2:4]), _decoded(*own[4:6])
         words = [of_word[k] for k in of.tolist()]
         if None in words:
             raise ValueError("a block lacks words: its documents did not come in the same order twice")
@@ -326,8 +348,8 @@ def _put_together(rows: DataFrame, kind: T.DataType) -> DataFrame:
                     ids, own = batch.column("ids")[i].values, parts[1:]
                     of_word = [None] * int.from_bytes(parts[0], "little")
                 else:
-                    places, lengths, flat = parts
-                    for p, w in zip(np.frombuffer(places, "<i4").tolist(), _ragged(flat, np.frombuffer(lengths, "<i4")), strict=True):
+                    places, lengths, flat = map(_from_planes, parts)
+                    for p, w in zip(np.cumsum(places).tolist(), _ragged(flat.tobytes(), lengths), strict=True):
                         of_word[p] = w
         if own is not None:
             yield from finish(ids, own, of_word)

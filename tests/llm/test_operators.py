@@ -89,7 +89,7 @@ def test_byte_bpe_folds_words_of_any_length(spark, monkeypatch):
     texts = [some(200_000), " ".join(some(int(n)) for n in rng.integers(1, 12, 400_000)), some(byte_bpe.LONG_WORD), some(byte_bpe.LONG_WORD + 1), "".join(f"{x} " for x in range(5000))]
     want = [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    for chars in (1_000, byte_bpe.BLOCK_CHARS):
+    for chars in (100_000, byte_bpe.BLOCK_CHARS):
         monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", chars)
         got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, path, public_tokenizers.PATTERN).collect()}
         assert [bytes(got[i]) for i in range(len(texts))] == want
