@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.llm.shared import tidy
+
 #: Characters of text whose distinct words are looked up together; a longer text is a block of its own.
 BLOCK_CHARS = 12_000_000
 #: Bytes of a word up to which Spark folds it; every merge of the fold passes over the word, so longer ones take a heap instead.
@@ -231,6 +233,7 @@ def _blocks(batches, pattern: str) -> Iterator[_Block]:
             if block.chars >= BLOCK_CHARS:
                 yield block
                 block = _Block(compiled, cuts)
+                pa.default_memory_pool().release_unused()
     if block.ids:
         yield block
 
@@ -265,7 +268,7 @@ def _split(texts: DataFrame, pattern: str, buckets: int) -> DataFrame:
             found = bucket[order[edges[:-1]]]
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(rows), k)), pa.array(found.astype(np.int32)), pa.nulls(len(rows), pa.list_(id_type)), pa.array(rows, pa.binary())], names=schema.names)
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidy(run), schema)
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -287,7 +290,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
                     row = row.set_column(row.schema.get_field_index("data"), "data", pa.array([places + at.tobytes()], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([new], pa.list_(pa.binary()))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _addressed(rows: DataFrame, long_words) -> DataFrame:
@@ -313,7 +316,7 @@ def _addressed(rows: DataFrame, long_words) -> DataFrame:
                     out = out.set_column(out.schema.get_field_index("data"), "data", pa.array([data], pa.binary()))
                 yield out
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _put_together(rows: DataFrame, kind: T.DataType) -> DataFrame:
@@ -354,7 +357,7 @@ def _put_together(rows: DataFrame, kind: T.DataType) -> DataFrame:
         if own is not None:
             yield from finish(ids, own, of_word)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,4 +402,4 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
                 decoded.append(None if found is None else found.buffers()[2].to_pybytes()[at[0] : at[-1]] if len(found) else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=schema.names)
 
-    return encoded.select(*rest).mapInArrow(run, schema)
+    return encoded.select(*rest).mapInArrow(tidy(run), schema)

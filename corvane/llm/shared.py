@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run` for mapInArrow, giving Arrow's unused memory back at its end: a Python worker that waits for its next task keeps it otherwise."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
+def unused(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores before it as no column has."""
+    taken = {c.lower() for c in columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8_size(c: Column) -> Column:
     """Bytes of a string in UTF-8; 0 for null."""
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
