@@ -1,4 +1,4 @@
-"""Connected components of a link table, by rounds of joins."""
+"""Connected components of a link table, by contraction."""
 
 from __future__ import annotations
 
@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 from corvane.llm.shared import cut
 
 
+def _links(found: DataFrame) -> DataFrame:
+    """Distinct links (a, b) with a < b."""
+    return cut(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root): root is the lowest node of the component. `links` has the columns a and b; loops and repeats are harmless.
+    """(node, root): root is the lowest node of the component. `links` has the columns a and b; loops and repeats are harmless, and nodes without links to others are left out.
 
-    Each round takes the lowest root among a node's neighbours, then the root of that root, so chains shrink by
-    more than half a round. Every round's labels go to the shared folder; both sides of its joins are shuffled by a
-    single key without an earlier order, so Spark can split a node that holds many links.
+    Each round hangs every node on its lowest neighbour, follows those to their roots by doubling, and replaces the
+    ends of the links by their roots. Links within a tree are gone then, so each round joins far fewer links, and
+    there are at most as many rounds as doublings of the largest component. What a round finds goes to the shared folder; all joins are by a
+    single key with nothing above that needs their order, so Spark can split a node that holds many links.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
-        lower = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
-        hop = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(lower.join(hop, "root", "left").select("node", "old", F.coalesce(F.least("root", "next"), "root").alias("root")))
-        if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+    links = _links(links)
+    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).where(F.lit(False))
+    while not links.isEmpty():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tree = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+        while True:
+            above = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            hopped = cut(tree.join(above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            tree = hopped.select("node", "root")
+            if hopped.where("moved").isEmpty():
+                break
+        of_a, of_b = (tree.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
+        links = _links(links.join(of_a, "a").join(of_b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        higher = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        known = roots.join(higher, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        roots = cut(known.unionByName(tree.join(roots.select("node"), "node", "left_anti")))
+    return roots

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.graph import components
-from corvane.llm.shared import cut
+from corvane.llm.shared import cut, unused
 
 #: Short shingles and few minima: a text with every fifth word changed keeps half of its 3-word shingles.
 SHINGLE = 3
@@ -264,17 +264,8 @@ def _rare_pairs(hot: DataFrame, sequences: DataFrame) -> DataFrame:
     return _pairs_within(few, "w", apart=True).unionByName(_pairs_within(many, "w", apart=True)).distinct()
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: the id column and class_id, the lowest id of its class.
-
-    Two different texts are linked if they agree in a band and are at least THRESHOLD similar: 1 - edit distance / longer
-    length, in words. Classes are the connected components of links and equal texts, so pairs that are
-    of one class already need no alignment. Texts without words have no links, but equal ones are one class; each
-    row of null text is one for itself. Buckets of up to SMALL texts give all their pairs. Texts of larger ones are compared
-    with the bucket's first; where that leaves more than one class in a bucket, its texts meet all others of such buckets by
-    their rare words, which misses no link.
-    """
-    sketched = cut(sketch(docs, id_col, text_col))
+def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFrame:
+    """(t, root, low, class_id) of each text: root names its class, low is its lowest id, class_id that of its class."""
     texts = sketched.where("t is not null").groupBy("t").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     bucketed = texts.where("n > 0").select("t", F.col("n").cast("long").alias("n"), F.posexplode("bands").alias("j", "band")).select("t", "n", F.xxhash64("j", "band").alias("v"))
     counts = bucketed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
@@ -294,15 +285,44 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = cut(rooted.join(mixed, "v", "left_semi").select("t", "n", "root").distinct())
     if not hot.isEmpty():
         apart = apart.unionByName(_rare_pairs(hot, sequences)).distinct()
-    roots = components(cut(links.unionByName(_verified(cut(apart), sequences))))
+    # Links that are known are one node by now: only what joins two classes is left to close.
+    later = _verified(cut(apart), sequences).join(of_a, "a", "left").join(of_b, "b", "left")
+    higher = components(later.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
     named = texts.select("t", "low").join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("root", "t").alias("root"), "low")
-    named = cut(named)
-    classes = named.join(named.groupBy("root").agg(F.min("low").alias("class_id")), "root").select("t", "class_id")
+    named = cut(named.join(higher.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("t", F.coalesce("top", "root").alias("root"), "low"))
+    lowest = cut(named.groupBy("root").agg(F.min("low").alias("class_id")))
+    return named.join(lowest, "root").select("t", "root", "low", "class_id")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of `docs`: the id column and class_id, the lowest id of its class.
+
+    Two different texts are linked if they agree in a band and are at least THRESHOLD similar: 1 - edit distance / longer
+    length, in words. Classes are the connected components of links and equal texts, so pairs that are
+    of one class already need no alignment. Texts without words have no links, but equal ones are one class; each
+    row of null text is one for itself. Null ids count for nothing unless a class has no other; then its class_id is null. Repeated
+    ids are rows of their own, and go by their texts. Other columns are not read; an empty table gives an empty one.
+    Buckets of up to SMALL texts give all their pairs. Texts of larger ones are compared
+    with the bucket's first; where that leaves more than one class in a bucket, its texts meet all others of such buckets by
+    their rare words, which misses no link.
+    """
+    sketched = cut(sketch(docs, id_col, text_col))
+    classes = _text_classes(docs, sketched, text_col).select("t", "class_id")
     out = sketched.select("id", "t").join(classes, "t", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    return out.select(F.col("id").alias(id_col), F.when(F.col("t").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each class: that of the lowest id. Rows of null text stay."""
-    classes = near_classes(docs, id_col, text_col).where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(classes, docs[id_col] == classes["_id"], "left_anti")
+    """`docs` with one row of each class: that of the lowest id, of several texts of that id the one of the lowest hash. Rows of null text all stay.
+
+    Rows of equal id and text are one; which of them stays is open where their other columns differ. Null ids come after all
+    others. Columns of any name are kept; an empty table gives an empty one.
+    """
+    classes = _text_classes(docs, cut(sketch(docs, id_col, text_col)), text_col)
+    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("last"), "low", "t")).alias("first"))
+    own, text, low, number = (unused(docs.columns, c) for c in ("t", "text", "low", "number"))
+    kept = kept.select(F.col("first.t").alias(text), F.col("first.low").alias(low))
+    rows = docs.withColumn(own, F.unhex(F.md5(F.col(text_col).cast("binary"))))
+    met = rows.join(kept, (F.col(own) == F.col(text)) & F.col(id_col).eqNullSafe(F.col(low)), "left").where(F.col(own).isNull() | F.col(text).isNotNull())
+    nth = F.row_number().over(Window.partitionBy(own, id_col).orderBy(own))  # by the join's own keys, so nothing is shuffled again
+    return met.withColumn(number, nth).where(F.col(own).isNull() | (F.col(number) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])

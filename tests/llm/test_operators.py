@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dedup, quality, sharding, suffix_dedup, token_files, url_filter
+from corvane.llm.graph import components
 from corvane.llm.shared import scratch
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -77,7 +78,7 @@ def test_byte_bpe(spark, odd):
 
 
 def test_byte_bpe_folds_words_of_any_length(spark, monkeypatch):
-    """The fold and the heap give tiktoken's ids; a word of 200,000 letters and a text of 3 MB are encoded whole, over blocks of any size."""
+    """The fold and the heap give tiktoken's ids; a word of 200,000 letters and a text of 60,000 words are encoded whole, over blocks of any size."""
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,10 +87,10 @@ def test_byte_bpe_folds_words_of_any_length(spark, monkeypatch):
     rng = np.random.default_rng(8)
     some = lambda n: bytes(rng.choice(np.frombuffer(b"etaoinshr", np.uint8), n)).decode()
     assert all(byte_bpe.heap_merges(w, ranks) == own.encode_ordinary(w.decode()) for w in (some(n).encode() for n in range(1, 300)))
-    texts = [some(200_000), " ".join(some(int(n)) for n in rng.integers(1, 12, 400_000)), some(byte_bpe.LONG_WORD), some(byte_bpe.LONG_WORD + 1), "".join(f"{x} " for x in range(5000))]
+    texts = [some(200_000), " ".join(some(int(n)) for n in rng.integers(1, 12, 60_000)), some(byte_bpe.LONG_WORD), some(byte_bpe.LONG_WORD + 1), "".join(f"{x} " for x in range(5000))]
     want = [np.array(own.encode_ordinary(t), "<u4").tobytes() for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    for chars in (100_000, byte_bpe.BLOCK_CHARS):
+    for chars in (50_000, byte_bpe.BLOCK_CHARS):
         monkeypatch.setattr(byte_bpe, "BLOCK_CHARS", chars)
         got = {r.doc_id: r.ids for r in byte_bpe.encode(docs, path, public_tokenizers.PATTERN).collect()}
         assert [bytes(got[i]) for i in range(len(texts))] == want
@@ -103,7 +104,29 @@ def test_near_dedup(spark, odd):
     docs = spark.createDataFrame([*enumerate(near), (100, " ".join(f"v{i}" for i in range(300))), (101, None)], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == {**dict.fromkeys(range(30), 0), 100: 100, 101: 101}
     assert {r.doc_id for r in near_dedup.keep_one(docs).collect()} == {0, 100, 101}
-    assert near_dedup.near_classes(odd.limit(0)).count() == 0
+    assert near_dedup.near_classes(odd.limit(0)).count() == 0 == near_dedup.keep_one(odd.limit(0)).count()
+    rows = [(1, "same words"), (1, "same words"), (None, "same words"), (None, "same words"), (2, "same words"), (3, None), (3, None), (None, "alone"), (None, "alone"), (4, " "), (4, "other text")]
+    rows = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, _t int, text2 string")
+    kept = near_dedup.keep_one(rows)
+    assert kept.columns == rows.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "same words"), (3, None), (3, None), (None, "alone"), (4, " "), (4, "other text")], key=str)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in range(40)] + [(1000 + int(a), 1000 + int(b)) for a, b in rng.integers(0, 100, (80, 2))] + [(5000, 5001 + i) for i in range(300)] + [(7, 7), (5000, 5001)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in links for x in (a, b) if any(p != q and x in (p, q) for p, q in [(a, b)])}
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
 
 
 def test_bands_find_scattered_changes():
