@@ -3,7 +3,7 @@
 Every window of LENGTH bytes belongs to the lowest hash among its K-byte strings, so equal windows belong to the same
 hash wherever they stand. A maximal run of windows with their lowest hash in one place is a piece; equal pieces are counted before
 anything is shuffled by content, and pieces of one hash that differ go to the same bucket. A hash with too many bytes of
-them would outgrow its bucket, so the windows of its pieces are dealt out by a hash of all their bytes. A bucket splits its
+them would outgrow its bucket, so its pieces are strings to be cut up anew, by the lowest hashes of longer strings, until whole windows are hashed. A bucket splits its
 pieces into shards, sorts each shard's rotations, and merges the shards' Burrows-Wheeler transforms by iterative interleave
 refinement: every round orders the interleave by Q more symbols, and marks where common prefixes end. After LENGTH symbols,
 the intervals between marks are the distinct windows; those with more than one occurrence are repeated.
@@ -27,8 +27,8 @@ K = 32
 #: Bytes of pieces in a bucket, on average, and shards in each. Of few enough symbols, numpy sorts a round in one pass.
 BUCKET_BYTES = 1 << 16
 SHARDS = 4
-#: Bytes of the different pieces of one hash from which their windows are counted one by one.
-HOT_BYTES = 1 << 20
+#: Bytes of the different pieces of one hash from which they are cut up anew.
+HOT_BYTES = 1 << 18
 
 _HIGH = np.uint64((1 << 64) - (1 << 22))
 
@@ -135,24 +135,29 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _cut_up(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """(h, s, t, a, b) of every piece of `texts` (t, data): its lowest hash, a hash of its bytes, its text, first window, last window + 1."""
+def _cut_up(strings: DataFrame, length: int, k: int, whole: bool = True) -> DataFrame:
+    """(h, n, s, t, a, b) of every piece of `strings` (t, n, data): its lowest hash, its string's n, a hash of its bytes, its string, first window, last window + 1. Only h and n unless `whole`."""
     step = 1 << 21
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
+    if whole:
+        schema = T.StructType([*schema, T.StructField("s", T.LongType()), T.StructField("t", strings.schema["t"].dataType), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
 
     def run(batches):
         for batch in batches:
-            for row, _, data, offsets in W.slices(batch.column(1)):
+            for row, _, data, offsets in W.slices(batch.column(2)):
                 for base in range(0, max(1, len(data) - length + 1), step):  # a long text in parts; no window is lost
                     part = data[base : base + step + length - 1]
                     low, doc, first, ends = pieces(part, offsets if len(part) == len(data) else np.array([0, len(part)]), length, k)
-                    raw = part.tobytes()
-                    s = np.array([xxhash.xxh3_64_intdigest(raw[i : j + length - 1]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)], np.uint64)
-                    at = base - offsets[doc]
-                    columns = [low.view(np.int64), s.view(np.int64), (first + at).astype(np.int32), (ends + at).astype(np.int32)]
-                    h, s, first, ends = map(pa.array, columns)
-                    yield pa.RecordBatch.from_arrays([h, s, batch.column(0).take(pa.array(doc + row, pa.int64())), first, ends], names=["h", "s", "t", "a", "b"])
+                    of = pa.array(doc + row, pa.int64())
+                    columns = [pa.array(low.view(np.int64)), batch.column(1).take(of)]
+                    if whole:
+                        raw = part.tobytes()
+                        s = np.array([xxhash.xxh3_64_intdigest(raw[i : j + length - 1]) for i, j in zip(first.tolist(), ends.tolist(), strict=True)], np.uint64)
+                        at = base - offsets[doc]
+                        columns += [pa.array(s.view(np.int64)), batch.column(0).take(of), pa.array((first + at).astype(np.int32)), pa.array((ends + at).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return texts.mapInArrow(run, "h long, s long, t binary, a int, b int")
+    return strings.select("t", "n", "data").mapInArrow(run, schema)
 
 
 def _strings(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -192,57 +197,34 @@ def _merge_transforms(strings: DataFrame, buckets: int, length: int) -> DataFram
     return strings.groupBy(F.pmod("h", F.lit(buckets)).alias("bucket")).applyInArrow(run, "h long, s long, runs array<struct<x:int,y:int>>")
 
 
-def _count_windows(strings: DataFrame, length: int) -> DataFrame:
-    """As _merge_transforms, for pieces of hot hashes: each window goes by the 128-bit hash of its own bytes, so equal ones meet and no group holds a hash's pieces."""
-
-    def windows(batches):
-        for batch in batches:
-            for row, _, data, offsets in W.slices(batch.column("data"), 1 << 18):
-                count = np.maximum(np.diff(offsets) - length + 1, 0)
-                of = np.repeat(np.arange(len(count)), count)
-                at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-                raw = data.tobytes()
-                digests = [xxhash.xxh3_128_digest(raw[i : i + length]) for i in (offsets[of] + at).tolist()]
-                own = batch.select(["h", "s", "n"]).take(pa.array(of + row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(at.astype(np.int32)), pa.array(digests, pa.binary())], names=["h", "s", "n", "x", "w"])
-
-    def joined(batches):
-        for batch in batches:
-            runs = []
-            for places in batch.column("xs"):
-                x = np.sort(np.array(places.as_py(), np.int64))
-                ends = np.flatnonzero(np.r_[x[1:] != x[:-1] + 1, True])
-                runs.append([{"x": int(a), "y": int(b) + 1} for a, b in zip(x[np.r_[0, ends[:-1] + 1]], x[ends], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("s"), pa.array(runs, pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))], names=["h", "s", "runs"])
-
-    found = cut(strings.mapInArrow(windows, "h long, s long, n long, x int, w binary"))
-    repeated = found.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w")
-    places = found.join(repeated, "w").groupBy("h", "s").agg(F.collect_set("x").alias("xs"))  # at most a piece's windows
-    return places.mapInArrow(joined, "h long, s long, runs array<struct<x:int,y:int>>")
-
-
-def repeated_spans(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(t, spans) of the texts (t, data) with repeated bytes: sorted, disjoint ranges of bytes. Equal t must mean equal data; copies are rows of their own."""
-    found = _cut_up(texts, length, min(k, length))
-    shared = found.groupBy("h").count().where("count > 1").select("h")
-    found = cut(found.join(shared, "h"))
-    distinct = found.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("t", "a", "b")).alias("rep"))
+def repeated_windows_of(strings: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """(t, runs) of the strings (t, n, data) with repeated windows; runs: sorted ranges of places where such windows start. Strings of equal t are copies; each counts n times."""
+    shared = _cut_up(strings, length, k, whole=False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    found = cut(_cut_up(strings, length, k).join(shared, "h"))
+    distinct = found.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min(F.struct("t", "a", "b")).alias("rep"))
     size = (F.col("rep.b") - F.col("rep.a") + length - 1).cast("long")
     kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(size).alias("bytes"))
     distinct = cut(distinct.join(kinds, "h").select("h", "s", "n", "rep.*", "kinds", "bytes"))
-    is_hot = F.col("bytes") > HOT_BYTES
+    is_hot = (F.col("bytes") > HOT_BYTES) & F.lit(k < length)
     mixed = distinct.where("kinds > 1")
     own = F.col("b") - F.col("a") + length - 1
     size, hot_size = mixed.agg(F.sum(F.when(~is_hot, own)), F.sum(F.when(is_hot, own))).first()
-    judged = _merge_transforms(_strings(texts, mixed.where(~is_hot).drop("kinds", "bytes"), length), -(-(size or 0) // BUCKET_BYTES) + 1, length)
+    judged = _merge_transforms(_strings(strings, mixed.where(~is_hot).drop("kinds", "bytes"), length), -(-(size or 0) // BUCKET_BYTES) + 1, length)
     if hot_size:
-        judged = judged.unionByName(_count_windows(_strings(texts, mixed.where(is_hot).drop("kinds", "bytes"), length), length))
-    # A hash of one piece alone has all its occurrences equal.
+        hot = _strings(strings, mixed.where(is_hot).drop("kinds", "bytes"), length)
+        deeper = repeated_windows_of(cut(hot.select(F.struct("h", "s").alias("t"), "n", "data").dropDuplicates(["t"])), length, length - (length - k) // 4)
+        judged = judged.unionByName(deeper.select("t.h", "t.s", "runs"))
+    # A hash of one piece alone has all its occurrences equal; it is here because it has several, or one that counts several times.
     alone = distinct.where("kinds = 1").select("h", "s", F.array(F.struct(F.lit(0).alias("x"), (F.col("b") - F.col("a")).alias("y"))).alias("runs"))
     runs = judged.where(F.size("runs") > 0).unionByName(alone)
-    byte_runs = found.join(runs, ["h", "s"]).select("t", F.explode("runs").alias("r"), "a")
-    byte_runs = byte_runs.select("t", F.struct((F.col("a") + F.col("r.x")).alias("from"), (F.col("a") + F.col("r.y") + length - 1).alias("to")).alias("span"))
-    return byte_runs.groupBy("t").agg(F.array_sort(F.collect_set("span")).alias("spans"))  # copies give the same spans
+    placed = found.join(runs, ["h", "s"]).select("t", F.explode("runs").alias("r"), "a").select("t", F.struct((F.col("a") + F.col("r.x")).alias("x"), (F.col("a") + F.col("r.y")).alias("y")).alias("r"))
+    return placed.groupBy("t").agg(F.array_sort(F.collect_set("r")).alias("runs"))  # copies give the same runs
+
+
+def repeated_spans(texts: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+    """(t, spans) of the texts (t, data) with repeated bytes: sorted ranges of bytes, which may overlap. Equal t must mean equal data; copies are rows of their own."""
+    runs = repeated_windows_of(texts.select("t", F.lit(1).cast("long").alias("n"), "data"), length, min(k, length))
+    return runs.select("t", F.transform("runs", lambda r: F.struct(r["x"].alias("from"), (r["y"] + (length - 1)).alias("to"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
