@@ -6,24 +6,27 @@ windows that cover all of it; its probabilities are the windows' mean.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.shared import unused
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Labelled texts that training reads at most (those of the lowest hash), and windows taken from each, spread evenly.
+#: Labelled texts that training reads at most, the same number of each language (those of the lowest hash), and windows taken from each, spread evenly.
 MAX_TEXTS = 3_000
+#: Most languages that can be learned.
+MAX_LABELS = 500
 WINDOWS_PER_TEXT = 4
 EPOCHS = 10
 UNKNOWN = "und"
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,17 +102,26 @@ class ByteCnn:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_texts: int = MAX_TEXTS) -> ByteCnn | None:
-    """Learn from rows with text and label; at most `max_texts`, those whose text has the lowest hash. None without any."""
+    """Learn from rows with text and label: at most `max_texts`, of each language an even share, those whose text has the lowest hash. None without any."""
     text = F.col(text_col)
     rows = labelled.where(text.isNotNull() & F.col(lang_col).isNotNull()).select(text.alias("text"), F.col(lang_col).alias("lang"))
     # Windows are cut and rows are thinned by hash before anything reaches the driver, so its share is bounded.
-    n, place = rows.count(), F.xxhash64("text")
-    lowest = -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * (1.2 * max_texts + 100) / max(n, 1)))
+    different = rows.select("lang", F.xxhash64("text")).distinct()  # copies of a text count once
+    counts = {r["lang"]: r["count"] for r in different.groupBy("lang").count().limit(MAX_LABELS + 1).collect()}
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"over {MAX_LABELS} languages")
+    if not counts:
+        return None
+    share, place = max(1, max_texts // len(counts)), F.xxhash64("text")
+    lowest = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, -(1 << 63) + min((1 << 64) - 1, int((1 << 64) * (1.2 * share + 100) / n)))])
     step = F.greatest(F.length("text") / F.lit(WINDOWS_PER_TEXT), F.lit(1))
     pieces = F.array(*[F.substr("text", (step * i).cast("int") + 1, F.lit(WINDOW)) for i in range(WINDOWS_PER_TEXT)])
-    rows = rows.select(place.alias("place"), "lang", F.array_distinct(pieces).alias("pieces")).where(F.col("place") <= lowest)
-    got = rows.orderBy("place", "lang").limit(max_texts).collect()
-    got = [(r["lang"], p.encode()[:WINDOW]) for r in got for p in r["pieces"] if _LETTER.search(p)]
+    rows = rows.select(place.alias("place"), "lang", F.array_distinct(pieces).alias("pieces")).where(F.col("place") <= lowest[F.col("lang")])
+    rows = rows.groupBy("place", "lang").agg(F.first("pieces").alias("pieces"))
+    found: dict[str, list] = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["place"], r["lang"], r["pieces"])):
+        found.setdefault(r["lang"], []).append(r["pieces"])
+    got = [(lang, p.encode()[:WINDOW]) for lang in sorted(found) for own in found[lang][:share] for p in own if _LETTER.search(p)]
     if not got:
         return None
     labels = sorted({k for k, _ in got})
@@ -120,7 +132,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", m
 def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score (the mean probability of that language over the text's windows).
 
-    Null text and text without letters: `und`, score 0. So is all text if there is no model. Ties go to the label
+    Null text and text without letters: `und`, score 0; an empty table gives an empty one. So is all text if there is no model. Ties go to the label
     that sorts first. Columns of these names in `docs` are replaced.
     """
     spark = docs.sparkSession
@@ -145,8 +157,8 @@ def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> D
                 group, size = [], 0
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    keep = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*keep, classify(F.col(text_col)).alias("_found")).select(*[c for c in docs.columns if c not in ("lang_pred", "score")], "_found.lang_pred", "_found.score")
+    keep, found = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], unused(docs.columns, "found")
+    return docs.select(*keep, classify(F.col(text_col)).alias(found)).select(*keep, f"{found}.lang_pred", f"{found}.score")
 
 
 def held_out(id_col: str = "doc_id"):

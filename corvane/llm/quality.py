@@ -102,7 +102,7 @@ def _judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     count = {k: _sums(t[data], line_start, line_end) for k, t in (("symbol", _SYMBOL), ("sentence", _SENTENCE), ("emphasis", _EMPHASIS), ("separator", _SEPARATOR))}
     lower = _LOWER[data].tobytes()
     phrase = np.zeros(len(line_start), bool)
-    hits = np.array([m.start() for m in _PHRASE.finditer(lower)], np.int64)
+    hits = np.array([m.start() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in _PHRASE.finditer(lower, a, b)], np.int64)  # none from one text into the next
     phrase[np.searchsorted(line_start, hits, "right") - 1] = True
     w = np.maximum(line_words, 1)
     bare = (line_words >= LONG_LINE) & (count["sentence"] == 0)

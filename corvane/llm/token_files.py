@@ -51,6 +51,8 @@ class WordEncoder:
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.newline = self._ids(["\n"])[0]
+        whole, *parts = self._ids(["a b\nc .\n.", "a", " b", "\n", "c", " .", "\n", "."])
+        self.cuts = whole == b"".join(parts)  # else texts go to the library as they are
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,7 +69,7 @@ class WordEncoder:
         first: set[str] = set()
         rest: set[str] = set()
         for text in texts:
-            if " ".join(text.split()) != text.replace("\n", " "):
+            if not self.cuts or " ".join(text.split()) != text.replace("\n", " "):
                 cut.append(None)
                 continue
             words = text.replace("\n", " \n ").split(" ")

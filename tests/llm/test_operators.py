@@ -212,6 +212,30 @@ def test_quality_and_language(spark, odd):
     assert language_id.train(docs.limit(0)) is None and language_id.predict(docs.limit(1), None).first().lang_pred == "und"
 
 
+def test_quality_does_not_depend_on_neighbours(spark):
+    texts = ["please do not click", " here is a text", "click here", "", None, "a\nclick\nhere", "x sign up for"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one, many = ({r.doc_id: r for r in quality.clean_lines(docs.repartition(n)).collect()} for n in (1, 50))
+    assert one == many
+    assert [one[i].n_failed_lines for i in range(7)] == [0, 0, 1, 0, 0, 0, 1] and one[5].cleaned_text == "a\nclick\nhere" and one[4].cleaned_text is None
+
+
+def test_letters_and_rare_languages(spark):
+    docs = [(i, "the and of is not a to be " * 5, "en") for i in range(400)] + [(500 + i, "der und die das ist nicht ein " * (5 + i), "de") for i in range(3)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(docs, max_texts=100)
+    assert model.labels == ["de", "en"]
+    odd = spark.createDataFrame([(1, "½ ² ① 12"), (2, "é")], "doc_id long, text string").withColumn("_found", F.lit(1))
+    found = {r.doc_id: r for r in language_id.predict(odd, model).collect()}
+    assert found[1].lang_pred == "und" and found[1].score == 0 and found[2].lang_pred in ("de", "en") and found[1]["_found"] == 1
+
+
+def test_lines_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(i, f"own line {i}\nshared", f"s{i}", 1, 2, "k") for i in range(12)], "doc_id long, text string, source string, _bad int, n_removed int, line string")
+    got = line_dedup.remove_boilerplate(pages)
+    assert sorted(got.columns) == sorted([*pages.columns, "n_lines", "kept_text"]) and {(r.n_removed, r["_bad"]) for r in got.collect()} == {(1, 1)}
+
+
 def test_sharding_and_lines(spark, odd):
     got = sharding.shard_by_bytes(odd, 3).collect()
     assert len(got) == len(ROWS) and {r.shard for r in got} <= {0, 1, 2}
