@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +28,10 @@ N_BANDS = 24
 MINIMA = 2
 #: Texts of a bucket up to which each is compared with each; those of larger ones with the first, then by their rare words.
 SMALL = 8
-#: Texts that share a word up to which that alone makes them candidates; log2 of the slots in which words are counted.
+#: Texts that share a word up to which that alone makes them candidates.
 FEW = 32
-SLOT_BITS = 18
+#: Texts whose words are sent to be counted together.
+PART_TEXTS = 1_000
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 1 << 63, N_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -219,44 +222,118 @@ def _labelled(words: bytes) -> np.ndarray:
     return W.mix(w + (occurrence << np.uint64(32)))
 
 
-def _rare_pairs(hot: DataFrame, sequences: DataFrame) -> DataFrame:
-    """All pairs (a, b) of the texts `hot` (t, n, root) that may be similar and are of different roots.
+def _parts_of(batches):
+    """(number, rows) of parts of a partition's batches; the number is the same whenever they are read."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for i in range(0, batch.num_rows, PART_TEXTS):
+            yield number, batch.slice(i, PART_TEXTS)
+            number += 1
 
-    Similar texts of n words and more share all but n / 5 of their labelled words, so whatever the order of words, they have one in
-    common among the n // 5 + 1 first of each, and two among the n // 5 + 2 first. The order is from rare to frequent. Texts that
-    share a word of few texts are compared; for more frequent words those that share two of them are.
-    """
-    texts = cut(sequences.join(hot, "t").select("t", "n", "root", "words"))
 
-    def count(batches):
-        total = np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
-            for words in batch.column(0):
-                np.add.at(total, (_labelled(words.as_py()) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-        slots = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], names=["slot", "c"])
+def _words_by_bucket(texts: DataFrame, buckets: int) -> DataFrame:
+    """(part, bucket, data): the distinct pairs of a word and a root in each part of `texts`, in buckets by the word; data has the words, then the roots' hashes."""
+
+    def run(batches):
+        for number, rows in _parts_of(batches):
+            own = [_labelled(words.as_py()) for words in rows.column("words")]
+            w = np.concatenate(own)
+            root = np.repeat(np.array([xxhash.xxh3_64_intdigest(x.as_py()) for x in rows.column("root")], np.uint64), [len(x) for x in own])
+            w, root = _distinct_pairs(w, root)
+            bucket = (w % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            data = [w[order[i:j]].tobytes() + root[order[i:j]].tobytes() for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), number)), pa.array(bucket[order[edges[:-1]]]), pa.array(data, pa.binary())], names=["part", "bucket", "data"])
+
+    return texts.mapInArrow(run, "part long, bucket int, data binary")
+
+
+def _distinct_pairs(w: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((root, w))
+    w, root = w[order], root[order]
+    fresh = np.r_[True, (w[1:] != w[:-1]) | (root[1:] != root[:-1])] if len(w) else np.zeros(0, bool)
+    return w[fresh], root[fresh]
+
 
-    counted = texts.select("words").mapInArrow(count, "slot int, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
-    frequency = np.zeros(1 << SLOT_BITS, np.int64)
-    frequency[counted["slot"].to_numpy()] = counted["c"].to_numpy()
-    sent = hot.sparkSession.sparkContext.broadcast(frequency)
+def _shared_words(pairs: DataFrame) -> DataFrame:
+    """(part, bucket, data): for each part the words that texts of several roots have, then of how many. A Spark partition's share of the words is in memory at once."""
 
-    def rare(batches):
+    def run(batches):
+        rows = [(p.as_py(), b.as_py(), np.frombuffer(d.as_py(), np.uint64)) for batch in batches for p, b, d in zip(batch.column(0), batch.column(1), batch.column(2), strict=True)]
+        if not rows:
+            return
+        w, _ = _distinct_pairs(*(np.concatenate([d.reshape(2, -1)[i] for _, _, d in rows]) for i in (0, 1)))
+        known, count = np.unique(w, return_counts=True)
+        known, count = known[count > 1], count[count > 1].astype(np.uint64)
+        for part, bucket, d in rows:
+            own = np.intersect1d(d.reshape(2, -1)[0], known)
+            if len(own):
+                data = own.tobytes() + count[np.searchsorted(known, own)].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["part", "bucket", "data"])
+
+    return pairs.mapInArrow(run, "part long, bucket int, data binary")
+
+
+def _rare_words(texts: DataFrame) -> DataFrame:
+    """(t, n, root, w): of the n // 5 + 2 rarest words of each text those that a text of another root has too. Rare are words of few roots."""
+    spark = texts.sparkSession
+    shared = _shared_words(_words_by_bucket(texts, 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))).repartition("bucket"))
+    names = ["part", "bucket", "t", "n", "root", "data"]
+
+    def tag(batches):
+        for number, rows in _parts_of(batches):
+            ends = [pa.array(np.full(rows.num_rows, number)), pa.array(np.full(rows.num_rows, 1 << 30, np.int32))]
+            yield pa.RecordBatch.from_arrays([*ends, *(rows.column(c) for c in ("t", "n", "root", "words"))], names=names)
+
+    def run(batches):
+        part, known, count = None, [], []
         for batch in batches:
             found, at = [], []
-            for i, words in enumerate(batch.column("words")):
-                h = _labelled(words.as_py())
-                c = sent.value[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+            for i in range(batch.num_rows):
+                if batch.column("part")[i].as_py() != part:
+                    part, known, count = batch.column("part")[i].as_py(), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+                data = batch.column("data")[i].as_py()
+                if batch.column("bucket")[i].as_py() < 1 << 30:
+                    w, c = np.frombuffer(data, np.uint64).reshape(2, -1)
+                    known.append(w)
+                    count.append(c)
+                    continue
+                if len(known) != 1:  # the first text after its part's words
+                    w, c = np.concatenate(known), np.concatenate(count)
+                    order = np.argsort(w)
+                    known, count = [w[order]], [c[order]]
+                h = _labelled(data)
+                c = np.ones(len(h), np.uint64)
+                if len(known[0]):
+                    place = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+                    c = np.where(known[0][place] == h, count[0][place], c)
                 first = np.lexsort((h, c))[: len(h) // 5 + 2]
-                first = first[c[first] > 1]  # others are of this text alone
+                first = first[c[first] > 1]
                 found.append(h[first])
                 at.append(np.full(len(first), i))
-            own = batch.select(["t", "n", "root"]).take(pa.array(np.concatenate(at)))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate(found).view(np.int64))], names=["t", "n", "root", "w"])
+            if found:
+                own = batch.select(["t", "n", "root"]).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate(found).view(np.int64))], names=["t", "n", "root", "w"])
+
+    tagged = texts.mapInArrow(tag, "part long, bucket int, t binary, n long, root binary, data binary")
+    none = {c: F.lit(None).cast(kind) for c, kind in (("t", "binary"), ("n", "long"), ("root", "binary"))}
+    rows = tagged.unionByName(shared.withColumns(none)).repartition("part").sortWithinPartitions("part", "bucket")
+    return rows.mapInArrow(run, "t binary, n long, root binary, w long")
+
+
+def _rare_pairs(hot: DataFrame, sequences: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the texts `hot` (t, n, root) that may be similar and are of different roots.
 
-    keyed = cut(texts.mapInArrow(rare, "t binary, n long, root binary, w long"))
+    Similar texts of n words and more share all but n / 5 of their labelled words, so whatever the order of words, they have one in
+    common among the n // 5 + 1 first of each, and two among the n // 5 + 2 first. The order is from words of few roots to those of
+    many, so a text with enough words of its own root alone meets nobody. Texts that
+    share a word of few texts are compared; for more frequent words those that share two of them are.
+    """
+    texts = cut(sequences.join(hot, "t").select("t", "n", "root", "words"))
+    keyed = cut(_rare_words(texts))
     sizes = keyed.groupBy("w").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("m > 1 and low <> high")
-    keyed = cut(keyed.join(sizes.select("w", "m"), "w"))
+    keyed = cut(keyed.join(cut(sizes.select("w", "m")), "w"))
     few = keyed.where(F.col("m") <= FEW).drop("m")
     many = keyed.where(F.col("m") > FEW).groupBy("t", "n", "root").agg(F.collect_set("w").alias("ws"))
     two = F.flatten(F.transform("ws", lambda x: F.transform(F.filter("ws", lambda y: y > x), lambda y: F.xxhash64(x, y))))
