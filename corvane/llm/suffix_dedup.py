@@ -199,7 +199,7 @@ def _merge_transforms(strings: DataFrame, buckets: int, length: int) -> DataFram
 
 def repeated_windows_of(strings: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(t, runs) of the strings (t, n, data) with repeated windows; runs: sorted ranges of places where such windows start. Strings of equal t are copies; each counts n times."""
-    shared = _cut_up(strings, length, k, whole=False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    shared = cut(_cut_up(strings, length, k, whole=False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))  # a table of its own, so Spark can split a hash that many pieces have
     found = cut(_cut_up(strings, length, k).join(shared, "h"))
     distinct = found.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min(F.struct("t", "a", "b")).alias("rep"))
     size = (F.col("rep.b") - F.col("rep.a") + length - 1).cast("long")
