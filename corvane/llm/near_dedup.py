@@ -117,12 +117,12 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
 
 
 def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int], cells: int = 1 << 16) -> list[bool]:
-    """Whether the edit distance of each pair of word sequences is at most its limit: a bigram bound first, then bands of growing width."""
+    """Whether the edit distance of each pair of word sequences is at most its limit: bounds by common words and bigrams first, then bands of growing width."""
     result, open_ = [False] * len(pairs), []
     for i, (x, y) in enumerate(pairs):
         n = max(len(x), len(y))
-        if abs(len(x) - len(y)) > limits[i] or min(len(x), len(y)) > 1 and _common(_pairs_of(x), _pairs_of(y)) < n - 1 - 2 * limits[i]:
-            continue  # an edit changes at most two bigrams
+        if abs(len(x) - len(y)) > limits[i] or _common(x, y) < n - limits[i] or min(len(x), len(y)) > 1 and _common(_pairs_of(x), _pairs_of(y)) < n - 1 - 2 * limits[i]:
+            continue  # an edit changes at most one word of the longer and two bigrams
         m = min(len(x), len(y))
         differ = np.flatnonzero(x[:m] != y[:m])
         head = int(differ[0]) if len(differ) else m
@@ -195,7 +195,8 @@ def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(good)
 
     # Both joins are by a single key without more above, so Spark splits a text that has many pairs.
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    both = pairs.hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _close_lengths(n: str, m: str) -> Column:
@@ -206,7 +207,8 @@ def _close_lengths(n: str, m: str) -> Column:
 def _pairs_within(members: DataFrame, key: str, apart: bool = False) -> DataFrame:
     """The pairs of texts (a, b) that share a `key` and can be similar by length; with `apart` only those of different roots."""
     one, other = (members.select(key, *[F.col(c).alias(f"{side}_{c}") for c in members.columns if c != key]) for side in "xy")
-    met = one.join(other, key).where((F.col("x_t") < F.col("y_t")) & _close_lengths("x_n", "y_n"))
+    # What meets can outgrow what Spark expects of it by far, so neither side is broadcast.
+    met = one.hint("merge").join(other.hint("merge"), key).where((F.col("x_t") < F.col("y_t")) & _close_lengths("x_n", "y_n"))
     if apart:
         met = met.where("x_root <> y_root")
     return met.select(F.col("x_t").alias("a"), F.col("y_t").alias("b")).distinct()
@@ -333,7 +335,7 @@ def _rare_pairs(hot: DataFrame, sequences: DataFrame) -> DataFrame:
     texts = cut(sequences.join(hot, "t").select("t", "n", "root", "words"))
     keyed = cut(_rare_words(texts))
     sizes = keyed.groupBy("w").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("m > 1 and low <> high")
-    keyed = cut(keyed.join(cut(sizes.select("w", "m")), "w"))
+    keyed = cut(keyed.hint("merge").join(cut(sizes.select("w", "m")).hint("merge"), "w"))
     few = keyed.where(F.col("m") <= FEW).drop("m")
     many = keyed.where(F.col("m") > FEW).groupBy("t", "n", "root").agg(F.collect_set("w").alias("ws"))
     two = F.flatten(F.transform("ws", lambda x: F.transform(F.filter("ws", lambda y: y > x), lambda y: F.xxhash64(x, y))))
