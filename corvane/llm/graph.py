@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import cut
+from corvane.llm.shared import cut, merged
 
 
 def _links(found: DataFrame) -> DataFrame:
@@ -28,13 +28,13 @@ def components(links: DataFrame) -> DataFrame:
         tree = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
         while True:
             above = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            hopped = cut(tree.join(above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            hopped = cut(merged(tree, above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
             tree = hopped.select("node", "root")
             if hopped.where("moved").isEmpty():
                 break
         of_a, of_b = (tree.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
-        links = _links(links.join(of_a, "a").join(of_b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        links = _links(merged(merged(links, of_a, "a"), of_b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
         higher = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        known = roots.join(higher, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        roots = cut(known.unionByName(tree.join(roots.select("node"), "node", "left_anti")))
+        known = merged(roots, higher, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        roots = cut(known.unionByName(merged(tree, roots.select("node"), "node", "left_anti")))
     return roots

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.graph import components
-from corvane.llm.shared import cut, unused
+from corvane.llm.shared import cut, merged, unused
 
 #: Short shingles and few minima: a text with every fifth word changed keeps half of its 3-word shingles.
 SHINGLE = 3
@@ -182,8 +182,9 @@ def _sequences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "t", "left_semi").mapInArrow(run, "t binary, words binary").dropDuplicates(["t"])
 
 
-def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b: texts) whose words are at least THRESHOLD similar: 1 - edit distance / longer length."""
+def _verified(pairs: DataFrame, sequences: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Those of `pairs` (a, b: texts, and the columns `more`, binary) whose words are at least THRESHOLD similar: 1 - edit distance / longer length."""
+    names = ["a", "b", *(more or [])]
     left = sequences.select(F.col("t").alias("a"), F.col("words").alias("x"))
     right = sequences.select(F.col("t").alias("b"), F.col("words").alias("y"))
 
@@ -192,11 +193,11 @@ def _verified(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
             x, y = ([np.frombuffer(w, np.uint32) for w in batch.column(c).to_pylist()] for c in ("x", "y"))
             limits = [int((1 - THRESHOLD) * max(len(i), len(j)) + 1e-9) for i, j in zip(x, y, strict=True)]
             good = pa.array(edit_distances(list(zip(x, y, strict=True)), limits))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(good)
+            yield batch.select(names).filter(good)
 
     # Both joins are by a single key without more above, so Spark splits a text that has many pairs.
-    both = pairs.hint("merge").join(left.hint("merge"), "a").hint("merge").join(right.hint("merge"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    both = merged(merged(pairs, left, "a"), right, "b")
+    return both.select(*names, "x", "y").mapInArrow(run, ", ".join(f"{c} binary" for c in names))
 
 
 def _close_lengths(n: str, m: str) -> Column:
@@ -208,7 +209,7 @@ def _pairs_within(members: DataFrame, key: str, apart: bool = False) -> DataFram
     """The pairs of texts (a, b) that share a `key` and can be similar by length; with `apart` only those of different roots."""
     one, other = (members.select(key, *[F.col(c).alias(f"{side}_{c}") for c in members.columns if c != key]) for side in "xy")
     # What meets can outgrow what Spark expects of it by far, so neither side is broadcast.
-    met = one.hint("merge").join(other.hint("merge"), key).where((F.col("x_t") < F.col("y_t")) & _close_lengths("x_n", "y_n"))
+    met = merged(one, other, key).where((F.col("x_t") < F.col("y_t")) & _close_lengths("x_n", "y_n"))
     if apart:
         met = met.where("x_root <> y_root")
     return met.select(F.col("x_t").alias("a"), F.col("y_t").alias("b")).distinct()
@@ -335,7 +336,7 @@ def _rare_pairs(hot: DataFrame, sequences: DataFrame) -> DataFrame:
     texts = cut(sequences.join(hot, "t").select("t", "n", "root", "words"))
     keyed = cut(_rare_words(texts))
     sizes = keyed.groupBy("w").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("m > 1 and low <> high")
-    keyed = cut(keyed.hint("merge").join(cut(sizes.select("w", "m")).hint("merge"), "w"))
+    keyed = cut(merged(keyed, cut(sizes.select("w", "m")), "w"))
     few = keyed.where(F.col("m") <= FEW).drop("m")
     many = keyed.where(F.col("m") > FEW).groupBy("t", "n", "root").agg(F.collect_set("w").alias("ws"))
     two = F.flatten(F.transform("ws", lambda x: F.transform(F.filter("ws", lambda y: y > x), lambda y: F.xxhash64(x, y))))
@@ -357,18 +358,28 @@ def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFr
     links = cut(_verified(led, sequences))
     roots = components(links)
     of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
-    apart = _pairs_within(small, "v").join(of_a, "a", "left").join(of_b, "b", "left")
+    with_roots = lambda pairs: merged(merged(pairs, of_a, "a", "left"), of_b, "b", "left")
+    apart = with_roots(_pairs_within(small, "v"))
     apart = apart.where("a_root is null or b_root is null or a_root <> b_root").select("a", "b")
-    rooted = cut(large.join(roots.withColumnRenamed("node", "t"), "t", "left").select("v", "t", "n", F.coalesce("root", "t").alias("root")))
+    rooted = cut(merged(large, roots.withColumnRenamed("node", "t"), "t", "left").select("v", "t", "n", F.coalesce("root", "t").alias("root")))
     mixed = rooted.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("v")
     hot = cut(rooted.join(mixed, "v", "left_semi").select("t", "n", "root").distinct())
     if not hot.isEmpty():
         apart = apart.unionByName(_rare_pairs(hot, sequences)).distinct()
-    # Links that are known are one node by now: only what joins two classes is left to close.
-    later = _verified(cut(apart), sequences).join(of_a, "a", "left").join(of_b, "b", "left")
-    higher = components(later.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-    named = texts.select("t", "low").join(roots.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("root", "t").alias("root"), "low")
-    named = cut(named.join(higher.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("t", F.coalesce("top", "root").alias("root"), "low"))
+    # First one pair for each two classes, then those of the other pairs that lie in two classes even so.
+    apart = with_roots(apart).select("a", "b", F.coalesce("a_root", "a").alias("p"), F.coalesce("b_root", "b").alias("q"))
+    apart = cut(apart.select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")))
+    first = apart.groupBy("p", "q").agg(F.min(F.struct("a", "b")).alias("pair"))
+    linked = _verified(first.select("p", "q", "pair.*"), sequences, ["p", "q"])
+    higher = components(linked.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    of_p, of_q = (higher.select(F.col("node").alias(c), F.col("root").alias(f"{c}_top")) for c in ("p", "q"))
+    rest = merged(apart, first.select("p", "q", "pair.*"), ["p", "q", "a", "b"], "left_anti")
+    rest = merged(merged(rest, of_p, "p", "left"), of_q, "q", "left").select("a", "b", F.coalesce("p_top", "p").alias("p"), F.coalesce("q_top", "q").alias("q"))
+    last = components(_verified(cut(rest.where("p <> q")), sequences, ["p", "q"]).select(F.col("p").alias("a"), F.col("q").alias("b")))
+    named = merged(texts.select("t", "low"), roots.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("root", "t").alias("root"), "low")
+    for found in (higher, last):
+        named = merged(named, found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("t", F.coalesce("top", "root").alias("root"), "low")
+    named = cut(named)
     lowest = cut(named.groupBy("root").agg(F.min("low").alias("class_id")))
     return named.join(lowest, "root").select("t", "root", "low", "class_id")
 

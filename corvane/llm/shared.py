@@ -48,6 +48,11 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return tidied
 
 
+def merged(one: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that never sends a side through the driver, for tables whose size Spark can't foresee; it can still split hot keys."""
+    return one.hint("merge").join(other.hint("merge"), on, how)
+
+
 def unused(columns: list[str], name: str) -> str:
     """`name`, with as many underscores before it as no column has."""
     taken = {c.lower() for c in columns}
