@@ -369,15 +369,25 @@ def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFr
     # First one pair for each two classes, then those of the other pairs that lie in two classes even so.
     apart = with_roots(apart).select("a", "b", F.coalesce("a_root", "a").alias("p"), F.coalesce("b_root", "b").alias("q"))
     apart = cut(apart.select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")))
-    first = apart.groupBy("p", "q").agg(F.min(F.struct("a", "b")).alias("pair"))
-    linked = _verified(first.select("p", "q", "pair.*"), sequences, ["p", "q"])
+    if apart.isEmpty():
+        return _named(texts, [roots])
+    first = cut(apart.groupBy("p", "q").agg(F.min(F.struct("a", "b")).alias("pair")).select("p", "q", "pair.*"))
+    linked = _verified(first, sequences, ["p", "q"])
     higher = components(linked.select(F.col("p").alias("a"), F.col("q").alias("b")))
     of_p, of_q = (higher.select(F.col("node").alias(c), F.col("root").alias(f"{c}_top")) for c in ("p", "q"))
-    rest = merged(apart, first.select("p", "q", "pair.*"), ["p", "q", "a", "b"], "left_anti")
+    rest = merged(apart, first, ["p", "q", "a", "b"], "left_anti")
     rest = merged(merged(rest, of_p, "p", "left"), of_q, "q", "left").select("a", "b", F.coalesce("p_top", "p").alias("p"), F.coalesce("q_top", "q").alias("q"))
-    last = components(_verified(cut(rest.where("p <> q")), sequences, ["p", "q"]).select(F.col("p").alias("a"), F.col("q").alias("b")))
-    named = merged(texts.select("t", "low"), roots.withColumnRenamed("node", "t"), "t", "left").select("t", F.coalesce("root", "t").alias("root"), "low")
-    for found in (higher, last):
+    rest = cut(rest.where("p <> q"))
+    if rest.isEmpty():
+        return _named(texts, [roots, higher])
+    last = components(_verified(rest, sequences, ["p", "q"]).select(F.col("p").alias("a"), F.col("q").alias("b")))
+    return _named(texts, [roots, higher, last])
+
+
+def _named(texts: DataFrame, closures: list[DataFrame]) -> DataFrame:
+    """(t, root, low, class_id) of `texts`, whose roots are those of the first of `closures` (node, root), theirs those of the next, and so on."""
+    named = texts.select("t", F.col("t").alias("root"), "low")
+    for found in closures:
         named = merged(named, found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("t", F.coalesce("top", "root").alias("root"), "low")
     named = cut(named)
     lowest = cut(named.groupBy("root").agg(F.min("low").alias("class_id")))
