@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane import schemas as S
 from corvane.operators.documents import from_postings, from_publications
@@ -59,7 +60,7 @@ class VectorIndex:
 
     def __init__(self, spark: SparkSession, path: str, collection: str):
         self.spark, self.root = spark, f"{path.rstrip('/')}/{collection}"
-        self.manifest_path = f"{path.rstrip('/')}/{MANIFEST}"
+        self.manifest_path = f"{self.root}/{MANIFEST}"
 
     def manifest(self) -> dict | None:
         return storage.read_json(self.spark, self.manifest_path)
@@ -70,7 +71,7 @@ class VectorIndex:
     def rows(self) -> DataFrame | None:
         """All documents with vectors; source_type is a partition column. None before the first run."""
         manifest = self.manifest()
-        return self.spark.read.parquet(f"{self.root}/{manifest['snapshot']}") if manifest else None
+        return self.spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(f"{self.root}/{manifest['snapshot']}") if manifest else None
 
     def check_model(self, embedder: Embedder) -> None:
         manifest = self.manifest()
@@ -79,15 +80,14 @@ class VectorIndex:
 
     def drop(self) -> None:
         storage.delete(self.spark, self.root)
-        storage.delete(self.spark, self.manifest_path)
 
     def write(self, rows: DataFrame, embedder: Embedder, sources: str) -> None:
         """Make `rows` the current snapshot; the one before the last is removed."""
         old = self.manifest() or {}
         name = f"snapshot={uuid.uuid4().hex}"
         rows.write.partitionBy("source_type").parquet(f"{self.root}/{name}")
-        count = self.spark.read.parquet(f"{self.root}/{name}").count()
-        storage.write_json(self.spark, self.manifest_path, {"embedding_model": embedder.model_name, "document_count": count, "sources_dir": sources, "snapshot": name, "previous": old.get("snapshot")})
+        count = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}").count()  # a snapshot of no rows has no file to take the schema from
+        storage.write_json(self.spark, self.manifest_path, {"embedding_model": embedder.model_name, "document_count": count, "sources_dir": sources, "snapshot": name, "previous": old.get("snapshot"), "schema": rows.schema.jsonValue()})
         if old.get("previous"):
             storage.delete(self.spark, f"{self.root}/{old['previous']}")
 

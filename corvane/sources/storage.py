@@ -32,12 +32,14 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Replace a small file, by renaming a finished one."""
+    """Replace a small file in one step, by renaming a finished one over it."""
     fs, at = _at(spark, path)
-    _, draft = _at(spark, path + ".draft")
+    fs.mkdirs(at.getParent())
+    draft = fs.makeQualified(_at(spark, path + ".draft")[1])
     out = fs.create(draft, True)
     out.write(json.dumps(value, indent=2).encode())
     out.close()
-    fs.delete(at, False)
-    if not fs.rename(draft, at):
-        raise OSError(f"cannot write {path}")
+    hadoop, gateway = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
+    over = gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, fs.makeQualified(at), over)

@@ -62,6 +62,26 @@ def test_index_runs(spark, index, sources):
     assert I.build(index, sources(), other, rebuild=True).embedded == 5
 
 
+def test_empty_and_vanished_sources(spark, index, sources, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert I.build(index, str(tmp_path / "none"), EMBED) == I.IndexResult(0, 0, 0, 0)
+    assert index.exists() and index.rows().count() == 0 == index.manifest()["document_count"]
+    assert I.build(index, sources(), EMBED).embedded == 5
+    assert I.build(index, str(tmp_path / "none"), EMBED) == I.IndexResult(0, 0, 5, 0)
+    assert index.rows().count() == 0 and "source_type" in index.rows().columns
+    assert I.build(index, sources(), EMBED).embedded == 5
+
+
+def test_two_collections_in_one_folder(spark, sources, tmp_path):
+    one, two = (I.VectorIndex(spark, str(tmp_path / "shared"), name) for name in ("one", "two"))
+    I.build(one, sources(), EMBED)
+    assert not two.exists() and two.rows() is None
+    I.build(two, sources(PUBS[:1], None), EMBED)
+    assert (one.rows().count(), two.rows().count()) == (5, 1)
+    two.drop()
+    assert one.rows().count() == 5 and not two.exists()
+
+
 def test_hash_ignores_what_the_index_does_not_hold(spark):
     from corvane.operators.documents import from_publications
 
