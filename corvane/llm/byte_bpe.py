@@ -372,8 +372,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     met = _distinct(_split(texts, pattern, buckets).repartition("key"))
-    short = lambda w: F.when(F.length(w) <= LONG_WORD, fold_merges(w, literal)).otherwise(F.array().cast("array<int>"))
-    folded = _addressed(met.select("block", "bucket", "ids", "data", "words", F.transform("words", short).alias("folded")), for_long)
+    short = lambda w, known: F.when(F.length(w) <= LONG_WORD, fold_merges(w, known)).otherwise(F.array().cast("array<int>"))
+    # The literal stands in the plan once; the fold's many look-ups go to it by the name of a lambda's variable.
+    ids_of_words = F.transform(F.array(literal), lambda known: F.transform("words", lambda w: short(w, known)))[0]
+    folded = _addressed(met.select("block", "bucket", "ids", "data", "words", ids_of_words.alias("folded")), for_long)
     whole = _put_together(folded.repartition("block").sortWithinPartitions("block", "bucket"), kind)
     return whole.select(F.col("id").alias(id_col), "n_tokens", F.col("tokens").alias("ids"))
 

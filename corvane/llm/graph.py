@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import cut, merged
+from corvane.llm.shared import counted, cut, merged
 
 
-def _links(found: DataFrame) -> DataFrame:
-    """Distinct links (a, b) with a < b."""
-    return cut(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def _links(found: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct links (a, b) with a < b, and whether there are any."""
+    return counted(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,19 +21,19 @@ def components(links: DataFrame) -> DataFrame:
     there are at most as many rounds as doublings of the largest component. What a round finds goes to the shared folder; all joins are by a
     single key with nothing above that needs their order, so Spark can split a node that holds many links.
     """
-    links = _links(links)
+    links, left = _links(links)
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).where(F.lit(False))
-    while not links.isEmpty():
+    while left:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tree = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
-        while True:
+        moved = 1
+        while moved:
             above = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            hopped = cut(merged(tree, above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+            hopped = merged(tree, above, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+            hopped, moved = counted(hopped, F.col("moved"))
             tree = hopped.select("node", "root")
-            if hopped.where("moved").isEmpty():
-                break
         of_a, of_b = (tree.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
-        links = _links(merged(merged(links, of_a, "a"), of_b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        links, left = _links(merged(merged(links, of_a, "a"), of_b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
         higher = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
         known = merged(roots, higher, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
         roots = cut(known.unionByName(merged(tree, roots.select("node"), "node", "left_anti")))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.graph import components
-from corvane.llm.shared import cut, merged, unused
+from corvane.llm.shared import counted, cut, merged, unused
 
 #: Short shingles and few minima: a text with every fifth word changed keeps half of its 3-word shingles.
 SHINGLE = 3
@@ -363,13 +363,13 @@ def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFr
     apart = apart.where("a_root is null or b_root is null or a_root <> b_root").select("a", "b")
     rooted = cut(merged(large, roots.withColumnRenamed("node", "t"), "t", "left").select("v", "t", "n", F.coalesce("root", "t").alias("root")))
     mixed = rooted.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("v")
-    hot = cut(rooted.join(mixed, "v", "left_semi").select("t", "n", "root").distinct())
-    if not hot.isEmpty():
+    hot, n_hot = counted(rooted.join(mixed, "v", "left_semi").select("t", "n", "root").distinct())
+    if n_hot:
         apart = apart.unionByName(_rare_pairs(hot, sequences)).distinct()
     # First one pair for each two classes, then those of the other pairs that lie in two classes even so.
     apart = with_roots(apart).select("a", "b", F.coalesce("a_root", "a").alias("p"), F.coalesce("b_root", "b").alias("q"))
-    apart = cut(apart.select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")))
-    if apart.isEmpty():
+    apart, n_apart = counted(apart.select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")))
+    if not n_apart:
         return _named(texts, [roots])
     first = cut(apart.groupBy("p", "q").agg(F.min(F.struct("a", "b")).alias("pair")).select("p", "q", "pair.*"))
     linked = _verified(first, sequences, ["p", "q"])
@@ -377,8 +377,8 @@ def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFr
     of_p, of_q = (higher.select(F.col("node").alias(c), F.col("root").alias(f"{c}_top")) for c in ("p", "q"))
     rest = merged(apart, first, ["p", "q", "a", "b"], "left_anti")
     rest = merged(merged(rest, of_p, "p", "left"), of_q, "q", "left").select("a", "b", F.coalesce("p_top", "p").alias("p"), F.coalesce("q_top", "q").alias("q"))
-    rest = cut(rest.where("p <> q"))
-    if rest.isEmpty():
+    rest, n_rest = counted(rest.where("p <> q"))
+    if not n_rest:
         return _named(texts, [roots, higher])
     last = components(_verified(rest, sequences, ["p", "q"]).select(F.col("p").alias("a"), F.col("q").alias("b")))
     return _named(texts, [roots, higher, last])

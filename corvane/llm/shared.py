@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
@@ -38,6 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """`df` cut, and how many of its rows there are (or make `which` true), counted as they are written instead of by further jobs.
+
+    A task that runs again may count its rows twice, so the number tells reliably only whether it is zero.
+    """
+    seen = Observation()
+    written = cut(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")))
+    return written, seen.get.get("n", 0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """`run` for mapInArrow, giving Arrow's unused memory back at its end: a Python worker that waits for its next task keeps it otherwise."""
 
