@@ -8,12 +8,14 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
 
-#: Token vectors that a worker remembers.
+#: Token vectors that a worker remembers from batch to batch.
 CACHE_TOKENS = 200_000
 
 
@@ -40,21 +42,25 @@ class HashEmbedder:
     def embed(self, rows: DataFrame, text_col: str, out_col: str = "vector") -> DataFrame:
         dim = self.dim
 
-        @F.pandas_udf("array<double>")
-        def vectors(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<double>")
+        def vectors(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known: dict[str, np.ndarray] = {}
             for column in columns:
-                out = []
-                for own in column:
-                    total = np.zeros(dim)
-                    for t in own:
-                        if t not in known:
-                            if len(known) >= CACHE_TOKENS:
-                                known.clear()
-                            known[t] = token_vector(t, dim)
-                        total += known[t]
-                    out.append(total / (np.sqrt(total @ total) or 1.0))
-                yield pd.Series(out)
+                coded = column.flatten().dictionary_encode()
+                if len(known) > CACHE_TOKENS:
+                    known.clear()
+                for t in coded.dictionary.to_pylist():
+                    if t not in known:
+                        known[t] = token_vector(t, dim)
+                table = np.array([known[t] for t in coded.dictionary.to_pylist()]).reshape(-1, dim)
+                code, ends = coded.indices.to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+                out = np.zeros((len(column), dim))
+                for i, own in enumerate(np.split(code, ends[:-1])):
+                    used, times = np.unique(own, return_counts=True)
+                    out[i] = times @ table[used]
+                size = np.sqrt((out * out).sum(axis=1))
+                out /= np.where(size > 0, size, 1)[:, None]
+                yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.ravel()))
 
         return rows.withColumn(out_col, vectors(tokens(F.col(text_col))))
 

@@ -8,18 +8,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Queries sent to the tasks at once.
 BLOCK = 4_096
+#: Rows that are scored at once against a block.
+ROWS = 1_000
 #: Decimals of scores, so that equal vectors tie whatever the order of summation.
 DECIMALS = 9
 
 
-def _unit(vectors: list, dim: int) -> np.ndarray:
-    m = np.array([v if v is not None and len(v) == dim else np.zeros(dim) for v in vectors], np.float64).reshape(len(vectors), dim)
+def _unit(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The rows of a column of lists as vectors of length 1; a null row, or one of another length, is a zero vector."""
+    good = pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False)
+    m = np.zeros((len(vectors), dim))
+    m[good.to_numpy(zero_copy_only=False)] = pc.list_flatten(vectors.filter(good)).to_numpy(zero_copy_only=False).reshape(-1, dim)
     size = np.sqrt((m * m).sum(axis=1))
     return m / np.where(size > 0, size, 1)[:, None]
 
@@ -40,34 +46,48 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, group: str = "source_type
     from pyspark.sql.pandas.types import to_arrow_schema
 
     def nearest(block: list) -> DataFrame:
-        ids, vectors = [q["query_id"] for q in block], [q["vector"] for q in block]
+        ids = [q["query_id"] for q in block]
         wanted = {c: [q[v] or None for q in block] for c, v in equal.items()}
-        dim = max((len(v) for v in vectors if v is not None), default=1)
-        sent = rows.sparkSession.sparkContext.broadcast((ids, _unit(vectors, dim), wanted))
+        dim = max((len(q["vector"]) for q in block if q["vector"] is not None), default=1)
+        sent = rows.sparkSession.sparkContext.broadcast((ids, _unit(pa.array([q["vector"] for q in block], pa.list_(pa.float64())), dim), wanted))
+
+        def alike(wanted: dict, g) -> dict[tuple, np.ndarray]:
+            """The queries by what they want of rows of group `g`: a value for each of `equal`, or None."""
+            found: dict[tuple, list] = {}
+            for i, values in enumerate(zip(*wanted.values(), strict=True) if wanted else [()] * len(ids)):
+                found.setdefault(tuple(v if c.partition(":")[2] in ("", g) else None for c, v in zip(wanted, values, strict=True)), []).append(i)
+            return {values: np.array(own) for values, own in found.items()}
 
         def run(batches):
             ids, q, wanted = sent.value
             best: dict = {}
-            for batch in batches:
-                m = _unit(batch.column("vector").to_pylist(), dim)
-                score = np.round(np.einsum("qd,rd->qr", q, m), DECIMALS)
-                own_ids, groups = batch.column("id").to_pylist(), batch.column(group).to_pylist()
-                fields = {c: np.array(batch.column(c).to_pylist(), object) for c in needed}
+            floor: dict = {}  # of each group: the score of each query's k-th best so far
+            kinds: dict = {}
+            for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+                score = np.round(q @ _unit(batch.column("vector"), dim).T, DECIMALS)
+                own_ids, groups = batch.column("id").to_pylist(), np.array(batch.column(group).to_pylist(), object)
+                fields = [np.array(batch.column(c.partition(":")[0]).to_pylist(), object) for c in wanted]
                 for g in set(groups):
-                    inside = np.array([x == g for x in groups])
-                    for i in range(len(ids)):
-                        fits = inside.copy()
-                        for c, values in wanted.items():
-                            name, _, only = c.partition(":")
-                            if values[i] is not None and (not only or only == g):
-                                fits &= fields[name] == values[i]
+                    if g not in kinds:
+                        kinds[g], floor[g] = alike(wanted, g), np.full(len(ids), -np.inf)
+                    for values, asking in kinds[g].items():
+                        fits = groups == g
+                        for field, value in zip(fields, values, strict=True):
+                            if value is not None:
+                                fits &= field == value
                         at = np.flatnonzero(fits)
+                        s = score[np.ix_(asking, at)]
+                        least = floor[g][asking]
                         if len(at) > k:  # all that tie with the k-th stay
-                            least = np.partition(score[i, at], len(at) - k)[len(at) - k]
-                            at = at[score[i, at] >= least]
-                        have = best.get((i, g), []) + [(-score[i, r], own_ids[r]) for r in at.tolist()]
-                        best[i, g] = sorted(have)[:k]
-            found = [{"query_id": ids[i], "id": own, group: g, "score": -s} for (i, g), have in best.items() for s, own in have]
+                            least = np.maximum(least, np.partition(s, len(at) - k, axis=1)[:, len(at) - k])
+                        fresh: dict = {}
+                        for i, r in zip(*np.nonzero(s >= least[:, None]), strict=True):
+                            fresh.setdefault(int(asking[i]), []).append((-s[i, r], own_ids[at[r]]))
+                        for i, more in fresh.items():
+                            best[i, g] = sorted(best.get((i, g), []) + more)[:k]
+                            if len(best[i, g]) == k:
+                                floor[g][i] = -best[i, g][-1][0]
+            found = [{"query_id": ids[i], "id": own, group: g, "score": float(-s)} for (i, g), have in best.items() for s, own in have]
             if found:
                 yield pa.RecordBatch.from_pylist(found, schema=to_arrow_schema(out))
 

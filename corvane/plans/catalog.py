@@ -41,10 +41,6 @@ def corpus(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
     return rows.join(own, "id")
 
 
-def eligible(rows: DataFrame) -> DataFrame:
-    return rows.where((F.col("source_type") == "thesis_posting") | (F.size("uzh_authors") > 0))
-
-
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("vec_id")
     return table(spark, sf_dir, "embeddings").where(i % 50 == 0).select(
@@ -54,7 +50,7 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = eligible(corpus(spark, sf_dir))
+    rows = matching.eligible(corpus(spark, sf_dir))
     found = top_k(search_queries(spark, sf_dir), rows, K, equal=matching.FILTERS)
     return found.join(rows.drop("vector", "source_type"), "id")
 
@@ -65,7 +61,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = top_k(search_queries(spark, sf_dir), eligible(corpus(spark, sf_dir)), K, equal=matching.FILTERS)
+    found = top_k(search_queries(spark, sf_dir), matching.eligible(corpus(spark, sf_dir)), K, equal=matching.FILTERS)
     return found.select("query_id", "source_type", "id", F.round("score", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
 
 

@@ -23,7 +23,10 @@ def parse_queries(queries: DataFrame, raw_col: str = "raw_query") -> DataFrame:
 
 
 def extract_queries(queries: DataFrame, client: chat.ChatClient) -> DataFrame:
-    """As parse_queries, by a model; the rules hold for queries that it fails on. The requests run in the tasks."""
+    """As parse_queries, by a model; the rules hold for queries that it fails on. The requests run in the tasks.
+
+    The result is persisted, so that a query is asked once and all later steps see the same reply.
+    """
     found = "struct<topics:array<string>,keywords:array<string>,degree_level:string,department:string>"
 
     @F.udf(found)
@@ -33,7 +36,12 @@ def extract_queries(queries: DataFrame, client: chat.ChatClient) -> DataFrame:
 
     rows = parse_queries(queries).withColumn("_found", ask("raw_query"))
     pick = lambda c: F.when(F.col("_found").isNull(), F.col(c)).otherwise(F.col(f"_found.{c}"))
-    return rows.withColumns({c: pick(c) for c in ("topics", "keywords", "degree_level", "department")}).drop("_found")
+    return rows.withColumns({c: pick(c) for c in ("topics", "keywords", "degree_level", "department")}).drop("_found").persist()
+
+
+def eligible(rows: DataFrame) -> DataFrame:
+    """The rows of an index that can lead to people: postings, and publications with an internal author."""
+    return rows.where((F.col("source_type") == "thesis_posting") | (F.size("uzh_authors") > 0))
 
 
 def match(parsed: DataFrame, rows: DataFrame, embedder: Embedder, k: int = 5) -> DataFrame:
@@ -42,10 +50,10 @@ def match(parsed: DataFrame, rows: DataFrame, embedder: Embedder, k: int = 5) ->
     `rows` is an index's content. Publications without an internal author never count, and filters apply before the k best
     hits of each kind are taken.
     """
-    eligible = rows.where((F.col("source_type") == "thesis_posting") | (F.size("uzh_authors") > 0))
+    rows = eligible(rows)
     embedded = embedder.embed(parsed.withColumn("_text", X.query_text(F.col("topics"), F.col("keywords"), F.col("raw_query"))), "_text", "vector")
-    hits = top_k(embedded, eligible, k, equal=FILTERS)
-    full = hits.join(eligible.drop("vector", "source_type"), "id")
+    hits = top_k(embedded, rows, k, equal=FILTERS)
+    full = hits.join(rows.drop("vector", "source_type"), "id")
     return rank_people(full, k).join(parsed.select("query_id", F.col("topics").alias("matched_topics")), "query_id")
 
 
@@ -62,7 +70,7 @@ def canned(spark: SparkSession, k: int = 5) -> DataFrame:
 
 
 def render_answers(matches: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id and answer: the text of `render` for each of `queries` (query_id, raw_query), as one expression."""
+    """query_id and answer: the answer to each of `queries` (query_id, raw_query), as one expression. The sentences are fixed values."""
     c = F.col
     where = F.when(F.coalesce("department", F.lit("")) != "", F.concat(F.lit(" ("), c("department"), F.lit(")"))).otherwise("")
     topics = F.when(F.size("matched_topics") > 0, F.array_join("matched_topics", ", ")).otherwise("your topics")

@@ -40,12 +40,10 @@ class Pipeline:
 
 
 def show_matches(matches: DataFrame) -> str:
-    """The ranked people with scores and evidence, as lines."""
+    """A line for each of the ranked people, and one for each work below it."""
     lines = []
     for m in matches.orderBy("rank").collect():  # at most k rows
-        lines.append(f"{m['rank']}. {m['supervisor']}  (score {m['score']:.2f})")
-        if m["department"]:
-            lines.append(f"   {m['department']}")
-        lines.append(f"   topics: {', '.join(m['matched_topics']) or 'n/a'}  |  {m['publication_count']} papers  |  {'open position' if m['has_open_position'] else 'no open position'}")
-        lines += [f"     - {e['title']}" for e in m["evidence"]]
-    return "\n".join(lines) or "no matches."
+        facts = [f"score {m['score']:.2f}", *([m["department"]] if m["department"] else []), f"{m['publication_count']} publication(s)", *(["open position"] if m["has_open_position"] else [])]
+        lines.append(f"#{m['rank']} {m['supervisor']}: {'; '.join([*facts, *m['matched_topics']])}")
+        lines += [f"  * {e['title']}" for e in m["evidence"]]
+    return "\n".join(lines) or "nobody fits."

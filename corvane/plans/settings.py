@@ -9,6 +9,8 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class Settings:
+    """Names and defaults are fixed values: existing environments and stores rely on them."""
+
     llm_base_url: str | None = None
     llm_model: str = "llama3.1"
     llm_api_key: str | None = None

@@ -178,6 +178,26 @@ def test_top_k_edges(spark):
         top_k(queries, rows, 0)
 
 
+def test_top_k_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-2, 3, (2_500, 3)).astype(float)  # many ties, some zero vectors; more rows than are scored at once
+    rows = [(i, "xy"[i % 2], v.tolist(), "abc"[i % 3], "mn"[i % 5 % 2]) for i, v in enumerate(vectors)]
+    asked = [(q, rng.normal(size=3).tolist(), [None, "", "a", "c"][q % 4], [None, "m"][q % 2]) for q in range(8)]
+    found = top_k(
+        spark.createDataFrame(asked, "query_id long, vector array<double>, department string, level string"),
+        spark.createDataFrame(rows, "id long, source_type string, vector array<double>, department string, level string").repartition(3), 7, equal={"department": "department", "level:x": "level"},
+    )
+    got = {(r.query_id, r.source_type, r.rk): (r.id, round(r.score, 6)) for r in found.collect()}
+    want = {}
+    for q, v, department, level in asked:
+        for g in "xy":
+            fits = [r for r in rows if r[1] == g and (not department or r[3] == department) and (not level or g != "x" or r[4] == level)]
+            score = lambda w: round(float(np.dot(v, w) / ((np.linalg.norm(v) * np.linalg.norm(w)) or 1)), 9)  # noqa: B023, E731
+            best = sorted((-score(np.array(r[2])), r[0]) for r in fits)[:7]
+            want |= {(q, g, k): (i, round(-s, 6)) for k, (s, i) in enumerate(best, 1)}
+    assert got == want
+
+
 def test_match_and_answer(spark, index, sources):
     I.build(index, sources(), EMBED)
     pipe = Pipeline(spark, Settings(embedding_model="hash-fake"), index)
@@ -192,7 +212,7 @@ def test_match_and_answer(spark, index, sources):
     assert {(r.query_id, r.supervisor) for r in matching.match(parsed, index.rows(), EMBED).collect()} == {(1, "Cy"), (2, "Cy")}
     answer = pipe.recommend("graphs and search")
     assert answer.startswith('Based on your interest in "graphs and search", here are the top matches:\n\n1. Dee (CS)\n   Works on graphs, search; 0 related publications; has an open thesis position.\n   - Search in graphs (u)\n\n2. Ann')
-    assert "Dee  (score" in show_matches(pipe.run("graphs and search"))
+    assert show_matches(pipe.run("graphs and search")).startswith("#1 Dee: score ")
     empty = matching.render_answers(matching.canned(spark, 0), spark.createDataFrame([(1, "q")], "query_id long, raw_query string"))
     assert empty.first().answer == 'No suitable supervisors found for "q".'
     assert Pipeline(spark).run("x", 2).count() == 2
@@ -234,6 +254,10 @@ def test_chat(spark, endpoint):
     assert [chat.extract(endpoint, "q") for _ in range(4)] == [None] * 4
     row = matching.extract_queries(spark.createDataFrame([(1, "thesis on x")], "query_id long, raw_query string"), endpoint).first()
     assert (row.topics, row.keywords, row.degree_level, row.department) == (["a"], ["b"], "phd", "CS")
+    Stub.replies, before = [_reply(good)], len(Stub.seen)
+    kept = matching.extract_queries(spark.createDataFrame([(1, "thesis on y")], "query_id long, raw_query string"), endpoint)
+    rows = spark.createDataFrame([("t", "thesis_posting", "a b", [0.5] * 64, "CS", "phd", "Dee", None, None, None)], "id string, source_type string, text string, vector array<double>, department string, degree_level string, supervisor string, uzh_authors array<string>, url string, year int")
+    assert [r.matched_topics for r in matching.match(kept, rows, EMBED).collect()] == [["a"]] and len(Stub.seen) == before + 1  # asked once
     Stub.replies = [_reply(" Take Ada. "), (503, "")]
     pipe = Pipeline(spark, Settings(llm_base_url=endpoint.base_url))
     assert pipe.recommend("q") == "Take Ada."
@@ -251,14 +275,14 @@ def test_command_line(spark, sources, tmp_path, monkeypatch, capsys):
     monkeypatch.setenv("EMBEDDING_MODEL", "hash-fake")
     monkeypatch.setenv("VECTOR_STORE_PATH", str(tmp_path / "cli"))
     cli.main(["match", "graphs"])
-    assert "no index found" in capsys.readouterr().out
+    assert "no index yet" in capsys.readouterr().out
     cli.main(["index", "--source", sources()])
     assert "embedded=5 skipped=0 deleted=0 invalid_lines=0" in capsys.readouterr().out
     cli.main(["match", "graphs", "--top-k", "2"])
     out = capsys.readouterr().out
-    assert out.count("(score") == 2 and "Based on" in out
+    assert out.count(": score ") == 2 and "Based on" in out
     cli.main([])
-    assert "built" in capsys.readouterr().out
+    assert f"index: {tmp_path / 'cli'}" in capsys.readouterr().out
 
 
 def test_expressions(spark):
