@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import counted, cut, merged
+from corvane.llm.shared import counted, merged, stored
 
 
 def _links(found: DataFrame) -> tuple[DataFrame, int]:
@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).where(F.lit(False))
     while left:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tree = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
+        tree = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
         moved = 1
         while moved:
             above = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
@@ -36,5 +36,5 @@ def components(links: DataFrame) -> DataFrame:
         links, left = _links(merged(merged(links, of_a, "a"), of_b, "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
         higher = tree.select(F.col("node").alias("root"), F.col("root").alias("next"))
         known = merged(roots, higher, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        roots = cut(known.unionByName(merged(tree, roots.select("node"), "node", "left_anti")))
+        roots = stored(known.unionByName(merged(tree, roots.select("node"), "node", "left_anti")))
     return roots

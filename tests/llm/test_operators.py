@@ -247,3 +247,10 @@ def test_sharding_and_lines(spark, odd):
     kept = {r.doc_id: r.kept_text for r in line_dedup.remove_boilerplate(pages).collect()}
     assert kept[0] == "own line 0" and kept[50] == " shared" and kept[51] is None and kept[52] == "x"
     assert line_dedup.remove_boilerplate(pages.limit(0)).count() == 0
+
+
+def test_components_keep_a_true_size(spark):
+    """A chain takes many doublings; the size that Spark expects of the roots stays that of a table, whatever joins made them."""
+    roots = components(spark.range(400).selectExpr("id a", "id + 1 b"))
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(401)}
+    assert roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
