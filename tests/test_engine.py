@@ -290,3 +290,22 @@ def test_expressions(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in rows.select(X.first_line(F.col("text"), F.col("id"))).collect()] == ["a", "i", "i"]
+
+
+def test_top_k_of_many_queries(spark, monkeypatch):
+    """More queries than are sent to the rows: they meet in dealt parts, with the rows and ranks of brute force; string ids, ties and null groups included."""
+    from corvane.operators import sweep
+
+    monkeypatch.setattr(sweep, "FEW", 5)
+    monkeypatch.setattr(sweep, "SHARE", 40)
+    rng = np.random.default_rng(9)
+    vectors, asked = rng.integers(-2, 3, (300, 3)).astype(float), rng.integers(-2, 3, (130, 3)).astype(float)
+    rows = spark.createDataFrame([(f"r{i:03}", ["x", "y", None][i % 3], v.tolist()) for i, v in enumerate(vectors)], "id string, kind string, vector array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id int, vector array<double>")
+    found = top_k(queries, rows, 4, group="kind")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # no branch for each block of queries
+    got = {(r.query_id, r.kind, r.rk): r.id for r in found.collect()}
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1), 1e-30)[:, None]
+    score = np.round(unit(asked) @ unit(vectors).T, 9)
+    want = {(q, g, k): f"r{i:03}" for q in range(130) for n, g in enumerate(["x", "y", None]) for k, i in enumerate(sorted(range(n, 300, 3), key=lambda i: (-score[q, i], i))[:4], 1)}
+    assert got == want
