@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +18,19 @@ def content_hash(*fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*fields)), 256)
 
 
-def _documents(rows: DataFrame) -> DataFrame:
+def _documents(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     missing = {c: F.lit(None).cast(kind) for c, kind in _EMPTY.items() if c not in rows.columns}
     rows = rows.withColumns(missing)
-    return rows.withColumn("content_hash", content_hash(*[F.col(c) for c in S.DOCUMENT[1:-1]])).select(*S.DOCUMENT)
+    return rows.withColumn("content_hash", content_hash(*[F.col(c) for c in S.DOCUMENT[1:-1]])).select(*S.DOCUMENT, *keep)
 
 
-def from_publications(records: DataFrame) -> DataFrame:
+def from_publications(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Documents of publications, with the columns of `keep` as they are."""
     text = joined_text(F.col("title"), F.col("abstract"), F.array_join("keywords", ", "))
-    return _documents(records.select("id", text.alias("text"), F.lit("publication").alias("source_type"), "department", "year", "url", "authors", "uzh_authors", "author_authority_map", "keywords", (F.size("uzh_authors") > 0).alias("has_uzh_author")))
+    return _documents(records.select("id", text.alias("text"), F.lit("publication").alias("source_type"), "department", "year", "url", "authors", "uzh_authors", "author_authority_map", "keywords", (F.size("uzh_authors") > 0).alias("has_uzh_author"), *keep), keep)
 
 
-def from_postings(records: DataFrame) -> DataFrame:
+def from_postings(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Documents of open positions, with the columns of `keep` as they are."""
     text = joined_text(F.col("title"), F.col("description"), F.array_join("keywords", ", "))
-    return _documents(records.select("id", text.alias("text"), F.lit("thesis_posting").alias("source_type"), "department", "degree_level", "supervisor", "url"))
+    return _documents(records.select("id", text.alias("text"), F.lit("thesis_posting").alias("source_type"), "department", "degree_level", "supervisor", "url", *keep), keep)

@@ -1,7 +1,6 @@
-"""The incremental vector index: versioned Parquet snapshots and a manifest that names the current one.
+"""The incremental vector index: documents of record files, embedded once, in a store that takes small changes.
 
-A run embeds documents whose hash is new or changed, takes over the vectors of the others, and drops documents that are
-gone. The new snapshot is complete before the manifest names it, so a run that dies leaves the old index as it was.
+A run compares the documents' hashes with those stored, embeds what is new or changed, and writes that and the tombstones of what is gone as one layer.
 """
 
 from __future__ import annotations
@@ -10,18 +9,20 @@ import logging
 import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane import schemas as S
 from corvane.operators.documents import from_postings, from_publications
 from corvane.operators.embedding import Embedder
+from corvane.operators.store import ConflictError, Store
 from corvane.sources import jsonl, storage
 
+__all__ = ["ConflictError", "IndexResult", "ModelMismatchError", "VectorIndex", "build", "count_actions", "diff", "latest_of_each", "remove", "upsert"]
 log = logging.getLogger(__name__)
-MANIFEST = "manifest.json"
+#: Bad lines that go to the log; all of them are in the quarantine table.
+LOGGED = 20
 
 
 class ModelMismatchError(RuntimeError):
@@ -34,13 +35,18 @@ class IndexResult:
     skipped: int
     deleted: int
     invalid_lines: int = 0
+    #: Valid lines whose id came again later; the last one holds.
+    duplicates: int = 0
 
 
 def diff(current: DataFrame, known: DataFrame) -> DataFrame:
     """id and action (insert, update, skip or delete) of each id of `current` and `known` (id, content_hash)."""
     a, b = current.select("id", F.col("content_hash").alias("new")), known.select("id", F.col("content_hash").alias("old"))
-    action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(F.col("new") != F.col("old"), "update").otherwise("skip")
-    return a.join(b, "id", "full_outer").select("id", action.alias("action"))
+    return a.join(b, "id", "full_outer").select("id", _action().alias("action"))
+
+
+def _action():
+    return F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(F.col("new") != F.col("old"), "update").otherwise("skip")
 
 
 def count_actions(actions: DataFrame) -> DataFrame:
@@ -49,101 +55,106 @@ def count_actions(actions: DataFrame) -> DataFrame:
     return actions.agg(of("insert", "update").alias("embedded"), of("skip").alias("skipped"), of("delete").alias("deleted"))
 
 
-def latest_of_each(documents: DataFrame) -> DataFrame:
-    """One document for each id; of several the one with the highest content hash, so that any run picks the same."""
-    picked = documents.groupBy("id").agg(F.max_by(F.struct(*S.DOCUMENT[1:]), "content_hash").alias("d"))
+def latest_of_each(documents: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One document for each id: the last in the order of `order`. Without one, that of the highest content hash, so that any run picks the same."""
+    by = F.struct(*(order or ["content_hash"]))
+    picked = documents.groupBy("id").agg(F.max_by(F.struct(*S.DOCUMENT[1:]), by).alias("d"))
     return picked.select("id", "d.*")
 
 
-class VectorIndex:
+class VectorIndex(Store):
     """The documents and vectors of a collection below `path`."""
 
-    def __init__(self, spark: SparkSession, path: str, collection: str):
-        self.spark, self.root = spark, f"{path.rstrip('/')}/{collection}"
-        self.manifest_path = f"{self.root}/{MANIFEST}"
+    def check_model(self, embedder: Embedder, manifest: dict | None = None) -> None:
+        manifest = manifest or self.manifest()
+        if manifest and manifest["embedding_model"] != embedder.model_name:
+            raise ModelMismatchError(f"the index holds vectors of {manifest['embedding_model']}, not {embedder.model_name}; rebuild it")
 
-    def manifest(self) -> dict | None:
-        return storage.read_json(self.spark, self.manifest_path)
+    def quarantine(self) -> DataFrame | None:
+        """file, number, error and line of the bad lines of the last build; None before one."""
+        manifest = self.manifest() or {}
+        return self.spark.read.schema("file string, number long, error string, line string").parquet(f"{self.root}/{manifest['quarantine']}") if manifest.get("quarantine") else None
 
-    def exists(self) -> bool:
-        return storage.exists(self.spark, self.manifest_path)
 
-    def rows(self) -> DataFrame | None:
-        """All documents with vectors; source_type is a partition column. None before the first run."""
-        manifest = self.manifest()
-        return self.spark.read.schema(T.StructType.fromJson(manifest["schema"])).parquet(f"{self.root}/{manifest['snapshot']}") if manifest else None
+def _apply(index: VectorIndex, documents: DataFrame, embedder: Embedder, keep_others: bool, **facts) -> tuple[dict, int]:
+    """Bring the index in line with `documents` (one for each id): (what was written, how many documents were as they are).
 
-    def check_model(self, embedder: Embedder) -> None:
-        manifest = self.manifest()
-        if manifest and manifest["embedding_model"] != embedder.model_name:
-            raise ModelMismatchError(f"the index holds vectors of {manifest['embedding_model']}, not {embedder.model_name}; rebuild it")
-
-    def drop(self) -> None:
-        storage.delete(self.spark, self.root)
-
-    def write(self, rows: DataFrame, embedder: Embedder, sources: str) -> None:
-        """Make `rows` the current snapshot; the one before the last is removed."""
-        old = self.manifest() or {}
-        name = f"snapshot={uuid.uuid4().hex}"
-        rows.write.partitionBy("source_type").parquet(f"{self.root}/{name}")
-        count = self.spark.read.schema(rows.schema).parquet(f"{self.root}/{name}").count()  # a snapshot of no rows has no file to take the schema from
-        storage.write_json(self.spark, self.manifest_path, {"embedding_model": embedder.model_name, "document_count": count, "sources_dir": sources, "snapshot": name, "previous": old.get("snapshot"), "schema": rows.schema.jsonValue()})
-        if old.get("previous"):
-            storage.delete(self.spark, f"{self.root}/{old['previous']}")
-
-
-def _merged(index: VectorIndex, documents: DataFrame, embedder: Embedder, keep_others: bool) -> tuple[DataFrame, DataFrame]:
-    """(rows of the next snapshot, actions)."""
-    old = index.rows()
-    if old is None:
-        return embedder.embed(documents, "text", "vector"), documents.select("id", F.lit("insert").alias("action"))
-    actions = diff(documents, old)
-    if keep_others:
-        actions = actions.where("action <> 'delete'")
-    same = documents.join(old.select("id", "content_hash", "vector"), ["id", "content_hash"])
-    fresh = embedder.embed(documents.join(old.select("id", "content_hash"), ["id", "content_hash"], "left_anti"), "text", "vector")
-    rows = same.unionByName(fresh)
-    if keep_others:
-        rows = rows.unionByName(old.join(documents.select("id"), "id", "left_anti").select(rows.columns))
-    return rows, actions
+    The comparison is one join of hashes; what it leaves is embedded and written once. The number of skipped documents is seen as rows pass, so a task that runs twice may count its own twice; all
+    other numbers are counted in the files.
+    """
+    columns = [*documents.columns, "vector"]
+    seen = {"skipped": 0}
+
+    def change(base: dict | None) -> tuple[dict, dict]:
+        index.check_model(embedder, base)
+        if base:
+            known = index.hashes(base).select("id", F.col("content_hash").alias("old"), F.col("source_type").alias("old_type"))
+        else:
+            known = index.spark.createDataFrame([], T.StructType([documents.schema["id"], T.StructField("old", T.StringType()), T.StructField("old_type", T.StringType())]))
+        met = documents.withColumn("new", F.col("content_hash")).join(known, "id", "left" if keep_others else "full_outer")
+        met = met.withColumn("change", _action()).withColumn("source_type", F.coalesce("source_type", "old_type"))
+        watch = Observation()
+        changed = met.observe(watch, F.count_if(F.col("change") == "skip").alias("skipped")).where("change <> 'skip'").drop("new", "old", "old_type")
+        embedded = embedder.embed(changed, "text", "vector")  # a tombstone has no text, so its vector costs nothing
+        layer = index.write_layer(embedded.select(*columns, "change"), base)
+        # Where nothing has changed, Spark leaves the watched step out, and all documents are as they were.
+        seen["skipped"] = watch.get["skipped"] if layer["buckets"] else documents.select("id").count()
+        if base and not layer["buckets"] and not facts:
+            return layer, base
+        own = {"embedding_model": embedder.model_name, "sources_dir": (base or {}).get("sources_dir", "")} | facts
+        return layer, index.changed(base, layer, columns, embedded.select(*columns, "change").schema, **own)
+
+    layer, _ = index.apply(change)
+    return layer["counts"], seen["skipped"]
 
 
 def build(index: VectorIndex, sources: str, embedder: Embedder, rebuild: bool = False, keep_missing: bool = False) -> IndexResult:
     """Bring the index in line with the record files in the folder `sources`.
 
     A missing file counts as empty, so its documents go, unless `keep_missing`; so do documents whose line has become
-    invalid. Of documents with one id, one is kept.
+    invalid. Of lines with one id the last holds, postings being after publications and files in the order of their names. Bad lines are kept as a table, see `VectorIndex.quarantine`.
     """
     if rebuild:
         index.drop()
     index.check_model(embedder)
-    spark, parts, invalid = index.spark, [], 0
-    for name, source_type, make in ((S.PUBLICATIONS_FILE, "publication", from_publications), (S.POSTINGS_FILE, "thesis_posting", from_postings)):
+    spark, run, staged, parts = index.spark, uuid.uuid4().hex, [], []
+    for rank, (name, source_type, make) in enumerate(((S.PUBLICATIONS_FILE, "publication", from_publications), (S.POSTINGS_FILE, "thesis_posting", from_postings))):
         path = f"{sources.rstrip('/')}/{name}"
         if not storage.exists(spark, path):
             log.warning("no file %s", path)
-        records = jsonl.read_records(spark, path, source_type)
-        invalid += records.where(~F.col("is_valid")).count()
-        parts.append(make(records.where("is_valid")))
-    documents = latest_of_each(parts[0].unionByName(parts[1])).persist(StorageLevel.MEMORY_AND_DISK)
-    rows, actions = _merged(index, documents, embedder, keep_missing)
-    counts = count_actions(actions).first()
-    index.write(rows, embedder, sources)
-    documents.unpersist()
-    return IndexResult(counts["embedded"], counts["skipped"], counts["deleted"], invalid)
-
-
-def upsert(index: VectorIndex, documents: DataFrame, embedder: Embedder) -> None:
-    """Insert or replace documents by id; all others stay."""
-    if documents.isEmpty():
-        return
-    index.check_model(embedder)
-    rows, _ = _merged(index, latest_of_each(documents), embedder, keep_others=True)
-    index.write(rows, embedder, (index.manifest() or {}).get("sources_dir", ""))
-
-
-def remove(index: VectorIndex, ids: DataFrame, embedder: Embedder) -> None:
-    """Drop the documents with the ids in the column `id`; unknown ids are harmless."""
-    old = index.rows()
-    if old is not None and not ids.isEmpty():
-        index.write(old.join(ids.select("id"), "id", "left_anti"), embedder, index.manifest()["sources_dir"])
+        lines = jsonl.Staged(spark, path, source_type, f"{index.root}/staged-{run}/{source_type}")
+        staged.append(lines)
+        parts.append(make(lines.records(), keep=["file", "block", "place"]).withColumn("rank", F.lit(rank)))
+    n_valid, n_invalid = (sum(s.count(kind) for s in staged) for kind in ("valid", "invalid"))
+    quarantine = f"quarantine-{run}"
+    staged[0].bad_lines().unionByName(staged[1].bad_lines()).write.parquet(f"{index.root}/{quarantine}")
+    for bad in index.spark.read.parquet(f"{index.root}/{quarantine}").limit(LOGGED).collect() if n_invalid else ():
+        log.warning("bad line %s:%d: %s", bad["file"], bad["number"], bad["error"])
+    documents = latest_of_each(parts[0].unionByName(parts[1]), ["rank", "file", "block", "place"])
+    counts, skipped = _apply(index, documents, embedder, keep_missing, sources_dir=sources, quarantine=quarantine)
+    storage.delete(spark, f"{index.root}/staged-{run}")
+    embedded = counts.get("insert", 0) + counts.get("update", 0)
+    return IndexResult(embedded, skipped, counts.get("delete", 0), n_invalid, n_valid - embedded - skipped)
+
+
+def upsert(index: VectorIndex, documents: DataFrame, embedder: Embedder) -> IndexResult:
+    """Insert or replace documents by id; all others stay, and those that are stored as they are are not embedded again. Of documents with one id the one with the highest content hash counts."""
+    counts, skipped = _apply(index, latest_of_each(documents), embedder, keep_others=True)
+    return IndexResult(counts.get("insert", 0) + counts.get("update", 0), skipped, 0)
+
+
+def remove(index: VectorIndex, ids: DataFrame, embedder: Embedder | None = None) -> int:
+    """Drop the documents with the ids in the column `id`, and say how many; unknown ids are harmless. Only tombstones are written."""
+
+    def change(base: dict | None) -> tuple[dict, dict | None]:
+        if base is None:
+            return {"counts": {}, "buckets": []}, base
+        gone = index.hashes(base).join(ids.select("id").distinct(), "id", "left_semi").withColumn("change", F.lit("delete"))
+        schema = T.StructType.fromJson(base["schema"])
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in (*gone.columns, "bucket")}
+        rows = gone.withColumns(missing).select(*base["columns"], "change")
+        layer = index.write_layer(rows, base)
+        return layer, index.changed(base, layer, base["columns"], rows.schema) if layer["buckets"] else base
+
+    layer, _ = index.apply(change)
+    return layer["counts"].get("delete", 0)

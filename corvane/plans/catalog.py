@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.operators.documents import from_postings, from_publications
 from corvane.operators.embedding import HashEmbedder
-from corvane.operators.index import count_actions, diff
+from corvane.operators.index import VectorIndex, count_actions, diff, remove, upsert
 from corvane.operators.knn import top_k
 from corvane.operators.ranking import credit, ordered_hits, rank_people
 from corvane.plans import matching
-from corvane.sources.jsonl import check_lines
+from corvane.sources.jsonl import Staged, check_lines
+from corvane.sources.storage import work_folder
 from corvane.sources.tables import table
 
 K = 10
@@ -158,9 +160,64 @@ def validate_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("title").agg(F.count("*").alias("n_lines"), F.count_if("is_valid").alias("n_valid"), F.sum("year").cast("long").alias("years"))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as publication and posting records: the source is the title, the language a keyword."""
+    i, id_ = F.col("doc_id"), F.col("doc_id").cast("string").alias("id")
+    docs = corpus(spark, sf_dir, vectors=False).withColumn("doc_id", F.col("id"))
+    source = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"))
+    docs = docs.join(source, "doc_id")
+    common = [id_, "title", "department", "url", F.array_compact(F.array("department")).alias("keywords")]
+    named = F.map_from_arrays("uzh_authors", F.transform("uzh_authors", lambda p: F.when(p == "src1", F.lit(None).cast("string")).otherwise(F.concat(F.lit("n/"), p))))
+    pubs = docs.where(i % 4 != 0).select(*common, F.col("text").alias("abstract"), F.col("uzh_authors").alias("authors"), "uzh_authors", named.alias("author_authority_map"), "year")
+    posts = docs.where(i % 4 == 0).select(*common, F.col("text").alias("description"), "supervisor", "degree_level")
+    return pubs, posts
+
+
+def documents_of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pubs, posts = _records(spark, sf_dir)
+    docs = from_publications(pubs).unionByName(from_postings(posts))
+    return docs.select("id", "source_type", F.md5(F.col("text").cast("binary")).alias("text_md5"), "has_uzh_author", "content_hash")
+
+
+def index_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that gets an older state of the documents (every tenth missing, every seventh with another text), then the present one, and loses every eleventh: what it holds, and what each step did."""
+    pubs, posts = _records(spark, sf_dir)
+    now = from_publications(pubs).unionByName(from_postings(posts))
+    i = F.col("id").cast("long")
+    old = F.when(i % 7 == 0, F.concat(F.lit("old "), F.col("title"))).otherwise(F.col("title"))
+    before = from_publications(pubs.withColumn("title", old)).unionByName(from_postings(posts.withColumn("title", old))).where(i % 10 != 0)
+    index, embedder = VectorIndex(spark, work_folder(spark, "index"), "lifecycle"), HashEmbedder()
+    first, second = upsert(index, before, embedder), upsert(index, now, embedder)
+    removed = remove(index, now.where(i % 11 == 0).select("id"))
+    index.compact()
+    held = index.rows().select("id", "source_type", "content_hash", F.size("vector").cast("long").alias("dim"))
+    return held.withColumns({"embedded_first": F.lit(first.embedded).cast("long"), "embedded_second": F.lit(second.embedded).cast("long"), "skipped": F.lit(second.skipped).cast("long"), "removed": F.lit(removed).cast("long")})
+
+
+def match_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items as questions, from text to ranked people, over every document."""
+    rows = HashEmbedder().embed(corpus(spark, sf_dir, vectors=False), "text")
+    asked = matching.parse_queries(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("raw_query")))
+    found = matching.match(asked, rows, HashEmbedder(), K)
+    refs = F.array_join(F.transform("evidence", lambda e: F.concat_ws("~", e["source_type"], e["source_id"].cast("string"))), "||")
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "supervisor", "department", F.round("score", 6).alias("score"), "publication_count", "has_open_position", F.array_join("matched_topics", "|").alias("topics"), refs.alias("evidence"))
+
+
+def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of record lines, some blank: for each error of the bad lines how many there are, and how many places (file and line number) they have."""
+    i = F.col("doc_id")
+    good = F.to_json(F.struct(i.cast("string").alias("id"), F.col("source").alias("title"), F.lit("2024").alias("year")))
+    line = F.when(i % 9 == 4, F.lit("  ")).when(F.col("lang") == "de", F.concat(good, F.lit(" x"))).when(F.col("lang") == "fr", F.lit("[1]")).otherwise(good)
+    folder = work_folder(spark, "lines")
+    table(spark, sf_dir, "documents").select(line.alias("value")).write.text(f"{folder}/lines")
+    bad = Staged(spark, f"{folder}/lines", "publication", f"{folder}/staged").bad_lines()
+    return bad.groupBy(F.substring_index("error", ":", 1).alias("error")).agg(F.count("*").alias("n_lines"), F.count_distinct("file", "number").alias("n_places"))
+
+
 QUERIES = [
     knn_topk, knn_topk_filtered, union_hits_ordered, expert_ranking, render_answer, credit_explode, index_diff, index_counts, removed_ids, document_text,
     content_hash, title_first_line, query_topics, degree_detect, query_text, tokenize, hash_embed, validate_jsonl,
+    documents_of_records, index_lifecycle, match_people, quarantine,
 ]
 
 _CORPUS = """
@@ -274,6 +331,52 @@ SELECT CASE WHEN lang IN ('de', 'fr') THEN NULL ELSE source END AS title, count(
        (sum(2024) FILTER (WHERE lang NOT IN ('de', 'fr')))::BIGINT AS years FROM documents GROUP BY 1""",
 }
 
+_PEOPLE = "CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 1 THEN [] WHEN source = 'src' || (doc_id % 7) THEN [source] ELSE [source, 'src' || (doc_id % 7)] END"
+
+
+def _hash_sql(title: str) -> str:
+    """The content hash of a document whose title is `title`, with its text; fields in order, null ones left out."""
+    text = f"array_to_string(list_filter([{title}, text, lang], lambda p: p IS NOT NULL AND p <> ''), chr(10))"
+    said = lambda name, v: f"coalesce(',\"{name}\":' || to_json({v})::VARCHAR, '')"
+    named = f"list_transform({_PEOPLE}, lambda u: to_json(u)::VARCHAR || ':' || CASE WHEN u = 'src1' THEN 'null' ELSE to_json('n/' || u)::VARCHAR END)"
+    pub = f"said || '\"publication\"' || {said('department', 'lang')} || {said('year', '2000 + doc_id % 25')} || {said('url', chr(39) + 'doc/' + chr(39) + ' || doc_id')} || {said('authors', _PEOPLE)} || {said('uzh_authors', _PEOPLE)} || ',\"author_authority_map\":{{' || array_to_string({named}, ',') || '}}' || {said('keywords', 'list_filter([lang], lambda x: x IS NOT NULL)')} || ',\"has_uzh_author\":' || (len({_PEOPLE}) > 0)::VARCHAR"
+    post = f"said || '\"thesis_posting\"' || {said('department', 'lang')} || {said('degree_level', '[' + chr(39) + 'bachelor' + chr(39) + ', ' + chr(39) + 'master' + chr(39) + ', ' + chr(39) + 'phd' + chr(39) + '][doc_id % 3 + 1]')} || {said('supervisor', 'source')} || {said('url', chr(39) + 'doc/' + chr(39) + ' || doc_id')}"
+    return f"""SELECT doc_id::VARCHAR AS id, doc_id, CASE WHEN doc_id % 4 = 0 THEN 'thesis_posting' ELSE 'publication' END AS source_type, md5({text}) AS text_md5, CASE WHEN doc_id % 4 <> 0 THEN len({_PEOPLE}) > 0 END AS has_uzh_author,
+    sha256(CASE WHEN doc_id % 4 = 0 THEN {post} ELSE {pub} END || '}}') AS content_hash FROM (SELECT *, '{{\"text\":' || to_json({text})::VARCHAR || ',\"source_type\":' AS said FROM documents)"""
+
+
+ORACLE_SQL |= {
+    "documents_of_records": f"SELECT id, source_type, text_md5, has_uzh_author, content_hash FROM ({_hash_sql('source')})",
+    "index_lifecycle": f"""WITH now AS ({_hash_sql('source')})
+SELECT id, source_type, content_hash, 64::BIGINT AS dim, (SELECT count(*) FROM documents WHERE doc_id % 10 <> 0) AS embedded_first, (SELECT count(*) FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 0) AS embedded_second,
+       (SELECT count(*) FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 <> 0) AS skipped, (SELECT count(*) FROM documents WHERE doc_id % 11 = 0) AS removed FROM now WHERE doc_id % 11 <> 0""",
+    "match_people": f"""WITH {_CORPUS}, {_topics_sql().replace(_ASKED, "asked AS (SELECT item_id AS query, text FROM benchmark)")}, questions AS (
+  SELECT query AS query_id, array_to_string(topics, '; ') AS qt, topics, {_levels_sql()} AS want_level FROM parsed
+), texts AS (SELECT 'd' AS side, id, text FROM corpus UNION ALL SELECT 'q', query_id, qt FROM questions),
+used AS (SELECT side, id, unnest({_TOKENS}) AS token FROM texts), counted AS (SELECT side, id, token, count(*) AS n FROM used GROUP BY ALL), words AS (SELECT DISTINCT token FROM used),
+digests AS (SELECT token, b, sha256(b || ':' || token) AS hex FROM words, range(8) r(b)),
+bits AS (SELECT token, b * 8 + j AS i, ('0x' || substr(hex, 8 * j + 1, 8))::BIGINT AS u FROM digests, range(8) s(j)),
+own AS (SELECT token, i, (CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) / 2147483648.0::DOUBLE AS x FROM bits),
+sums AS (SELECT side, id, i, sum(n * x) AS x FROM counted JOIN own USING (token) GROUP BY ALL),
+sizes AS (SELECT side, id, sqrt(sum(x * x)) AS size FROM sums GROUP BY ALL),
+units AS (SELECT side, id, i, x / size AS x FROM sums JOIN sizes USING (side, id)),
+dots AS (SELECT q.id AS query_id, d.id, sum(q.x * d.x) AS score FROM units q JOIN units d USING (i) WHERE q.side = 'q' AND d.side = 'd' GROUP BY ALL),
+scored AS (
+  SELECT query_id, c.*, round(coalesce(score, 0), 9) AS score FROM corpus c JOIN questions ON (source_type = 'publication' OR want_level IS NULL OR degree_level = want_level) AND (source_type = 'thesis_posting' OR len(people) > 0)
+    LEFT JOIN dots USING (query_id, id)
+), hits AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id, source_type ORDER BY score DESC, id) AS rk FROM scored QUALIFY rk <= {K}
+), ordered AS (
+  SELECT *, rk + CASE WHEN source_type = 'publication' THEN {K} ELSE 0 END AS ord FROM hits
+){_RANKED.removeprefix(_HITS)}
+SELECT query_id, rank, person AS supervisor, department, round(score, 6) AS score, publication_count, has_open_position, array_to_string(topics, '|') AS topics,
+       array_to_string(list_transform(refs, lambda r: concat_ws('~', r.source_type, r.id)), '||') AS evidence FROM ranked JOIN questions USING (query_id)""",
+    "quarantine": """
+SELECT error, count(*) AS n_lines, count(*) AS n_places FROM (
+  SELECT CASE WHEN doc_id % 9 = 4 THEN '' WHEN lang = 'de' THEN 'Extra data' WHEN lang = 'fr' THEN 'not an object' END AS error FROM documents
+) WHERE error <> '' GROUP BY error""",
+}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: q for q in QUERIES}

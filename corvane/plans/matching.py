@@ -22,21 +22,11 @@ def parse_queries(queries: DataFrame, raw_col: str = "raw_query") -> DataFrame:
     return queries.withColumns({"topics": X.topics(raw), "keywords": F.array().cast("array<string>"), "degree_level": X.degree_level(raw), "department": F.lit(None).cast("string")})
 
 
-def extract_queries(queries: DataFrame, client: chat.ChatClient) -> DataFrame:
-    """As parse_queries, by a model; the rules hold for queries that it fails on. The requests run in the tasks.
-
-    The result is persisted, so that a query is asked once and all later steps see the same reply.
-    """
-    found = "struct<topics:array<string>,keywords:array<string>,degree_level:string,department:string>"
-
-    @F.udf(found)
-    def ask(query):
-        got = chat.extract(client, query or "")
-        return None if got is None else (got["topics"], got["keywords"], got["degree_level"], got["department"])
-
-    rows = parse_queries(queries).withColumn("_found", ask("raw_query"))
-    pick = lambda c: F.when(F.col("_found").isNull(), F.col(c)).otherwise(F.col(f"_found.{c}"))
-    return rows.withColumns({c: pick(c) for c in ("topics", "keywords", "degree_level", "department")}).drop("_found").persist()
+def extract_queries(queries: DataFrame, client: chat.ChatClient, folder: str | None = None, at_once: int = chat.POOL) -> DataFrame:
+    """As parse_queries, by a model; the rules hold for queries that it fails on. See `chat.ask_all` for how and when it is asked."""
+    rows = parse_queries(chat.extract_all(queries, client, folder, at_once))
+    pick = lambda c: F.when(F.col("found").isNull(), F.col(c)).otherwise(F.col(f"found.{c}"))
+    return rows.withColumns({c: pick(c) for c in ("topics", "keywords", "degree_level", "department")}).drop("found")
 
 
 def eligible(rows: DataFrame) -> DataFrame:

@@ -1,42 +1,39 @@
-"""One query from text to answer, with the parts that the settings choose."""
+"""Queries from text to answer, with the parts that the settings choose or the caller gives."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.operators.embedding import build_embedder
 from corvane.operators.index import VectorIndex
-from corvane.plans import chat, matching
+from corvane.plans import parts
 from corvane.plans.settings import Settings
 
 
 class Pipeline:
-    """Without an index the results are canned ones. A chat endpoint, if set, extracts queries and writes answers; the rules and the template stand in where it fails."""
+    """Without an index the results are canned ones. A chat endpoint, if set, extracts queries and writes answers; the rules and the template stand in where it fails. Each part can be given instead."""
 
-    def __init__(self, spark: SparkSession, settings: Settings | None = None, index: VectorIndex | None = None):
-        self.spark, self.settings, self.index = spark, settings or Settings(), index
-        s = self.settings
-        self.client = chat.ChatClient(s.llm_base_url, s.llm_model, s.llm_api_key) if s.llm_base_url else None
+    def __init__(self, spark: SparkSession, settings: Settings | None = None, index: VectorIndex | None = None, *, extractor: parts.Extractor | None = None, retriever: parts.Retriever | None = None, synthesizer: parts.Synthesizer | None = None):
+        self.spark, self.settings = spark, settings or Settings()
+        self.extractor = extractor or parts.build_extractor(self.settings)
+        self.retriever = retriever or parts.build_retriever(self.settings, index)
+        self.synthesizer = synthesizer or parts.build_synthesizer(self.settings)
+
+    def _asked(self, texts: list[str]) -> DataFrame:
+        return self.spark.createDataFrame(list(enumerate(texts, 1)), "query_id long, raw_query string")
 
     def queries(self, texts: list[str]) -> DataFrame:
-        rows = self.spark.createDataFrame(list(enumerate(texts, 1)), "query_id long, raw_query string")
-        return matching.extract_queries(rows, self.client) if self.client else matching.parse_queries(rows)
+        return self.extractor.extract(self._asked(texts))
 
     def run(self, query: str, top_k: int = 5) -> DataFrame:
-        if self.index is None:
-            return matching.canned(self.spark, top_k)
-        embedder = build_embedder(self.settings.embedding_model)
-        self.index.check_model(embedder)
-        return matching.match(self.queries([query]), self.index.rows(), embedder, top_k)
+        return self.run_all(self._asked([query]), top_k)
+
+    def run_all(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
+        """The matches of any number of queries (query_id, raw_query) in one job."""
+        return self.retriever.retrieve(self.extractor.extract(queries), top_k)
 
     def recommend(self, query: str, top_k: int = 5, matches: DataFrame | None = None) -> str:
         found = self.run(query, top_k) if matches is None else matches
-        if self.client:
-            answer = chat.write_answer(self.client, query, [r.asDict(recursive=True) for r in found.orderBy("rank").collect()])
-            if answer:
-                return answer
-        asked = self.spark.createDataFrame([(1, query)], "query_id long, raw_query string")
-        return matching.render_answers(found, asked).first()["answer"]
+        return self.synthesizer.answer(found, self._asked([query])).first()["answer"]
 
 
 def show_matches(matches: DataFrame) -> str:

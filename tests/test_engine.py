@@ -258,7 +258,7 @@ def test_chat(spark, endpoint):
     kept = matching.extract_queries(spark.createDataFrame([(1, "thesis on y")], "query_id long, raw_query string"), endpoint)
     rows = spark.createDataFrame([("t", "thesis_posting", "a b", [0.5] * 64, "CS", "phd", "Dee", None, None, None)], "id string, source_type string, text string, vector array<double>, department string, degree_level string, supervisor string, uzh_authors array<string>, url string, year int")
     assert [r.matched_topics for r in matching.match(kept, rows, EMBED).collect()] == [["a"]] and len(Stub.seen) == before + 1  # asked once
-    Stub.replies = [_reply(" Take Ada. "), (503, "")]
+    Stub.replies = [_reply(good), _reply(" Take Ada. "), *[(503, "")] * 2 * chat.ATTEMPTS]  # the query is extracted first, as it is with an index
     pipe = Pipeline(spark, Settings(llm_base_url=endpoint.base_url))
     assert pipe.recommend("q") == "Take Ada."
     assert pipe.recommend("q").startswith("Based on")
