@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,7 @@ class _Items:
 
     def __init__(self, ids: list, texts: list):
         self.ids, self.sets, self.short, self.few, classes = ids, [], {}, {}, {}
+        self.length = np.full(len(ids), SHINGLE)  # words of an item's shingles
         for i, text in enumerate(texts):
             data = np.frombuffer((text or "").encode(), np.uint8)
             w, first = W.word_hashes(data, np.array([0, len(data)]))
@@ -47,6 +49,7 @@ class _Items:
             self.sets.append(s)
             if 0 < len(w) < SHINGLE:
                 self.short.setdefault(len(w), []).append(i)
+                self.length[i] = len(w)
             elif 0 < len(s) <= FEW:
                 for k in s.tolist():
                     self.few.setdefault(k, []).append(i)
@@ -107,6 +110,19 @@ class _Items:
         return found
 
 
+    def held(self, text: pa.Array, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, its shingles, those that the row's text holds) of every row and item with at least `threshold` of them."""
+        for row, _, data, offsets in W.slices(text):
+            w, first = W.word_hashes(data, offsets)
+            s, at = W.shingles(w, first, SHINGLE)
+            for d, i in sorted(self.candidates(w, first, s, at)):
+                own, n = self.sets[i], self.length[i]
+                have = s[at[d] : at[d + 1]] if n == SHINGLE or first[d + 1] - first[d] <= n else W.grams(w[first[d] : first[d + 1]], n)
+                shared = int(np.isin(own, have).sum())
+                if shared >= threshold * len(own):
+                    yield row + d, i, len(own), shared
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
     """Items in blocks of at most MAX_BROADCAST words, read one partition at a time."""
     ids, texts, n = [], [], 0
@@ -139,19 +155,8 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
         def search(batches, sent=sent):
             block: _Items = sent.value
             for batch in batches:
-                doc_ids, text = batch.column(0), batch.column(1)
-                hits: list[tuple[int, int, int, int]] = []
-                for row, _, data, offsets in W.slices(text):
-                    w, first = W.word_hashes(data, offsets)
-                    s, at = W.shingles(w, first, SHINGLE)
-                    for d, i in sorted(block.candidates(w, first, s, at)):
-                        own = block.sets[i]
-                        n_words = first[d + 1] - first[d]
-                        short = next((n for n, members in block.short.items() if i in members), SHINGLE)
-                        have = s[at[d] : at[d + 1]] if short == SHINGLE or n_words <= short else W.grams(w[first[d] : first[d + 1]], short)
-                        shared = int(np.isin(own, have).sum())
-                        if shared >= threshold * len(own):
-                            hits.append((row + d, i, len(own), shared))
+                doc_ids = batch.column(0)
+                hits = list(block.held(batch.column(1), threshold))
                 if hits:
                     at_doc, at_item, n_item, n_shared = zip(*hits, strict=True)
                     item_ids = pa.array([block.ids[i] for i in at_item], type=sent_type)
@@ -162,7 +167,25 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
     return out.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id if item_id != doc_id else f"item_{item_id}"), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """`docs` without the documents that hold an item."""
-    found = contained_items(docs, items, doc_id, doc_text, item_id, item_text).select(F.col(doc_id).alias("_leaky")).distinct()
-    return docs.join(found, docs[doc_id].eqNullSafe(found["_leaky"]), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_text: str = "text", item_id: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` without the rows whose text holds an item, as `contained_items` judges it.
+
+    Each row is judged by its own text, so ids play no part: rows of one id, or without one, are kept or dropped each for itself, repeated rows alike. All columns stay, whatever their names; only the text goes to Python.
+    Null, empty and wordless texts hold no item and stay; a text of any length is searched whole. Without items all rows stay; an empty table gives an empty one.
+    """
+    kept = docs
+
+    def leaky(sent: Broadcast):
+        @F.arrow_udf("boolean")
+        def holds(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in columns:
+                found = np.zeros(len(column), bool)
+                found[[row for row, *_ in sent.value.held(column, threshold)]] = True
+                yield pa.array(found)
+
+        return holds
+
+    for ids, texts in _blocks(items, item_id, item_text):
+        holds = leaky(docs.sparkSession.sparkContext.broadcast(_Items(ids, texts)))
+        kept = kept.where(~holds(F.col(doc_text)))
+    return kept

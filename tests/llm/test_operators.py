@@ -1,10 +1,13 @@
 """Operators on hand-made rows: nulls, empty and repeated texts, ties, extra columns, empty tables."""
 
+import hashlib
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import byte_bpe, decontaminate, language_id, line_dedup, near_dedup, quality, sharding, suffix_dedup, token_files, url_filter
+from corvane.llm import byte_bpe, decontaminate, fingerprint, hard_negatives, language_id, line_dedup, merkle, near_dedup, quality, sharding, suffix_dedup, token_files, url_filter
 from corvane.llm.graph import components
 from corvane.llm.shared import scratch
 
@@ -176,10 +179,22 @@ def test_decontaminate(spark, odd):
     items = spark.createDataFrame([(1, "word7 stays word8 stays word9 stays"), (2, "two lines"), (3, None), (4, "not in there at all today")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(odd, items).collect()}
     assert got == {(4, 1), (1, 2)}
-    assert decontaminate.drop_contaminated(odd, items).count() == 4
+    assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(odd, items).collect()) == ["2", "3", "5", "None"]
+    assert decontaminate.drop_contaminated(odd.limit(0), items).count() == 0 and decontaminate.drop_contaminated(odd, items.limit(0)).count() == len(ROWS)
     assert decontaminate.contained_items(odd.limit(0), items).count() == 0 == decontaminate.contained_items(odd, items.limit(0)).count()
 
 
+def test_clean_rows_of_leaky_ids_stay(spark):
+    """Ids say nothing about a row: null and repeated ones keep their clean rows, with columns of any names; a text of 3 MB is searched to its end."""
+    item = "a passage that the test set holds word for word"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"see {item} here"), (None, "clean"), (5, item), (5, "clean too"), (6, "clean as well"), (7, "filler words " * 120_000 + item), (8, "filler words " * 120_000), (None, None), (5, item), (6, "clean as well")]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, item_id int, _leaky string, containment int")
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([r for i, r in enumerate(rows) if i in (1, 3, 4, 6, 7, 9)], key=str)
+
+
 def test_decontaminate_finds_every_small_item(spark):
     rng = np.random.default_rng(2)
     docs, items = [], []
@@ -254,3 +269,159 @@ def test_components_keep_a_true_size(spark):
     roots = components(spark.range(400).selectExpr("id a", "id + 1 b"))
     assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(401)}
     assert roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+
+
+def _digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def _plain_tree(nodes):
+    """(root, for each leaf the place and siblings of each level)."""
+    proofs, own = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for i, o in enumerate(own):
+            run, place = divmod(o, 8)
+            met = nodes[run * 8 : run * 8 + 8]
+            proofs[i].append((place, "".join(met[:place] + met[place + 1 :])))
+        own, nodes = [o // 8 for o in own], [_digest(*nodes[k : k + 8]) for k in range(0, len(nodes), 8)]
+    return nodes[0], proofs
+
+
+@pytest.mark.parametrize("per_part", [3, 64, 10_000])
+def test_manifest_against_plain_trees(spark, monkeypatch, per_part):
+    """Groups over any number of partitions, of one leaf, of 8 and 9, with a null key, repeated rows and null or repeated ids, over bounded stretches."""
+    monkeypatch.setattr(merkle, "ROWS", per_part)
+    monkeypatch.setattr(merkle, "BATCH", 50)
+    rows = [(i, g, f"text {i}") for g, n in (("de", 1), ("en", 530), (None, 9), ("fr", 8), ("zz\u00e9", 65), ("", 2)) for i in range(n)]
+    rows += [(3, "en", "text 3")] * 20 + [(None, "en", None)] * 3 + [(None, None, "")]
+    docs = spark.createDataFrame(rows, "doc_id int, lang string, text string").withColumn("root_", F.lit(1)).repartition(5)
+    leaf = merkle.leaf_of(F.col("doc_id"), F.col("text"))
+    found = merkle.manifest(docs, leaf, keep=["text", "root_"])
+    folded = found.withColumn("again", merkle.fold(F.col("leaf"), F.col("proof"))).withColumn("p", merkle.proof_digest(F.col("proof")))
+    got = sorted((str(r.doc_id), str(r.lang), str(r.text), r.leaf, r.subroot, r.root, r.p, r.again) for r in folded.collect())
+    said = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    groups = {}
+    for i, g, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, _digest(said(r[0]), said(r[2])))):
+        groups.setdefault(g, []).append((i, t, _digest(said(i), said(t))))
+    trees = {g: _plain_tree([x[2] for x in own]) for g, own in groups.items()}
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    root, tops = _plain_tree([trees[g][0] for g in order])
+    want = [(str(i), str(g), str(t), h, trees[g][0], root, _digest(*[s for _, s in p + tops[order.index(g)]]), root) for g, own in groups.items() for (i, t, h), p in zip(own, trees[g][1], strict=True)]
+    assert got == sorted(want)
+
+
+def test_manifest_edges(spark, odd):
+    leaf = merkle.leaf_of(*[F.col(c) for c in ("doc_id", "source", "lang", "text")])
+    assert merkle.manifest(odd.limit(0), leaf).count() == 0
+    found = merkle.manifest(odd, leaf, keep=["id", "t"]).withColumn("again", merkle.fold(F.col("leaf"), F.col("proof"))).collect()
+    assert len(found) == len(ROWS) and all(r.again == r.root for r in found) and len({r.root for r in found}) == 1
+    assert found[0].leaf in {_digest("1:1", "2:s1", "2:en", "24:A small text.\nTwo lines."), *[r.leaf for r in found]} and _digest("1:2", "-", "-", "-") in {r.leaf for r in found}
+    forged = [r for r in merkle.manifest(odd, leaf).withColumn("again", merkle.fold(merkle.leaf_of(F.lit("x")), F.col("proof"))).collect()]
+    assert all(r.again != r.root for r in forged)
+    with pytest.raises(ValueError, match="one name"):
+        merkle.manifest(odd.withColumn("Leaf", F.lit(1)), leaf, keep=["Leaf"])
+
+
+def test_fingerprints_do_not_depend_on_how_they_are_hashed(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(1, 4000, 60)] + [b"", b"a", b"a" * 5000, b"ab" * 3000, "naïve 漢字 ".encode() * 90]
+    whole = fingerprint.fingerprint_all(texts)
+    assert fingerprint.fingerprint_all(texts[::-1]) == whole[::-1] and [fingerprint.fingerprint_all([t])[0] for t in texts] == whole
+    monkeypatch.setattr(fingerprint, "SLICE", 100)
+    assert fingerprint.fingerprint_all(texts) == whole
+    assert all(len(p) <= fingerprint.PIECES * fingerprint.SYMBOL for f in whole for p in f.split(":")[1:])
+    for a in range(0, 60, 7):  # a piece's symbols depend on its own bytes only, so what is shared at an end stays
+        changed = fingerprint.fingerprint_all([b"other start of it " + texts[a]])[0]
+        assert len(texts[a]) < 200 or fingerprint.likeness(whole[a], changed) > 0.7
+
+
+def test_likeness_against_plain():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(row[j - 1] if x == y else 1 + min(row[j], new[-1]))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(1)
+    cut = lambda s: [s[i : i + 2] for i in range(0, len(s), 2)]
+    for _ in range(100):
+        a, b = ("".join(f"A{x}" for x in rng.integers(0, 9, rng.integers(1, 150))) for _ in range(2))
+        got = fingerprint.likeness(f"8:{a}::", f"8:{b}::")
+        assert got == (1.0 if a == b else pytest.approx(1 - plain(cut(a), cut(b)) / (len(cut(a)) + len(cut(b)))))
+    assert fingerprint.likeness("4:AA:BB:CC", "16:CC:DD:EE") == 1.0 and fingerprint.likeness("4:AA:BB:CC", "32:CC:DD:EE") == 0.0
+    assert fingerprint.likeness(None, "4:::") is None and fingerprint.likeness("4:::", "4:::") == 1.0 and fingerprint.likeness("4:::", "4:AA:A:A") == 0.0
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_edit_probe_against_plain(spark, odd, parts):
+    """Neighbours across partitions, also empty ones; nulls, empty texts and repeated ids; one text of 3 MB."""
+    rng = np.random.default_rng(parts)
+    rows = [(int(i) * 3, "".join(chr(int(c)) for c in rng.integers(97, 800, int(n)))) for i, n in enumerate(rng.integers(0, 400, 90))]
+    rows += [(2000, None), (2001, ""), (2002, "word " * 600_000), (None, "first"), (2001, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("part", F.lit(2)).repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.doc_id, r.fingerprint): r for r in fingerprint.edit_probe(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plain = sorted(((i, t or "") for i, t in rows if i != 2001), key=lambda r: (r[0] is not None, r[0] or 0))
+    at = next(k for k, r in enumerate(plain) if r[0] == 2002)
+    two = [(2001, ""), (2001, "again")]
+    for middle in (two, two[::-1]):  # rows of one id follow by a hash of their texts
+        ordered = plain[:at] + middle + plain[at:]
+        marks = fingerprint.fingerprint_all([t.encode() for _, t in ordered])
+        want = {}
+        for (i, t), m, (_, f), n in zip(ordered, marks, ordered[1:] + ordered[:1], marks[1:] + marks[:1], strict=True):
+            changed = t[: len(t) - len(t) // 2] + f[: len(t) // 2]
+            other = fingerprint.fingerprint_all([changed.encode()])[0]
+            want[i, m] = (len(t), hashlib.sha256(changed.encode()).hexdigest(), other, fingerprint.likeness(m, other), fingerprint.likeness(m, n))
+        if (two[0] == middle[0]) == (got[2000, marks[at - 1]].edited_sha256 == want[2000, marks[at - 1]][1]) and {k: tuple(r)[1:3] + tuple(r)[4:] for k, r in got.items()} == want:
+            break
+    else:
+        raise AssertionError("neither order of the two rows fits")
+    assert fingerprint.edit_probe(docs.limit(0)).count() == 0
+    one = fingerprint.edit_probe(docs.where("doc_id = 2000")).first()
+    assert one.near_next == one.near_edited == 1.0 and one.n_chars == 0
+    assert len(fingerprint.edit_probe(odd).collect()) == len(ROWS)
+
+
+def _plain_negatives(rows, asks, n_positives=5, n_negatives=3):
+    import math
+
+    fine = [(k, i, [math.floor(256 * float(x)) for x in v], g) for k, (i, v, g) in enumerate(rows) if g is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    last = lambda i: (i is None, i or 0)
+    out = []
+    for k, i, v, g in fine:
+        if not asks(i):
+            continue
+        order = sorted(((-sum(a * b for a, b in zip(v, w)), last(j), j, h, m) for m, j, w, h in fine if m != k), key=lambda r: (r[0], r[1], r[4]))  # noqa: B905
+        for s, _, j, _, _ in [r for r in order if r[3] == g][:n_positives]:
+            fits = [r for r in order if r[3] != g and 50 * -s <= 100 * -r[0] <= 95 * -s][:n_negatives]
+            out += [(i, j, n, r[2], -s, -r[0]) for n, r in enumerate(fits, 1)]
+    return sorted(out, key=str)
+
+
+def test_hard_negatives_against_plain(spark, monkeypatch):
+    """Ties, negative and zero scores, few positives, nulls of every kind, vectors of other lengths, repeated rows and anchors in several shares."""
+    from corvane.operators import sweep
+
+    monkeypatch.setattr(sweep, "ROWS", 40)
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(x) / 2 for x in rng.integers(-2, 4, 3)], int(rng.integers(0, 4))) for i in range(300)]
+    rows += [(400, None, 1), (401, [1.0, None, 1.0], 1), (402, [float("nan")] * 3, 1), (403, [float("inf")] * 3, 1), (404, [1.0, 1.0, 1.0], None), (None, [1.5, 1.0, 1.0], 1), (405, [], 2), (406, [1.0], 2), (410, [1.0, 1.0, 1.0], 9), rows[0], rows[0], rows[50]]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("uid", F.lit(1)).withColumn("rank", F.lit("x")).repartition(4)
+    for share in (10, 1000):
+        monkeypatch.setattr(sweep, "SHARE", share)
+        got = sorted(map(tuple, hard_negatives.hard_negatives(table, F.col("vec_id") % 10 == 0).collect()), key=str)
+        assert got == _plain_negatives(rows, lambda i: i is not None and i % 10 == 0) and len(got) > 200
+    assert hard_negatives.hard_negatives(table.limit(0), F.col("vec_id") % 10 == 0).count() == 0
+    large = spark.createDataFrame([(0, [1e5] * 64, 1), (1, [1e5] * 64, 1), (2, [9e4] * 64, 2)], "vec_id long, embedding array<double>, label int")
+    at_zero = hard_negatives.hard_negatives(large, F.col("vec_id") == 0).collect()
+    assert [tuple(r) for r in at_zero] == [(0, 1, 1, 2, 64 * 256**2 * 10**10, 64 * 256**2 * 9 * 10**9)] and at_zero[0].positive_score > 1 << 53
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        hard_negatives.hard_negatives(large.withColumn("embedding", F.transform("embedding", lambda x: x * 1e10)), F.lit(True)).collect()
