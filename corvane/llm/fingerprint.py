@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.shared import stored, tidy
+from corvane.llm.shared import scratch, tidy
 
 #: Bytes that the rolling hash sees.
 WINDOW = 7
@@ -263,7 +263,9 @@ def edit_probe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if held is not None:
             yield table(held[0], [(len(held[1]), None, held[2], None, None, None)], "last", part, [held[1]])
 
-    found = stored(rows.select("id", "text").mapInArrow(tidy(run), schema))
+    folder = scratch(spark, "fingerprints")
+    rows.select("id", "text").mapInArrow(tidy(run), schema).write.option("compression", "zstd").parquet(folder)  # signatures are letters of six bits each
+    found = spark.read.schema(schema).parquet(folder)
     own = [id_col, *names]
     # The partitions that have rows, in order, and round to the first again; their number is all that the driver sees.
     full = sorted(r["part"] for r in found.where(F.col("kind") == "first").select("part").collect())
