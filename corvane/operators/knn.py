@@ -89,7 +89,7 @@ class _Nearest:
         else:
             q, r = np.nonzero(fresh)
         if len(q):
-            kind = pa.array([g], self.schema.field("g").type)
+            kind = pa.array([g], rows.column(self.group).type)
             self.found.append(pa.table([pa.array(asking[q]), pa.chunked_array([rows.column("id").combine_chunks().take(pa.array(at[r]))]), pa.chunked_array([kind.take(pa.array(np.zeros(len(q), np.int64)))]), pa.array(score[q, r])], names=["q", "id", "g", "s"]))
             self.pending += len(q)
 

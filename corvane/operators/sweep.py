@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,13 @@ class Kernel(Protocol):
     def result(self) -> Iterator[pa.RecordBatch]: ...
 
 
-def sweep(queries: DataFrame, rows: DataFrame, kernel: Callable[[pa.Table], Kernel], schema: T.StructType, few: int = FEW) -> DataFrame:
-    """The results of `kernel` (made of a task's queries) once it has taken a part of `rows`; each query meets each row in exactly one task."""
+def sweep(queries: DataFrame, rows: DataFrame, kernel: Callable[[pa.Table], Kernel], schema: T.StructType, few: int = FEW, on: str | None = None, parts: int | None = None) -> DataFrame:
+    """The results of `kernel` (made of a task's queries) once it has taken a part of `rows`; each query meets each row in exactly one task.
+
+    With `on`, a column of both, queries meet only rows of their value; `parts` is the number of tasks that share the rows of one value.
+    """
     spark = rows.sparkSession
-    head = queries.limit(few + 1).toArrow() if few else None
+    head = queries.limit(few + 1).toArrow() if few and on is None else None
     if head is not None and head.num_rows <= few:
         sent = spark.sparkContext.broadcast(head)
 
@@ -46,26 +50,29 @@ def sweep(queries: DataFrame, rows: DataFrame, kernel: Callable[[pa.Table], Kern
             yield from own.result()
 
         return rows.mapInArrow(scan, schema)
-    parts, shares = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-queries.count() // SHARE))
+    parts, shares = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-queries.count() // SHARE))
     any_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     one_of = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    asked = queries.select(F.struct(*queries.columns).alias("query"), one_of(shares).alias("share")).select("share", any_of(parts).alias("part"), F.lit(0).alias("kind"), "query")
-    held = rows.select(F.struct(*rows.columns).alias("row"), one_of(parts).alias("part")).select(any_of(shares).alias("share"), "part", F.lit(1).alias("kind"), "row")
-    both = asked.unionByName(held, allowMissingColumns=True).repartition("share", "part").sortWithinPartitions("share", "part", "kind")
+    key = F.lit(0).alias("key") if on is None else F.col(on).alias("key")
+    asked = queries.select(key, F.struct(*queries.columns).alias("query"), one_of(shares).alias("share")).select("key", "share", any_of(parts).alias("part"), F.lit(0).alias("kind"), "query")
+    held = rows.select(key, F.struct(*rows.columns).alias("row"), one_of(parts).alias("part")).select("key", any_of(shares).alias("share"), "part", F.lit(1).alias("kind"), "row")
+    place = ["key", "share", "part"]
+    both = asked.unionByName(held, allowMissingColumns=True).repartition(*place).sortWithinPartitions(*place, "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, questions, own = None, [], None
+        now, questions, own = None, [], None
         for batch in batches:
-            shares, parts, kinds = (batch.column(c).to_numpy() for c in ("share", "part", "kind"))
-            marks = [0, *[i for i in range(1, batch.num_rows) if (shares[i], parts[i], kinds[i]) != (shares[i - 1], parts[i - 1], kinds[i - 1])], batch.num_rows]
-            for a, b in zip(marks[:-1], marks[1:], strict=True):
+            marks = np.stack([batch.column(c).to_numpy() for c in (*place, "kind")], axis=1)
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if a == b:
                     continue
-                if (shares[a], parts[a]) != place:
+                *there, kind = marks[a].tolist()
+                if there != now:
                     if own is not None:
                         yield from own.result()
-                    place, questions, own = (shares[a], parts[a]), [], None
-                if kinds[a] == 0:
+                    now, questions, own = there, [], None
+                if kind == 0:
                     questions.append(_struct(batch.column("query").slice(a, b - a)))
                     continue
                 if own is None and questions:

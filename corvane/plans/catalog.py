@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.operators.cells import Cells
 from corvane.operators.documents import from_postings, from_publications
 from corvane.operators.embedding import HashEmbedder
 from corvane.operators.index import VectorIndex, count_actions, diff, remove, upsert
 from corvane.operators.knn import top_k
-from corvane.operators.ranking import credit, ordered_hits, rank_people
+from corvane.operators.ranking import authority_ids, credit, ordered_hits, rank_people
 from corvane.plans import matching
 from corvane.sources.jsonl import Staged, check_lines
 from corvane.sources.storage import work_folder
@@ -76,6 +77,21 @@ def expert_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_people(_hits(spark, sf_dir), K).select("query_id", F.col("rank").cast("long").alias("rank"), "supervisor", "department", F.round("score", 6).alias("score"), "publication_count", "has_open_position", refs.alias("evidence"))
 
 
+def _authorities(rows: DataFrame) -> DataFrame:
+    """`rows` with ids for their authors: some spellings share one, some names have two, some none."""
+    last = lambda u: F.right(u, F.lit(1))
+    id_ = lambda u: F.when(last(u) == "3", F.lit(None).cast("string")).when(last(u) == "2", F.concat(F.lit("a"), (F.col("id") % 2).cast("string"))).otherwise(F.concat(F.lit("a"), (F.ascii(last(u)) % 4).cast("string")))
+    return rows.withColumn("author_authority_map", F.map_from_arrays("uzh_authors", F.transform("uzh_authors", id_)))
+
+
+def expert_ranking_by_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _authorities(matching.eligible(corpus(spark, sf_dir)))
+    hits = top_k(search_queries(spark, sf_dir), rows, K, equal=matching.FILTERS).join(rows.drop("vector", "source_type"), "id")
+    found = rank_people(hits, K, authority_ids(_authorities(corpus(spark, sf_dir, vectors=False))))
+    refs = F.array_join(F.transform("evidence", lambda e: F.concat_ws("~", e["source_type"], e["source_id"].cast("string"))), "||")
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "supervisor", "department", F.round("score", 6).alias("score"), "publication_count", "has_open_position", refs.alias("evidence"))
+
+
 def render_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = search_queries(spark, sf_dir).select("query_id", F.concat(F.lit("query "), F.col("query_id").cast("string")).alias("raw_query"))
     matches = rank_people(_hits(spark, sf_dir), K).withColumn("matched_topics", F.array(*map(F.lit, TOPICS)))
@@ -203,6 +219,14 @@ def match_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "supervisor", "department", F.round("score", 6).alias("score"), "publication_count", "has_open_position", F.array_join("matched_topics", "|").alias("topics"), refs.alias("evidence"))
 
 
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents nearest to every fiftieth one by the vectors of their words, searched in cells: the hits of the full search, and with how many documents each was scored (all, if nothing could be left out)."""
+    docs = HashEmbedder().embed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "text").select("id", "vector")
+    cells = Cells(spark, work_folder(spark, "cells")).build(docs)
+    hits, _ = cells.search(docs.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "vector"), K)
+    return hits.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rk").cast("long").alias("rk"))
+
+
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of record lines, some blank: for each error of the bad lines how many there are, and how many places (file and line number) they have."""
     i = F.col("doc_id")
@@ -217,7 +241,7 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     knn_topk, knn_topk_filtered, union_hits_ordered, expert_ranking, render_answer, credit_explode, index_diff, index_counts, removed_ids, document_text,
     content_hash, title_first_line, query_topics, degree_detect, query_text, tokenize, hash_embed, validate_jsonl,
-    documents_of_records, index_lifecycle, match_people, quarantine,
+    documents_of_records, index_lifecycle, match_people, expert_ranking_by_authority, knn_cells, quarantine,
 ]
 
 _CORPUS = """
@@ -332,6 +356,18 @@ SELECT CASE WHEN lang IN ('de', 'fr') THEN NULL ELSE source END AS title, count(
 }
 
 _PEOPLE = "CASE WHEN doc_id % 4 = 0 OR doc_id % 5 = 1 THEN [] WHEN source = 'src' || (doc_id % 7) THEN [source] ELSE [source, 'src' || (doc_id % 7)] END"
+_AUTHORITY = "CASE right(u, 1) WHEN '3' THEN NULL WHEN '2' THEN 'a' || (id % 2) ELSE 'a' || (ascii(right(u, 1)) % 4) END"
+
+
+def _units_sql(texts: str) -> str:
+    """Unit vectors (side, id, i, x) of the words of `texts` (side, id, text); texts without words have none."""
+    return f"""used AS (SELECT side, id, unnest({_TOKENS}) AS token FROM {texts}), counted AS (SELECT side, id, token, count(*) AS n FROM used GROUP BY ALL), words AS (SELECT DISTINCT token FROM used),
+digests AS (SELECT token, b, sha256(b || ':' || token) AS hex FROM words, range(8) r(b)),
+bits AS (SELECT token, b * 8 + j AS i, ('0x' || substr(hex, 8 * j + 1, 8))::BIGINT AS u FROM digests, range(8) s(j)),
+own AS (SELECT token, i, (CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) / 2147483648.0::DOUBLE AS x FROM bits),
+sums AS (SELECT side, id, i, sum(n * x) AS x FROM counted JOIN own USING (token) GROUP BY ALL),
+sizes AS (SELECT side, id, sqrt(sum(x * x)) AS size FROM sums GROUP BY ALL),
+units AS (SELECT side, id, i, x / size AS x FROM sums JOIN sizes USING (side, id))"""
 
 
 def _hash_sql(title: str) -> str:
@@ -353,13 +389,7 @@ SELECT id, source_type, content_hash, 64::BIGINT AS dim, (SELECT count(*) FROM d
     "match_people": f"""WITH {_CORPUS}, {_topics_sql().replace(_ASKED, "asked AS (SELECT item_id AS query, text FROM benchmark)")}, questions AS (
   SELECT query AS query_id, array_to_string(topics, '; ') AS qt, topics, {_levels_sql()} AS want_level FROM parsed
 ), texts AS (SELECT 'd' AS side, id, text FROM corpus UNION ALL SELECT 'q', query_id, qt FROM questions),
-used AS (SELECT side, id, unnest({_TOKENS}) AS token FROM texts), counted AS (SELECT side, id, token, count(*) AS n FROM used GROUP BY ALL), words AS (SELECT DISTINCT token FROM used),
-digests AS (SELECT token, b, sha256(b || ':' || token) AS hex FROM words, range(8) r(b)),
-bits AS (SELECT token, b * 8 + j AS i, ('0x' || substr(hex, 8 * j + 1, 8))::BIGINT AS u FROM digests, range(8) s(j)),
-own AS (SELECT token, i, (CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) / 2147483648.0::DOUBLE AS x FROM bits),
-sums AS (SELECT side, id, i, sum(n * x) AS x FROM counted JOIN own USING (token) GROUP BY ALL),
-sizes AS (SELECT side, id, sqrt(sum(x * x)) AS size FROM sums GROUP BY ALL),
-units AS (SELECT side, id, i, x / size AS x FROM sums JOIN sizes USING (side, id)),
+{_units_sql("texts")},
 dots AS (SELECT q.id AS query_id, d.id, sum(q.x * d.x) AS score FROM units q JOIN units d USING (i) WHERE q.side = 'q' AND d.side = 'd' GROUP BY ALL),
 scored AS (
   SELECT query_id, c.*, round(coalesce(score, 0), 9) AS score FROM corpus c JOIN questions ON (source_type = 'publication' OR want_level IS NULL OR degree_level = want_level) AND (source_type = 'thesis_posting' OR len(people) > 0)
@@ -371,6 +401,25 @@ scored AS (
 ){_RANKED.removeprefix(_HITS)}
 SELECT query_id, rank, person AS supervisor, department, round(score, 6) AS score, publication_count, has_open_position, array_to_string(topics, '|') AS topics,
        array_to_string(list_transform(refs, lambda r: concat_ws('~', r.source_type, r.id)), '||') AS evidence FROM ranked JOIN questions USING (query_id)""",
+    "expert_ranking_by_authority": f"""WITH {_HITS}, named AS (
+  SELECT *, CASE WHEN source_type = 'publication' THEN people ELSE [supervisor] END AS p FROM ordered
+), ids AS (
+  SELECT name, min(a) AS authority FROM (SELECT u AS name, {_AUTHORITY} AS a FROM (SELECT id, unnest(people) AS u FROM corpus)) WHERE a IS NOT NULL GROUP BY name HAVING count(DISTINCT a) = 1
+), credits AS (
+  SELECT * EXCLUDE (p), unnest(p) AS u, generate_subscripts(p, 1) - 1 AS pos FROM named
+), keyed AS (
+  SELECT c.*, u AS person, coalesce(CASE WHEN source_type = 'publication' THEN {_AUTHORITY} END, authority, 'name ' || u) AS key FROM credits c LEFT JOIN ids ON name = u
+  QUALIFY row_number() OVER (PARTITION BY query_id, key, id ORDER BY pos) = 1
+), grouped AS (
+  SELECT query_id, key, arg_min(person, ord * 1000 + pos) AS person, max(score) AS score, count(*) FILTER (WHERE source_type = 'publication') AS publication_count, bool_or(source_type <> 'publication') AS has_open_position,
+         arg_min(department, ord) FILTER (WHERE department <> '') AS department, min(ord * 1000 + pos) AS first, string_agg(source_type || '~' || id, '||' ORDER BY ord, pos) AS evidence
+  FROM keyed GROUP BY ALL
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS rank, person AS supervisor, department, round(score, 6) AS score, publication_count, has_open_position, evidence FROM grouped QUALIFY rank <= {K}""",
+    "knn_cells": f"""WITH texts AS (SELECT 'd' AS side, doc_id AS id, text FROM documents), {_units_sql("texts")},
+dots AS (SELECT q.id AS query_id, d.id, sum(q.x * d.x) AS score FROM units q JOIN units d USING (i) WHERE q.id % 50 = 0 GROUP BY ALL),
+scored AS (SELECT a.doc_id AS query_id, b.doc_id AS id, round(coalesce(score, 0), 9) AS score FROM documents a JOIN documents b ON a.doc_id % 50 = 0 LEFT JOIN dots ON dots.query_id = a.doc_id AND dots.id = b.doc_id)
+SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rk FROM scored QUALIFY rk <= {K}""",
     "quarantine": """
 SELECT error, count(*) AS n_lines, count(*) AS n_places FROM (
   SELECT CASE WHEN doc_id % 9 = 4 THEN '' WHEN lang = 'de' THEN 'Extra data' WHEN lang = 'fr' THEN 'not an object' END AS error FROM documents

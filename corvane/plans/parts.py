@@ -53,10 +53,11 @@ class ModelExtractor:
 class IndexRetriever:
     index: VectorIndex
     embedder: Embedder
+    by_authority: bool = False
 
     def retrieve(self, parsed: DataFrame, k: int) -> DataFrame:
         self.index.check_model(self.embedder)
-        return matching.match(parsed, self.index.rows(), self.embedder, k)
+        return matching.match(parsed, self.index.rows(), self.embedder, k, self.by_authority)
 
 
 class CannedRetriever:

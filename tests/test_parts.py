@@ -105,3 +105,24 @@ def test_written_answers_fall_back(spark, server):
     said = json.loads(got[1])["topics"][0]
     assert said.startswith("REQUEST: GOOD\n\nCANDIDATES:\n* ADA BEISPIEL, INFORMATICS: 2 PUBLICATIONS, OPEN POSITION, ON INFORMATION RETRIEVAL, WORKS: SEARCH OVER LONG DOCUMENTS; ")
     assert got[2].startswith('Based on your interest in "bad"') and got[3] == 'No suitable supervisors found for "none".'
+
+
+def test_people_by_authority_id(spark):
+    """Two spellings of one id are one person; one name with two ids is two; a name without an id takes the only one it has elsewhere."""
+    from corvane.operators.embedding import HashEmbedder
+
+    pub = lambda i, people: (i, "publication", f"graphs {i}", None, None, [p for p, _ in people], dict(people))
+    data = [
+        pub("p1", [("A. Lee", "x1"), ("Ann Lee", "x1")]), pub("p2", [("Ann Lee", "x1")]), pub("p3", [("B. Kim", "x2")]), pub("p4", [("B. Kim", "x3"), ("Cy", None)]), pub("p5", [("Cy", "")]), pub("p6", [("Lee, A.", "x1")]),
+        ("t1", "thesis_posting", "graphs t1", None, "Lee, A.", [], {}), ("t2", "thesis_posting", "graphs t2", None, "B. Kim", [], {}),
+    ]
+    rows = spark.createDataFrame(data, "id string, source_type string, text string, department string, supervisor string, uzh_authors array<string>, author_authority_map map<string,string>")
+    rows = HashEmbedder().embed(rows.withColumns({"degree_level": F.lit(None).cast("string"), "url": F.lit(None).cast("string"), "year": F.lit(None).cast("int")}), "text")
+    asked = matching.parse_queries(spark.createDataFrame([(1, "graphs")], "query_id long, raw_query string"))
+    found = {}
+    for r in matching.match(asked, rows, HashEmbedder(), 10, by_authority=True).collect():
+        found.setdefault(r.supervisor, []).append((r.publication_count, r.has_open_position, sorted(e.source_id for e in r.evidence)))
+    assert sorted(found) == ["B. Kim", "Cy", "Lee, A."] and found["Lee, A."] == [(3, True, ["p1", "p2", "p6", "t1"])] and found["Cy"] == [(2, False, ["p4", "p5"])]
+    assert sorted(found["B. Kim"]) == [(0, True, ["t2"]), (1, False, ["p3"]), (1, False, ["p4"])]
+    plain = matching.match(asked, rows, HashEmbedder(), 10).collect()
+    assert {r.supervisor: r.publication_count for r in plain} == {"A. Lee": 1, "Ann Lee": 2, "B. Kim": 2, "Cy": 2, "Lee, A.": 1}
