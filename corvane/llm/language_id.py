@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import unused
+from corvane.llm.shared import others, unused
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> D
     """`docs` with lang_pred and score (the mean probability of that language over the text's windows).
 
     Null text and text without letters: `und`, score 0; an empty table gives an empty one. So is all text if there is no model. Ties go to the label
-    that sorts first. Columns of these names in `docs` are replaced.
+    that sorts first. Columns of these names in `docs`, in any case, are replaced.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> D
                 group, size = [], 0
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    keep, found = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")], unused(docs.columns, "found")
+    keep, found = [F.col(f"`{c}`") for c in others(docs.columns, ("lang_pred", "score"), (text_col,))], unused(docs.columns, "found")
     return docs.select(*keep, classify(F.col(text_col)).alias(found)).select(*keep, f"{found}.lang_pred", f"{found}.score")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import cut, unused
+from corvane.llm.shared import cut, others, unused
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 10
@@ -48,13 +48,14 @@ def widespread_lines(docs: DataFrame, text_col: str = "text", site_col: str = "s
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """`docs` with the columns n_lines, n_removed (long) and kept_text added; columns of these names are replaced.
+    """`docs` with the columns n_lines, n_removed (long) and kept_text added; columns of these names, in any case, are replaced.
 
     Lines are split at newlines and compared without outer spaces. Blank lines stay. A document made of widespread
     lines alone is a copy as a whole, and stays as it is for document-level deduplication. Null text: 0 lines and
     null kept_text; null sites count for nothing; null, equal or repeated ids are harmless, since a line's fate
     depends on its content only; an empty table gives an empty one.
     """
+    rest = others(docs.columns, ("n_lines", "n_removed", "kept_text"), (id_col, text_col, site_col))
     bad = cut(widespread_lines(docs, text_col, site_col, min_sites))  # a table of its own: where it is small, Spark broadcasts it, else it can split a line that many documents hold
     found = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col(text_col)), lambda x: ~_blank(x)), _key))).alias("line"))
     own_id, own_bad = unused(docs.columns, "id"), unused(docs.columns, "bad")
@@ -65,7 +66,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = F.col(own_bad).isNull() | ~F.exists(kept, lambda x: ~_blank(x))
     is_null = F.col(text_col).isNull()
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")],
+        *[F.col(f"`{c}`") for c in rest],
         F.when(is_null, 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(is_null | whole, 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_removed"),
         F.when(whole, F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias("kept_text"),

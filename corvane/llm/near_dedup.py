@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.graph import components
-from corvane.llm.shared import counted, cut, merged, unused
+from corvane.llm.shared import counted, cut, merged, others, unused
 
 #: Short shingles and few minima: a text with every fifth word changed keeps half of its 3-word shingles.
 SHINGLE = 3
@@ -406,6 +406,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with the bucket's first; where that leaves more than one class in a bucket, its texts meet all others of such buckets by
     their rare words, which misses no link.
     """
+    others([], ("class_id",), (id_col,))
     sketched = cut(sketch(docs, id_col, text_col))
     classes = _text_classes(docs, sketched, text_col).select("t", "class_id")
     out = sketched.select("id", "t").join(classes, "t", "left")

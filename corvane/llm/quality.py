@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import words as W
+from corvane.llm.shared import others
 
 MIN_WORDS = 20
 #: Words in windows that count as repeated when found again.
@@ -126,8 +127,10 @@ def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Words are runs of characters other than 0x20 and 0x09 to 0x0D. n_dup_lines counts lines with a word that equal
     an earlier line of the document; n_repeat_words counts words inside 8-word windows found more than once in it.
-    Null text: no words, so base_failed; its cleaned_text is null. Repeated rows are judged alike.
+    Null text: no words, so base_failed; its cleaned_text is null. Repeated rows are judged alike, null ids are ids like others, and other columns
+    are not read. An empty table gives an empty one.
     """
+    others([], (*COUNTS, "base_failed", "kept", "cleaned_text"), (id_col,))
     text_type = [T.StructField("cleaned_text", T.StringType())] if with_text else []
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), *text_type])
 

@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import cut, utf8_size
+from corvane.llm.shared import cut, others, utf8_size
 
 #: Bytes counted for a row besides its text.
 ROW_OVERHEAD = 16
 #: Allowed distance of a boundary from its target, as a part of a shard's even size.
 TOLERANCE = 0.01
+#: Columns of the result besides the id.
+RESULTS = ("size", "text_crc32", "law", "shard", "slot")
 #: Key bits that a round adds.
 BITS = 12
 
@@ -76,13 +78,14 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     """Give each row of `docs` a shard of near equal bytes: id, size, text_crc32, law, shard, slot.
 
     size is the text's UTF-8 bytes plus 16. Null text: size 16, crc of nothing (0). Rows of equal id and text are
-    interchangeable and are never cut apart. Slots number the rows of a shard from 0 without gaps. Null ids sort
-    with a hash of their own. An empty table gives an empty one; more shards than rows leave some shards empty.
+    interchangeable and are never cut apart. Slots number the rows of a shard from 0 without gaps, in the order of the hashes. Null ids sort
+    with a hash of their own. Other columns are not read. An empty table gives an empty one; more shards than rows leave some shards empty.
     """
+    others([], RESULTS, (id_col,))
     text = F.col(text_col)
     rows = cut(
         docs.select(
-            F.col(id_col), (utf8_size(text) + ROW_OVERHEAD).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+            F.col(id_col).alias("id"), (utf8_size(text) + ROW_OVERHEAD).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("k1"), F.xxhash64(F.col(id_col), F.lit(1)).alias("k2"),
         )
     )
@@ -93,10 +96,17 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     if inside:
         cuts, tied = _refine(rows, F.col("k1"), "k2", {i: (v, even * i, at) for i, (v, at) in inside.items()}, tolerance * even)
         splitters += list(cuts.values()) + [(inside[i][0], k) for i, (k, _) in tied.items()]
-    # One exchange: the shard is the number of splitters at or below the row's key.
     shard = F.lit(0)
     for a, b in sorted(splitters):
         shard = shard + ((F.col("k1") > a) | ((F.col("k1") == a) & (F.col("k2") >= b))).cast("int")
-    placed = rows.select(id_col, "size", "text_crc32", "k1", "k2", shard.alias("shard"))
-    slot = F.row_number().over(Window.partitionBy("shard").orderBy("k1", "k2", F.col(id_col))) - 1
-    return placed.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"))
+    # One exchange: shards in the order of their rows, each over as many partitions as it fills; equal rows may be many, so a random number deals them out.
+    order = ["shard", "k1", "k2", "tie"]
+    dealt = rows.select("id", "size", "text_crc32", "k1", "k2", shard.alias("shard"), F.rand(9).alias("tie")).repartitionByRange(*order).sortWithinPartitions(*order)
+    runs = cut(dealt.select("id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("at")))
+    # A run is a shard's rows in one partition; the rows before it are those of the shard's runs in earlier partitions.
+    part = F.shiftright("at", 33).alias("part")
+    counts = runs.groupBy(part, "shard").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", "shard", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"))
+    found = runs.withColumn("part", part).join(offsets, ["part", "shard"])
+    return found.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("offset")).alias("slot"))

@@ -84,6 +84,15 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def others(columns: list[str], results: tuple[str, ...], needed: tuple[str, ...] = ()) -> list[str]:
+    """`columns` without those that a result takes the place of, whatever their case. None of `needed` may be such a one."""
+    taken = {c.lower() for c in results}
+    for c in needed:
+        if c.lower() in taken:
+            raise ValueError(f"the column {c} has the name of a result; rename it")
+    return [c for c in columns if c.lower() not in taken]
+
+
 def utf8_size(c: Column) -> Column:
     """Bytes of a string in UTF-8; 0 for null."""
     return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import cut
+from corvane.llm.shared import cut, others
 
 #: Labelled URLs that training reads at most, those of the lowest URL hash.
 MAX_TRAIN = 20_000
@@ -111,10 +111,10 @@ def judge_urls(urls: DataFrame, rules: dict[str, str], url_col: str = "url", mod
     """`urls` with host, path, rule, p_block and verdict (block or allow).
 
     A rule's verdict holds where one fits; else the model's: block from p_block 0.5 on. Without a model, one is fitted to
-    the URLs that the rules label. Null URLs: empty host and path, no rule, judged by the model as an empty string.
+    the URLs that the rules label. Null URLs: empty host and path, no rule, judged by the model as an empty string. Repeated rows are judged alike; an empty table gives an empty one. Columns of the results' names,
+    in any case, are replaced, all others stay.
     """
-    clash = {"host", "path", "rule", "p_block", "verdict"} & set(urls.columns)
-    urls = urls.drop(*clash)
+    urls = urls.select(*[F.col(f"`{c}`") for c in others(urls.columns, ("host", "path", "rule", "p_block", "verdict"), (url_col,))])
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     parsed = urls.select("*", host.alias("host"), path.alias("path"))
     parsed = parsed.select("*", rule_for(F.col("host"), F.col("path"), rules).alias("rule"))

@@ -425,3 +425,40 @@ def test_hard_negatives_against_plain(spark, monkeypatch):
     assert [tuple(r) for r in at_zero] == [(0, 1, 1, 2, 64 * 256**2 * 10**10, 64 * 256**2 * 9 * 10**9)] and at_zero[0].positive_score > 1 << 53
     with pytest.raises(Exception, match="beyond 64 bits"):
         hard_negatives.hard_negatives(large.withColumn("embedding", F.transform("embedding", lambda x: x * 1e10)), F.lit(True)).collect()
+
+
+def test_names_that_differ_in_case_only(spark):
+    """Columns that results take the place of, whatever their case, leave a table whose columns can be named; an id column of such a name is an error."""
+    docs = spark.createDataFrame([(i, f"the words of text {i} and more of them\nshared", f"s{i}", 1, 2, 3) for i in range(12)], "doc_id long, text string, source string, N_LINES int, Lang_Pred int, HOST int")
+    found = line_dedup.remove_boilerplate(docs)
+    assert {r.n_lines for r in found.select("n_lines").collect()} == {2} and "N_LINES" not in found.columns
+    found = language_id.predict(docs, None)
+    assert {r.lang_pred for r in found.select("lang_pred").collect()} == {"und"} and "Lang_Pred" not in found.columns
+    found = url_filter.judge_urls(docs.withColumnRenamed("text", "url"), {"net/": "block"})
+    assert {r.host for r in found.select("host").collect()} == {""} and "HOST" not in found.columns
+    for run in (lambda: sharding.shard_by_bytes(docs, 2, "Size"), lambda: quality.clean_lines(docs, "n_words"), lambda: near_dedup.near_classes(docs, "CLASS_ID"), lambda: line_dedup.remove_boilerplate(docs, "N_lines")):
+        with pytest.raises(ValueError, match="name of a result"):
+            run()
+    odd_ids = docs.withColumnRenamed("doc_id", "k1").withColumn("tie", F.lit(1)).withColumn("shard", F.lit(5))
+    assert sharding.shard_by_bytes(odd_ids, 2, "k1").select("k1", "slot").count() == 12
+
+
+def test_slots_over_many_runs(spark, monkeypatch):
+    """A shard of many rows lies in several partitions; its slots have no gaps and no repeats, with a third of all rows equal and with null ids."""
+    rows = [(i if i % 50 else None, "same" if i % 3 == 0 else f"text {i} " * (i % 9)) for i in range(3000)] + [(7, "twin")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    written, cut = [], sharding.cut
+    monkeypatch.setattr(sharding, "cut", lambda df: written.append(cut(df)) or written[-1])
+    try:
+        got = sharding.shard_by_bytes(docs, 3).collect()
+        runs = written[-1].select("shard", F.shiftright("at", 33)).distinct().groupBy("shard").count().collect()
+        assert len(runs) == 3 and all(r["count"] > 1 for r in runs)  # no shard goes through one task
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows)
+    for shard in range(3):
+        own = sorted(r.slot for r in got if r.shard == shard)
+        assert own == list(range(len(own))) and own
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(3)]
+    assert max(sizes) - min(sizes) <= 0.03 * sum(sizes) / 3 + 100
