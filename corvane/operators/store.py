@@ -31,6 +31,8 @@ KEEP = 3
 TRIES = 20
 #: Different values of a filter that go to the scan, at most; the exact filter of each query holds anyway.
 MAX_VALUES = 1_000
+#: Ids that are looked up by name, at most; more of them are joined with all rows.
+MAX_IDS = 10_000
 
 
 class ConflictError(RuntimeError):
@@ -198,6 +200,16 @@ class Store:
 
     # --- search
 
+    def lookup(self, ids: DataFrame) -> DataFrame:
+        """The rows with the ids in the column `id`, without their vectors. Of few ids (a checked number) only the files of their buckets are read, and of those only what may hold them."""
+        manifest = self.manifest()
+        columns = [c for c in self.columns(manifest) if c != "vector"]
+        wanted = ids.select("id").distinct()
+        few = wanted.limit(MAX_IDS + 1).select("id", self._bucket(manifest).alias("bucket")).collect()
+        if len(few) > MAX_IDS:
+            return self._read(manifest, columns).join(wanted, "id", "left_semi")
+        return self._read(manifest, columns, {r["bucket"] for r in few}).where(F.col("id").isin([r["id"] for r in few]))
+
     def query(self, vector: list[float], top_k_: int = 5, filters: dict[str, object] | None = None) -> DataFrame:
         """The nearest rows to one vector, of those that equal each of `filters` (any column): the columns of rows but vector and content_hash, score and rk."""
         asked = self.spark.createDataFrame([(1, [float(x) for x in vector])], "query_id long, vector array<double>")
@@ -212,9 +224,15 @@ class Store:
         if rows is None:
             raise RuntimeError("the store is empty")
         rows = pushed(rows, queries, equal or {})
-        hits = top_k(queries, rows.withColumn("_all", F.lit(True)), k, "_all", equal).drop("_all")
-        shown = rows.drop("vector", "content_hash")
-        return hits.join(shown, "id")
+        hits = kept(top_k(queries, rows.withColumn("_all", F.lit(True)), k, "_all", equal).drop("_all"))
+        return hits.join(self.lookup(hits).drop("content_hash"), "id")
+
+
+def kept(hits: DataFrame) -> DataFrame:
+    """`hits` written to the shared folder: a few rows for each query, that more than one step needs."""
+    spark, folder = hits.sparkSession, storage.work_folder(hits.sparkSession, "hits")
+    hits.write.parquet(folder)
+    return spark.read.schema(hits.schema).parquet(folder)
 
 
 def pushed(rows: DataFrame, queries: DataFrame, equal: dict[str, str]) -> DataFrame:

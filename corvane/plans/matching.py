@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from corvane.functions import text as X
 from corvane.operators.embedding import Embedder
 from corvane.operators.knn import top_k
 from corvane.operators.ranking import authority_ids, rank_people
+from corvane.operators.store import kept, pushed
 from corvane.plans import chat
 
 PARSED = "query_id long, raw_query string, topics array<string>, keywords array<string>, degree_level string, department string"
@@ -34,17 +37,22 @@ def eligible(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("source_type") == "thesis_posting") | (F.size("uzh_authors") > 0))
 
 
-def match(parsed: DataFrame, rows: DataFrame, embedder: Embedder, k: int = 5, by_authority: bool = False) -> DataFrame:
+def match(parsed: DataFrame, rows: DataFrame, embedder: Embedder, k: int = 5, by_authority: bool = False, lookup: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The k best people for each parsed query: the columns of rank_people, and matched_topics.
 
     `rows` is an index's content. Publications without an internal author never count, and filters apply before the k best
     hits of each kind are taken. With `by_authority` people are told apart by their ids where these are known, not by name.
+    `lookup` gives the rows of some ids, for an index that need not read all of them; without it hits are joined with `rows`.
     """
     ids = authority_ids(rows) if by_authority else None
     rows = eligible(rows)
+    if lookup:
+        rows = pushed(rows, parsed, FILTERS)
     embedded = embedder.embed(parsed.withColumn("_text", X.query_text(F.col("topics"), F.col("keywords"), F.col("raw_query"))), "_text", "vector")
     hits = top_k(embedded, rows, k, equal=FILTERS)
-    full = hits.join(rows.drop("vector", "source_type"), "id")
+    if lookup:
+        hits = kept(hits)
+    full = hits.join((lookup(hits) if lookup else rows.drop("vector")).drop("source_type"), "id")
     return rank_people(full, k, ids).join(parsed.select("query_id", F.col("topics").alias("matched_topics")), "query_id")
 
 

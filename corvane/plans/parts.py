@@ -57,7 +57,7 @@ class IndexRetriever:
 
     def retrieve(self, parsed: DataFrame, k: int) -> DataFrame:
         self.index.check_model(self.embedder)
-        return matching.match(parsed, self.index.rows(), self.embedder, k, self.by_authority)
+        return matching.match(parsed, self.index.rows(), self.embedder, k, self.by_authority, self.index.lookup)
 
 
 class CannedRetriever:

@@ -139,6 +139,20 @@ def test_query_with_filters_of_any_column(spark, index):
     assert index.search(free, 20, {"department": "want"}).where("query_id = 2").count() == 8
 
 
+def test_lookup_reads_the_buckets_of_its_ids(spark, index, monkeypatch):
+    I.upsert(index, _pubs(spark, range(300)), EMBED)
+    I.upsert(index, _pubs(spark, [7], "New"), EMBED)
+    ids = spark.createDataFrame([("p7",), ("p8",), ("nobody",), ("p8",)], "id string")
+    found = index.lookup(ids)
+    assert {r.id: r.text for r in found.collect()} == {"p7": "New 7", "p8": "Title 8"} and "vector" not in found.columns
+    buckets = {f"bucket={r.b}" for r in ids.select(F.pmod(F.xxhash64("id"), F.lit(8)).alias("b")).collect()}
+    plan = found._jdf.queryExecution().toString()
+    assert all(f.split("/")[-3] in {*buckets} for f in found.inputFiles()) or "In(id" in plan
+    assert "In(id, [" in plan.replace("In(id,[", "In(id, [")
+    monkeypatch.setattr(store, "MAX_IDS", 1)
+    assert {r.id: r.text for r in index.lookup(ids).collect()} == {"p7": "New 7", "p8": "Title 8"}
+
+
 def _write(folder, pubs, posts=()):
     folder.mkdir(exist_ok=True)
     (folder / S.PUBLICATIONS_FILE).write_bytes(b"".join(pubs))
