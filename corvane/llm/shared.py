@@ -38,25 +38,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back, for tables that later rounds are made of.
+def stored(df: DataFrame, below: str | None = None) -> DataFrame:
+    """Write `df` to the shared folder (or to `below`, a folder in it that is removed when its work is done) and read it back, for tables that later rounds are made of.
 
     A checkpoint hands on the size that Spark expected of its plan, which for a join is the product of both sides. Over rounds of joins
     that number's digits double each time, until it alone fills the driver; a file has its own size.
     """
     spark = df.sparkSession
-    folder = scratch(spark, "table")
+    folder = f"{below}/{uuid.uuid4().hex}" if below else scratch(spark, "table")
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def counted(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+def counted(df: DataFrame, which: Column | None = None, below: str | None = None) -> tuple[DataFrame, int]:
     """`df` stored, and how many of its rows there are (or make `which` true), counted as they are written instead of by further jobs.
 
     A task that runs again may count its rows twice, so the number tells reliably only whether it is zero.
     """
     seen = Observation()
-    written = stored(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")))
+    written = stored(df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")), below)
     return written, seen.get.get("n", 0)
 
 
