@@ -2,7 +2,8 @@
 
 Of each text's 3-word shingles, labelled by occurrence, N_BANDS hash functions sample the MINIMA lowest each and keep
 them in the order of the text: texts agree in such a band with a probability that follows edit similarity, not only set
-overlap. Texts that agree in a band are candidates, verified by banded alignment of their words; verified links
+overlap. A short text has too few shingles for that, so it also gets keys by pigeonhole: of t + 1 segments of the shorter text one is left
+whole by t edits, and stands in the other text near its own place. Texts that agree in a band or key are candidates, verified by banded alignment of their words; verified links
 are closed to classes.
 """
 
@@ -26,6 +27,8 @@ THRESHOLD = 0.8
 N_BANDS = 24
 #: Shingles sampled for a band.
 MINIMA = 2
+#: Words of a text up to which all texts of at least that similarity are found, whatever the bands say.
+SHORT = 32
 #: Texts of a bucket up to which each is compared with each; those of larger ones with the first, then by their rare words.
 SMALL = 8
 #: Texts that share a word up to which that alone makes them candidates.
@@ -70,6 +73,37 @@ def order_minhash(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
+def _edits(n: int) -> int:
+    """Edits by which a text may differ from one of `n` words, if neither is longer."""
+    return int((1 - THRESHOLD) * n + 1e-9)
+
+
+def _segments(n: int, parts: int) -> list[tuple[int, int]]:
+    """(begin, length) of `parts` segments of n words, as even as can be."""
+    edges = [n * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def short_keys(words: np.ndarray) -> np.ndarray:
+    """Keys of a text of hashed words: two different texts that are THRESHOLD similar, the shorter of at most SHORT words, have one in common.
+
+    For t edits the shorter text is cut into t + 1 segments, and one of them is in the longer text as it is. The i-th such segment (from 0) can have moved by i
+    words at most, counting from either text's begin, and by t - i counting from the ends.
+    """
+    n, keys = len(words), []
+    key = lambda length, t, i, at, size: xxhash.xxh3_64_intdigest(words[at : at + size].tobytes() + bytes((length, t, i)))
+    if n <= SHORT:  # as the shorter text
+        for t in {_edits(m) for m in range(n, int(n / THRESHOLD + 1e-9) + 1)} - {0}:
+            keys += [key(n, t, i, at, size) for i, (at, size) in enumerate(_segments(n, t + 1))]
+    t = _edits(n)
+    for length in range(n - t, min(n, SHORT) + 1) if t else ():  # as the longer one
+        for i, (at, size) in enumerate(_segments(length, t + 1)):
+            more = n - length
+            low, high = max(0, at - i, at + more - (t - i)), min(n - size, at + i, at + more + (t - i))
+            keys += [key(length, t, i, q, size) for q in range(low, high + 1)]
+    return np.unique(np.array(keys, np.uint64)).view(np.int64)
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two multisets."""
     values, counts = np.unique(np.concatenate([a, b]), return_counts=True)
@@ -152,9 +186,9 @@ def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, n, bands) of each document: t is the text's MD5, n its words; both null for null text."""
+    """(id, t, n, bands, keys) of each document: t is the text's MD5, n its words; both null for null text."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("t", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("t", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -162,7 +196,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 w, first = W.word_hashes(data, offsets)
                 bands = order_minhash(*W.shingles(w, first, SHINGLE))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, N_BANDS), pa.int32()), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(np.diff(first).astype(np.int32)), lists], names=schema.names)
+                n = np.diff(first)
+                keys = [short_keys(w[a:b]) if 0 < b - a <= SHORT / THRESHOLD else np.zeros(0, np.int64) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(n.astype(np.int32)), lists, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))], names=schema.names)
 
     text = F.col(text_col)
     return docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("t"), text.alias("text")).mapInArrow(run, schema)
@@ -346,8 +383,9 @@ def _rare_pairs(hot: DataFrame, sequences: DataFrame) -> DataFrame:
 
 def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFrame:
     """(t, root, low, class_id) of each text: root names its class, low is its lowest id, class_id that of its class."""
-    texts = sketched.where("t is not null").groupBy("t").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    bucketed = texts.where("n > 0").select("t", F.col("n").cast("long").alias("n"), F.posexplode("bands").alias("j", "band")).select("t", "n", F.xxhash64("j", "band").alias("v"))
+    texts = sketched.where("t is not null").groupBy("t").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("keys").alias("keys"))
+    values = F.concat(F.transform("bands", lambda band, j: F.xxhash64(j, band)), "keys")
+    bucketed = texts.where("n > 0").select("t", F.col("n").cast("long").alias("n"), F.explode(values).alias("v"))
     counts = bucketed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
     members = cut(bucketed.join(counts, "v").select("v", "t", "n", "m"))
     small, large = members.where(F.col("m") <= SMALL).drop("m"), members.where(F.col("m") > SMALL).drop("m")
@@ -397,8 +435,8 @@ def _named(texts: DataFrame, closures: list[DataFrame]) -> DataFrame:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: the id column and class_id, the lowest id of its class.
 
-    Two different texts are linked if they agree in a band and are at least THRESHOLD similar: 1 - edit distance / longer
-    length, in words. Classes are the connected components of links and equal texts, so pairs that are
+    Two different texts are linked if they agree in a band or a key of short texts and are at least THRESHOLD similar: 1 - edit distance / longer
+    length, in words; in hot buckets also if they agree in enough rare words. So no link is missed where the shorter text has up to SHORT words, or all of the bucket is hot. Classes are the connected components of links and equal texts, so pairs that are
     of one class already need no alignment. Texts without words have no links, but equal ones are one class; each
     row of null text is one for itself. Null ids count for nothing unless a class has no other; then its class_id is null. Repeated
     ids are rows of their own, and go by their texts. Other columns are not read; an empty table gives an empty one.
