@@ -18,6 +18,10 @@ from corvane.llm.shared import cut, others
 MAX_TRAIN = 20_000
 #: Most rules that `judge_urls` compiles into one expression.
 MAX_RULES = 1_000
+#: Parts of the labelled URLs; a URL's label rates are those of the other parts, so that its own label is not among its features.
+FOLDS = 5
+#: Labels of the average kind that each rate has besides its own.
+SMOOTHING = 20
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "n_params", "host_labels", "hyphens", "suffix_rate", "suffix_rows", "section_rate"]
 
 
@@ -88,11 +92,20 @@ class UrlModel:
         if not n or ones in (0, n):
             return cls(ones / n if n else 0.0, None, None, None)
         prior = ones / n
-        rate = lambda k: rows.groupBy(k).agg(((F.sum("label") + 20 * prior) / (F.count("*") + 20)).alias(f"{k}_rate"), F.log1p(F.count("*").cast("double")).alias(f"{k}_rows"))
-        suffixes, sections = rate("suffix"), rate("section").drop("section_rows")
-        model = cls(prior, suffixes, sections, None)
+        rows = rows.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(FOLDS)))
+        rated = lambda k, ones, n: (((ones + SMOOTHING * prior) / (n + SMOOTHING)).alias(f"{k}_rate"), F.log1p(n.cast("double")).alias(f"{k}_rows"))
+        rate = lambda k: rows.groupBy(k).agg(*rated(k, F.sum("label"), F.count("*")))
+
+        def of_others(found: DataFrame, k: str) -> DataFrame:
+            """`found` with the rates of column `k` over the folds that a row is not in."""
+            own = rows.groupBy(k, "fold").agg(F.sum("label").alias("ones"), F.count("*").alias("n"))
+            every = rows.groupBy(k).agg(F.sum("label").alias("all_ones"), F.count("*").alias("all_n"))
+            return found.join(own, [k, "fold"]).join(every, k).select(*found.columns, *rated(k, F.col("all_ones") - F.col("ones"), F.col("all_n") - F.col("n")))
+
+        model = cls(prior, rate("suffix"), rate("section").drop("section_rows"), None)
+        training = of_others(of_others(rows, "suffix"), "section").drop("section_rows", "fold")
         gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=4, maxBins=32, stepSize=0.2, seed=seed)
-        model.trees = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt]).fit(model._known(rows))
+        model.trees = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), gbt]).fit(training)
         return model
 
     def _known(self, rows: DataFrame) -> DataFrame:

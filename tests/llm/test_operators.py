@@ -462,3 +462,82 @@ def test_slots_over_many_runs(spark, monkeypatch):
         assert own == list(range(len(own))) and own
     sizes = [sum(r.size for r in got if r.shard == k) for k in range(3)]
     assert max(sizes) - min(sizes) <= 0.03 * sum(sizes) / 3 + 100
+
+
+def test_short_texts_all_meet(spark):
+    """Of pairs of short texts at 0.8 similarity and above, whatever the edits, every one has a key in common; and near_classes links exactly those of brute force."""
+    rng = np.random.default_rng(21)
+
+    def edited(words, n):
+        words = list(words)
+        for _ in range(n):
+            at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+            if kind == 0 and len(words) > 1:
+                del words[at]
+            elif kind == 1:
+                words.insert(at, int(rng.integers(1, 1 << 60)))
+            else:
+                words[at] = int(rng.integers(1, 1 << 60))
+        return words
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    seen = 0
+    for _ in range(4000):
+        a = rng.integers(1, 1 << 60, rng.integers(1, 36)).tolist()
+        b = edited(a, int(rng.integers(1, 8)))
+        longer = max(len(a), len(b))
+        if a != b and min(len(a), len(b)) <= near_dedup.SHORT and distance(a, b) <= near_dedup._edits(longer):
+            one, other = (near_dedup.short_keys(np.array(x, np.uint64)) for x in (a, b))
+            assert np.intersect1d(one, other).size, (len(a), len(b))
+            seen += 1
+    assert seen > 1000
+    texts = []
+    for _ in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 10**9, rng.integers(4, 14))]
+        texts += [" ".join(map(str, base)), " ".join(map(str, edited(base, 1))), " ".join(map(str, edited(base, 2)))]
+    texts = sorted(set(texts))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    words = [t.split() for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if abs(len(words[i]) - len(words[j])) <= 3 and distance(words[i], words[j]) <= near_dedup._edits(max(len(words[i]), len(words[j]))):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) < len(texts)
+
+
+def test_trees_learn_from_labelled_urls(spark):
+    """Labels that no rule gives: held-out URLs are judged as they are labelled, and URLs without a rule get both verdicts; a host's rate alone, made of chance, misleads no one."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(1600):
+        bad = bool(rng.random() < 0.4)
+        host = f"{rng.choice(['shop', 'news', 'my'])}{int(rng.integers(0, 400))}.example.{rng.choice(['com', 'org', 'io'])}"
+        path = "/".join(str(rng.choice(["a", "text", "page"])) for _ in range(int(rng.integers(1, 4))))
+        url = f"http://{host}/{path}/{int(rng.integers(10**11, 10**12))}?" + "&".join(f"u{k}={int(rng.integers(0, 10**6))}" for k in range(int(rng.integers(3, 7)))) if bad else f"http://{host}/{path}"
+        rows.append((i, url, int(bad)))
+    urls = spark.createDataFrame(rows, "page_id long, url string, label int")
+    model = url_filter.UrlModel.fit(urls.where("page_id < 800"))
+    found = url_filter.judge_urls(urls.where("page_id >= 800"), {"io/": "block"}, model=model).collect()
+    free = [r for r in found if r.rule is None]
+    right = sum((r.verdict == "block") == bool(r.label) for r in free)
+    assert right >= 0.95 * len(free) and {r.verdict for r in free} == {"allow", "block"} and all(r.verdict == "block" for r in found if r.rule)
+    chance = urls.withColumn("label", F.pmod(F.xxhash64("url"), F.lit(2)).cast("int"))  # nothing to learn
+    blind = url_filter.UrlModel.fit(chance.where("page_id < 800")).predict(chance.where("page_id >= 800"))
+    hit = blind.agg(F.avg(((F.col("p_block") >= 0.5).cast("int") == F.col("label")).cast("double"))).first()[0]
+    assert 0.4 < hit < 0.6
