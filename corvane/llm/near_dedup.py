@@ -9,6 +9,8 @@ are closed to classes.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,8 +29,12 @@ THRESHOLD = 0.8
 N_BANDS = 24
 #: Shingles sampled for a band.
 MINIMA = 2
+#: Edits that an alignment first allows for.
+BAND = 32
 #: Words of a text up to which all texts of at least that similarity are found, whatever the bands say.
-SHORT = 32
+SHORT = 24
+#: Edits up to which short texts meet by what is left without the edited words; beyond by whole segments.
+FEW_EDITS = 2
 #: Texts of a bucket up to which each is compared with each; those of larger ones with the first, then by their rare words.
 SMALL = 8
 #: Texts that share a word up to which that alone makes them candidates.
@@ -87,20 +93,25 @@ def _segments(n: int, parts: int) -> list[tuple[int, int]]:
 def short_keys(words: np.ndarray) -> np.ndarray:
     """Keys of a text of hashed words: two different texts that are THRESHOLD similar, the shorter of at most SHORT words, have one in common.
 
-    For t edits the shorter text is cut into t + 1 segments, and one of them is in the longer text as it is. The i-th such segment (from 0) can have moved by i
+    Up to FEW_EDITS edits, the keys are what is left of a text without up to so many of its words: without those that an edit has touched two such texts are the same. For t edits beyond, the shorter text is
+    cut into t + 1 segments, and one of them is in the longer text as it is. The i-th such segment (from 0) can have moved by i
     words at most, counting from either text's begin, and by t - i counting from the ends.
     """
     n, keys = len(words), []
-    key = lambda length, t, i, at, size: xxhash.xxh3_64_intdigest(words[at : at + size].tobytes() + bytes((length, t, i)))
-    if n <= SHORT:  # as the shorter text
-        for t in {_edits(m) for m in range(n, int(n / THRESHOLD + 1e-9) + 1)} - {0}:
-            keys += [key(n, t, i, at, size) for i, (at, size) in enumerate(_segments(n, t + 1))]
-    t = _edits(n)
-    for length in range(n - t, min(n, SHORT) + 1) if t else ():  # as the longer one
-        for i, (at, size) in enumerate(_segments(length, t + 1)):
+    key = lambda part, *what: xxhash.xxh3_64_intdigest(part.tobytes() + bytes(what))
+    allowed = {_edits(m) for m in range(n, int(n / THRESHOLD + 1e-9) + 1)} if n <= SHORT else set()  # as the shorter text
+    own = _edits(n)  # as the longer one
+    few = max([t for t in {*allowed, own} if t <= FEW_EDITS], default=0)
+    for t in range(few + 1) if few else ():
+        keys += [key(np.delete(words, gone)) for gone in combinations(range(n), t)]
+    for t in allowed:
+        if t > FEW_EDITS:
+            keys += [key(words[at : at + size], n, t, i) for i, (at, size) in enumerate(_segments(n, t + 1))]
+    for length in range(n - own, min(n, SHORT) + 1) if own > FEW_EDITS else ():
+        for i, (at, size) in enumerate(_segments(length, own + 1)):
             more = n - length
-            low, high = max(0, at - i, at + more - (t - i)), min(n - size, at + i, at + more + (t - i))
-            keys += [key(length, t, i, q, size) for q in range(low, high + 1)]
+            low, high = max(0, at - i, at + more - (own - i)), min(n - size, at + i, at + more + (own - i))
+            keys += [key(words[q : q + size], length, own, i) for q in range(low, high + 1)]
     return np.unique(np.array(keys, np.uint64)).view(np.int64)
 
 
@@ -117,45 +128,50 @@ def _pairs_of(x: np.ndarray) -> np.ndarray:
     return x[:-1].astype(np.uint64) << np.uint64(32) | x[1:].astype(np.uint64)
 
 
-def _banded(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
-    """Edit distances of pairs of sequences, exact where they are at most `band`, else some larger number."""
-    n, la, lb = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    width, big = 2 * band + 1, 1 << 29
-    sa = np.zeros((n, la.max() + 1), np.uint32)
-    sb = np.zeros((n, max(lb.max(), la.max()) + width + 1), np.uint32)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        sa[i, : len(x)] = x
-        sb[i, band : band + len(y)] = y  # column c of row r stands at r + c, which is place c - band + r in b
-    offset = np.arange(width) - band
-    index = np.arange(width, dtype=np.int32)
-    row = np.where(offset >= 0, offset, big).astype(np.int32)[None, :].repeat(n, axis=0)
-    row[offset[None, :] > lb[:, None]] = big
-    out = np.full(n, big, np.int64)
-    for r in range(la.max() + 1):
-        if r:
-            new = row + (sa[:, r - 1 : r] != sb[:, r - 1 : r - 1 + width])
-            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
-            place = r + offset
-            if place[0] <= 0:  # left of b's start; at its start, all of a so far is deleted
-                new[:, place < 0] = big
-                new[:, place == 0] = r
-            new[place[None, :] > lb[:, None]] = big
-            new -= index
-            np.minimum.accumulate(new, axis=1, out=new)
-            new += index
-            new[place[None, :] > lb[:, None]] = big
-            row = np.minimum(new, big).astype(np.int32)
-        ended = np.flatnonzero((la == r) & (np.abs(lb - la) <= band))
-        out[ended] = row[ended, (lb - la)[ended] + band]
-    return out
+def _banded(longer: np.ndarray, shorter: np.ndarray, band: int) -> int:
+    """The edit distance of two sequences if it is at most `band`, else some larger number. `longer` has more than `band` words, and at most `band` more than `shorter`.
+
+    A column's steps from one row to the next are bits of whole numbers, and only the 2 * band + 1 rows around the diagonal are kept (bit-parallel
+    alignment within a band). The distance is followed along the lowest diagonal until it meets the last row, and then along that row.
+    """
+    where: dict[int, int] = {}
+    for i, w in enumerate(longer.tolist()):
+        where[w] = where.get(w, 0) | 1 << i
+    width = 2 * band + 1
+    full, low = (1 << width) - 1, 1 << (width - 1)
+    up, down = (1 << (band + 1)) - 1 << band, 0  # rows that are one more, or one less, than the row above
+    distance, most, row = band, 2 * band + len(shorter) - len(longer), low >> 1
+    last, columns, found = len(longer) - band, shorter.tolist(), where.get
+    for j, w in enumerate(columns):
+        same = found(w, 0)
+        if same:
+            same = (same >> (j - band) if j >= band else same << (band - j)) & full
+        free = (((same & up) + up) ^ up | same | down) & full  # a step down the diagonal costs nothing
+        more, less = down | full ^ (free | up), free & up
+        if j < last:
+            if not free & low:
+                distance += 1
+                if distance > most:
+                    return band + 1
+        else:
+            distance += bool(more & row) - bool(less & row)
+            row >>= 1
+            if distance > most:
+                return band + 1
+        free >>= 1
+        up, down = less | full ^ (free | more), free & more
+    return distance
 
 
-def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int], cells: int = 1 << 16) -> list[bool]:
+def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> list[bool]:
     """Whether the edit distance of each pair of word sequences is at most its limit: bounds by common words and bigrams first, then bands of growing width."""
-    result, open_ = [False] * len(pairs), []
+    result = [False] * len(pairs)
     for i, (x, y) in enumerate(pairs):
         n = max(len(x), len(y))
-        if abs(len(x) - len(y)) > limits[i] or _common(x, y) < n - limits[i] or min(len(x), len(y)) > 1 and _common(_pairs_of(x), _pairs_of(y)) < n - 1 - 2 * limits[i]:
+        if abs(len(x) - len(y)) > limits[i]:
+            continue
+        changed = n - _common(x, y)  # words that an edit must have changed
+        if changed > limits[i] or min(len(x), len(y)) > 1 and _common(_pairs_of(x), _pairs_of(y)) < n - 1 - 2 * limits[i]:
             continue  # an edit changes at most one word of the longer and two bigrams
         m = min(len(x), len(y))
         differ = np.flatnonzero(x[:m] != y[:m])
@@ -168,20 +184,15 @@ def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]
         if not len(x) or not len(y) or max(len(x), len(y)) <= limits[i]:
             result[i] = max(len(x), len(y)) <= limits[i]
         else:
-            open_.append((len(x), i, x, y))
-    band = 8
-    while open_:
-        open_.sort(key=lambda p: p[:2])
-        left, at = [], 0
-        while at < len(open_):
-            group = open_[at : at + max(1, cells // (2 * band + 1))]
-            at += len(group)
-            for (k, i, x, y), d in zip(group, _banded([p[2] for p in group], [p[3] for p in group], band), strict=True):
-                if d <= band or band >= limits[i]:
-                    result[i] = bool(d <= limits[i])
-                else:
-                    left.append((k, i, x, y))
-        open_, band = left, band * 4
+            x, y = (x, y) if len(x) >= len(y) else (y, x)
+            band, least = min(max(BAND, changed + changed // 4), limits[i]), len(x) - len(y)
+            while least <= limits[i]:
+                if least <= band and _banded(x, y, band) <= band:
+                    result[i] = True
+                    break
+                if band == limits[i]:
+                    break
+                band = min(4 * band, limits[i])
     return result
 
 

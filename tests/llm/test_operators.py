@@ -491,7 +491,7 @@ def test_short_texts_all_meet(spark):
 
     seen = 0
     for _ in range(4000):
-        a = rng.integers(1, 1 << 60, rng.integers(1, 36)).tolist()
+        a = rng.integers(1, 1 << 60, rng.integers(1, 30)).tolist()
         b = edited(a, int(rng.integers(1, 8)))
         longer = max(len(a), len(b))
         if a != b and min(len(a), len(b)) <= near_dedup.SHORT and distance(a, b) <= near_dedup._edits(longer):
@@ -541,3 +541,20 @@ def test_trees_learn_from_labelled_urls(spark):
     blind = url_filter.UrlModel.fit(chance.where("page_id < 800")).predict(chance.where("page_id >= 800"))
     hit = blind.agg(F.avg(((F.col("p_block") >= 0.5).cast("int") == F.col("label")).cast("double"))).first()[0]
     assert 0.4 < hit < 0.6
+
+
+def test_special_tokens_in_texts(spark):
+    """A special token that stands in a text is what the library makes of it: its id, or other ids if it is to be encoded as text; a text of 3 MB and its neighbours too."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    added = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+    assert added
+    texts = ["end " + " ".join(added) + " next", *added, f"x{added[0]}y", "plain words\nand lines", f"two  spaces {added[-1]}\n", "word " * 600_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("start", F.lit(1))
+    for literal in (False, True):
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = literal
+        manifest = token_files.write_tokens(docs, path, scratch(spark, "test"), encode_special_tokens=literal)
+        got = {r.doc_id: r.ids_crc32 for r in token_files.read_digests(manifest, docs.schema["doc_id"].dataType).collect()}
+        assert got == {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in enumerate(texts)}
