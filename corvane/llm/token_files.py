@@ -39,15 +39,17 @@ class WordEncoder:
 
     The byte-level pre-tokenizer always parts a text before a space and around a newline that stand between two
     non-space characters. So a text whose white space is single spaces and newlines has the ids of its words, each taken
-    with the space before it. Any other text goes to the library as a whole.
+    with the space before it. Any other text, and any that holds one of the tokenizer's added tokens, goes to the library as a whole. A special token that
+    stands in a text becomes its id, as the library has it; with `encode_special_tokens` it is encoded as any other text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism here
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = encode_special_tokens
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.newline = self._ids(["\n"])[0]
@@ -69,7 +71,7 @@ class WordEncoder:
         first: set[str] = set()
         rest: set[str] = set()
         for text in texts:
-            if not self.cuts or " ".join(text.split()) != text.replace("\n", " "):
+            if not self.cuts or any(a in text for a in self.added) or " ".join(text.split()) != text.replace("\n", " "):
                 cut.append(None)
                 continue
             words = text.replace("\n", " \n ").split(" ")
@@ -95,13 +97,14 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, encode_special_tokens: bool) -> WordEncoder:
+    key = path, encode_special_tokens
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -149,11 +152,11 @@ class _Writer:
         self.out.close()
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, length: int = LENGTH) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, length: int = LENGTH, encode_special_tokens: bool = False) -> DataFrame:
     """Encode all texts, each with `end_id` appended, into `folder` in ascending id order. Returns the manifest.
 
     `folder` is a URI that driver and executors reach (what pyarrow.fs opens: file, hdfs, s3, gs). Null text: the end
-    id alone. Null ids come first; rows of equal id are ordered by text. An empty table gives an empty manifest.
+    id alone. A special token written in a text becomes its id, unless `encode_special_tokens`; other columns are not read. Null ids come first; rows of equal id are ordered by text. An empty table gives an empty manifest.
     The manifest: part, tokens, index (file URIs), n_docs, n_tokens, start (ids in all parts before).
     """
     spark, folder = docs.sparkSession, folder.rstrip("/")
@@ -167,7 +170,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
         store.create_dir(base, recursive=True)
         task = TaskContext.get()
         name = f"{run}-{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder, index, writer, n_docs = _encoder(tokenizer_path), None, None, 0
+        encoder, index, writer, n_docs = _encoder(tokenizer_path, encode_special_tokens), None, None, 0
         kind_of_ids = np.uint16 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         for batch in batches:
             if not batch.num_rows:
