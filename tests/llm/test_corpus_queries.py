@@ -30,7 +30,6 @@ def test_op1_token_files(run, documents):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got, start = run("op1_token_files"), 0
     assert len(got) == len(documents)
     for d in sorted(documents):
@@ -120,6 +119,48 @@ def test_op7_quality_rules(run, documents):
     assert sum(got[d].kept for d in fine) > 0.9 * len(fine)
 
 
+def test_op7_lines_against_plain(run, documents):
+    """n_failed_lines, lost_chars and kept by the rules written out for one line at a time."""
+    from corvane.llm import quality as Q
+
+    got = run("op7_quality_rules")
+    for d, r in documents.items():
+        lost = failed = 0
+        for line in (r["text"] or "").split("\n"):
+            w = re.findall(r"[^\x20\x09-\x0D]+", line)
+            count = lambda marks, line=line: sum(line.count(m) for m in marks)
+            bare = len(w) >= Q.LONG_LINE and not count(".!?:;,")
+            crowded = len(w) >= 3 and max(count("!?"), count("#*$%&|<>")) > Q.CROWDED * len(w)
+            navigation = count("|>") >= Q.MIN_SEPARATORS and count("|>") > Q.NAVIGATION * len(w)
+            low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
+            if w and (bare or crowded or navigation or any(p in low for p in Q.PHRASES)):
+                failed += 1
+                lost += sum(map(len, w))
+        assert (got[d].n_failed_lines, got[d].lost_chars) == (failed, lost), d
+        assert got[d].kept == (not got[d].base_failed and lost <= Q.MAX_LOST * got[d].word_chars)
+    assert sum(r.n_failed_lines > 0 for r in got.values()) > 5
+
+
+def test_op12_fingerprints(run, documents):
+    from corvane.llm import fingerprint as X
+
+    got = run("op12_fingerprints")
+    assert set(got) == set(documents)
+    order = sorted(documents)
+    marks = dict(zip(order, X.fingerprint_all([(documents[d]["text"] or "").encode() for d in order]), strict=True))
+    for d, following in zip(order, order[1:] + order[:1], strict=True):
+        text, other = documents[d]["text"] or "", documents[following]["text"] or ""
+        half = len(text) // 2
+        changed = (text[: len(text) - half] + other[:half]).encode()
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(changed).hexdigest(), marks[d], X.fingerprint_all([changed])[0])
+        assert r.near_edited == X.likeness(marks[d], r.edited_fingerprint) and r.near_next == X.likeness(marks[d], marks[following])
+        assert 0 <= r.near_next <= 1 and (r.near_next == 1 or text != other)
+    apart = [d for d, f in zip(order, order[1:], strict=False) if not set((documents[d]["text"] or "").split()) & set((documents[f]["text"] or "").split())]
+    assert all(got[d].near_next < 0.3 for d in apart)
+    assert np.mean([got[d].near_edited for d in order]) > 0.45 > 0.1 > np.median([got[d].near_next for d in order])
+
+
 def test_op8_language_id(run, documents):
     got = run("op8_language_id")
     assert len(got) == len(documents)
