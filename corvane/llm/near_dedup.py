@@ -29,6 +29,8 @@ THRESHOLD = 0.8
 N_BANDS = 24
 #: Shingles sampled for a band.
 MINIMA = 2
+#: Bits of a text's parities, see `_parities`.
+PARITIES = 1_024
 #: Edits that an alignment first allows for.
 BAND = 32
 #: Words of a text up to which all texts of at least that similarity are found, whatever the bands say.
@@ -273,6 +275,32 @@ def _labelled(words: bytes) -> np.ndarray:
     return W.mix(w + (occurrence << np.uint64(32)))
 
 
+def _parities(sequences: DataFrame) -> DataFrame:
+    """(t, n, bits) of each of `sequences`: its words, and for each of PARITIES cells whether an odd number of its labelled words falls into it.
+
+    An edit changes two labelled words at most, and each of them one bit. So texts that differ in more than twice as many bits as edits are allowed are not similar, whatever the words.
+    """
+
+    def run(batches):
+        for batch in batches:
+            own = [_labelled(words) for words in batch.column("words").to_pylist()]
+            odd = np.array([np.bincount((h % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1 for h in own], np.uint8)
+            bits = np.packbits(odd, axis=1).view(np.int64) if len(own) else np.zeros((0, PARITIES // 64), np.int64)
+            ends = np.arange(0, bits.size + 1, PARITIES // 64)
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array([len(h) for h in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bits.ravel()))], names=["t", "n", "bits"])
+
+    return sequences.mapInArrow(run, "t binary, n long, bits array<long>")
+
+
+def _plausible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b and any other columns) whose parities leave it open that they are similar. They are some bytes a text, so most pairs go before words are sent."""
+    one, other = (parities.select(F.col("t").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in ("a", "b"))
+    met = merged(merged(pairs, one, "a"), other, "b")
+    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda have, x: have + x)
+    edits = F.floor(F.greatest("a_n", "b_n") * F.lit(1 - THRESHOLD) + F.lit(1e-9))
+    return met.where(apart <= 2 * edits).select(pairs.columns)
+
+
 def _parts_of(batches):
     """(number, rows) of parts of a partition's batches; the number is the same whenever they are read."""
     number = TaskContext.get().partitionId() << 32
@@ -404,7 +432,8 @@ def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFr
     led = large.join(leads, "v").where((F.col("t") != F.col("lead.t")) & _close_lengths("n", "lead.n"))
     led = led.select(F.least("t", "lead.t").alias("a"), F.greatest("t", "lead.t").alias("b")).distinct()
     sequences = cut(_sequences(docs, text_col, members.select("t").distinct()))
-    links = cut(_verified(led, sequences))
+    parities = cut(_parities(sequences))
+    links = cut(_verified(_plausible(led, parities), sequences))
     roots = components(links)
     of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
     with_roots = lambda pairs: merged(merged(pairs, of_a, "a", "left"), of_b, "b", "left")
@@ -415,6 +444,7 @@ def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFr
     hot, n_hot = counted(rooted.join(mixed, "v", "left_semi").select("t", "n", "root").distinct())
     if n_hot:
         apart = apart.unionByName(_rare_pairs(hot, sequences)).distinct()
+    apart = _plausible(apart, parities)
     # First one pair for each two classes, then those of the other pairs that lie in two classes even so.
     apart = with_roots(apart).select("a", "b", F.coalesce("a_root", "a").alias("p"), F.coalesce("b_root", "b").alias("q"))
     apart, n_apart = counted(apart.select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")))

@@ -558,3 +558,22 @@ def test_special_tokens_in_texts(spark):
         manifest = token_files.write_tokens(docs, path, scratch(spark, "test"), encode_special_tokens=literal)
         got = {r.doc_id: r.ids_crc32 for r in token_files.read_digests(manifest, docs.schema["doc_id"].dataType).collect()}
         assert got == {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, x in enumerate(texts)}
+
+
+def test_parities_lose_no_similar_pair(spark):
+    """Pairs of texts, with repeated words, from equal to unlike: what the parities rule out is never similar, and of unlike pairs they leave few."""
+    rng = np.random.default_rng(5)
+    rows, pairs = [], []
+    for i in range(300):
+        a = rng.integers(0, 400, rng.integers(20, 400)).astype(np.uint32)
+        b = a.copy()
+        at = rng.choice(len(a), int(rng.choice([0.02, 0.1, 0.2, 0.25, 0.5, 1.0]) * len(a)), replace=False)
+        b[at] = rng.integers(0, 400, len(at))
+        b = np.delete(b, rng.integers(0, len(b), rng.integers(0, 5)))
+        rows += [(f"a{i:03}".encode(), a.tobytes()), (f"b{i:03}".encode(), b.tobytes())]
+        pairs.append((f"a{i:03}".encode(), f"b{i:03}".encode(), a, b))
+    sequences = spark.createDataFrame(rows, "t binary, words binary")
+    left = near_dedup._plausible(spark.createDataFrame([(a, b) for a, b, _, _ in pairs], "a binary, b binary"), near_dedup._parities(sequences))
+    kept = {bytes(r.a) for r in left.collect()}
+    similar = {a for a, _, x, y in pairs if near_dedup.edit_distances([(x, y)], [near_dedup._edits(max(len(x), len(y)))])[0]}
+    assert similar <= kept and len(similar) > 50 and len(kept) < 250
