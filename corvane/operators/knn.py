@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from corvane.operators import sweep as S
 
-#: Queries that are scored at once.
-BLOCK = 4_096
+#: Scores that a task holds at once, about.
+CELLS = 1 << 21
 #: Decimals of scores, so that equal vectors tie whatever the order of summation.
 DECIMALS = 9
 #: Rows kept for later that make a task cut them down to the best.
@@ -72,8 +72,9 @@ class _Nearest:
                     if value is not None:
                         fits &= field == value
                 at = np.flatnonzero(fits)
-                for a in range(0, len(asking) if len(at) else 0, BLOCK):
-                    self._score(g, asking[a : a + BLOCK], at, vectors[at], rows)
+                step = max(1, CELLS // max(len(at), 1))
+                for a in range(0, len(asking) if len(at) else 0, step):
+                    self._score(g, asking[a : a + step], at, vectors[at], rows)
         if self.pending > max(PENDING, 2 * self.k * len(self.ids)):
             self._cut()
 

@@ -141,7 +141,7 @@ class Store:
         return out
 
     def columns(self, manifest: dict) -> list[str]:
-        return [c for c in manifest["columns"]]
+        return list(manifest["columns"])
 
     def rows(self, manifest: dict | None = None) -> DataFrame | None:
         """All live rows; filters on source_type and on other columns reach the files. None before the first change."""
@@ -210,10 +210,10 @@ class Store:
             return self._read(manifest, columns).join(wanted, "id", "left_semi")
         return self._read(manifest, columns, {r["bucket"] for r in few}).where(F.col("id").isin([r["id"] for r in few]))
 
-    def query(self, vector: list[float], top_k_: int = 5, filters: dict[str, object] | None = None) -> DataFrame:
+    def query(self, vector: list[float], k: int = 5, filters: dict[str, object] | None = None) -> DataFrame:
         """The nearest rows to one vector, of those that equal each of `filters` (any column): the columns of rows but vector and content_hash, score and rk."""
         asked = self.spark.createDataFrame([(1, [float(x) for x in vector])], "query_id long, vector array<double>")
-        return self.search(asked.withColumns({f"_f{i}": F.lit(v) for i, v in enumerate((filters or {}).values())}), top_k_, {c: f"_f{i}" for i, c in enumerate(filters or {})}).drop("query_id")
+        return self.search(asked.withColumns({f"_f{i}": F.lit(v) for i, v in enumerate((filters or {}).values())}), k, {c: f"_f{i}" for i, c in enumerate(filters or {})}).drop("query_id")
 
     def search(self, queries: DataFrame, k: int = 5, equal: dict[str, str] | None = None) -> DataFrame:
         """The k nearest rows for each of `queries` (query_id, vector): query_id, the columns of rows but vector and content_hash, score and rk.
