@@ -192,7 +192,7 @@ def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def documents_of_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     pubs, posts = _records(spark, sf_dir)
     docs = from_publications(pubs).unionByName(from_postings(posts))
-    return docs.select("id", "source_type", F.md5(F.col("text").cast("binary")).alias("text_md5"), "has_uzh_author", "content_hash")
+    return docs.select("id", "source_type", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.coalesce("has_uzh_author", F.lit(False)).alias("has_uzh_author"), "content_hash")
 
 
 def index_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +377,7 @@ def _hash_sql(title: str) -> str:
     named = f"list_transform({_PEOPLE}, lambda u: to_json(u)::VARCHAR || ':' || CASE WHEN u = 'src1' THEN 'null' ELSE to_json('n/' || u)::VARCHAR END)"
     pub = f"said || '\"publication\"' || {said('department', 'lang')} || {said('year', '2000 + doc_id % 25')} || {said('url', chr(39) + 'doc/' + chr(39) + ' || doc_id')} || {said('authors', _PEOPLE)} || {said('uzh_authors', _PEOPLE)} || ',\"author_authority_map\":{{' || array_to_string({named}, ',') || '}}' || {said('keywords', 'list_filter([lang], lambda x: x IS NOT NULL)')} || ',\"has_uzh_author\":' || (len({_PEOPLE}) > 0)::VARCHAR"
     post = f"said || '\"thesis_posting\"' || {said('department', 'lang')} || {said('degree_level', '[' + chr(39) + 'bachelor' + chr(39) + ', ' + chr(39) + 'master' + chr(39) + ', ' + chr(39) + 'phd' + chr(39) + '][doc_id % 3 + 1]')} || {said('supervisor', 'source')} || {said('url', chr(39) + 'doc/' + chr(39) + ' || doc_id')}"
-    return f"""SELECT doc_id::VARCHAR AS id, doc_id, CASE WHEN doc_id % 4 = 0 THEN 'thesis_posting' ELSE 'publication' END AS source_type, md5({text}) AS text_md5, CASE WHEN doc_id % 4 <> 0 THEN len({_PEOPLE}) > 0 END AS has_uzh_author,
+    return f"""SELECT doc_id::VARCHAR AS id, doc_id, CASE WHEN doc_id % 4 = 0 THEN 'thesis_posting' ELSE 'publication' END AS source_type, md5({text}) AS text_md5, doc_id % 4 <> 0 AND len({_PEOPLE}) > 0 AS has_uzh_author,
     sha256(CASE WHEN doc_id % 4 = 0 THEN {post} ELSE {pub} END || '}}') AS content_hash FROM (SELECT *, '{{\"text\":' || to_json({text})::VARCHAR || ',\"source_type\":' AS said FROM documents)"""
 
 
