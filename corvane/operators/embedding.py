@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import tokens
 
-#: Token vectors that a worker remembers from batch to batch.
-CACHE_TOKENS = 200_000
+#: Token vectors that a task remembers from piece to piece, at most.
+CACHE_TOKENS = 131_072
+#: Tokens that a task takes at once.
+PIECE = 131_072
 
 
 class Embedder(Protocol):
@@ -27,8 +29,25 @@ class Embedder(Protocol):
 
 def token_vector(token: str, dim: int) -> np.ndarray:
     """Big-endian 32-bit integers of the SHA-256 of "0:token", "1:token" and so on, over 2**31."""
-    blocks = [hashlib.sha256(f"{i}:{token}".encode()).digest() for i in range(-(-dim // 8))]
-    return np.frombuffer(b"".join(blocks), ">i4")[:dim] / 2.0**31
+    return np.frombuffer(_digests(token, dim), ">i4") / 2.0**31
+
+
+def _digests(token: str, dim: int) -> bytes:
+    own = token.encode()
+    return b"".join([hashlib.sha256(b"%d:%b" % (i, own)).digest() for i in range(-(-dim // 8))])[: 4 * dim]
+
+
+def _token_vectors(tokens: list[str], dim: int, known: dict[str, bytes]) -> np.ndarray:
+    """The vectors of `tokens`, a row each; `known` keeps the digests of up to CACHE_TOKENS of them."""
+    found = []
+    for t in tokens:
+        own = known.get(t)
+        if own is None:
+            if len(known) >= CACHE_TOKENS:
+                known.clear()
+            own = known[t] = _digests(t, dim)
+        found.append(own)
+    return np.frombuffer(b"".join(found), ">i4").reshape(-1, dim) / 2.0**31
 
 
 class HashEmbedder:
@@ -44,20 +63,19 @@ class HashEmbedder:
 
         @F.arrow_udf("array<double>")
         def vectors(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            known: dict[str, np.ndarray] = {}
+            known: dict[str, bytes] = {}
             for column in columns:
-                coded = column.flatten().dictionary_encode()
-                if len(known) > CACHE_TOKENS:
-                    known.clear()
-                for t in coded.dictionary.to_pylist():
-                    if t not in known:
-                        known[t] = token_vector(t, dim)
-                table = np.array([known[t] for t in coded.dictionary.to_pylist()]).reshape(-1, dim)
-                code, ends = coded.indices.to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+                flat, ends = column.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
                 out = np.zeros((len(column), dim))
-                for i, own in enumerate(np.split(code, ends[:-1])):
-                    used, times = np.unique(own, return_counts=True)
-                    out[i] = times @ table[used]
+                # A piece may begin and end within a text: sums of 32-bit numbers over 2**31 are exact in any order.
+                for start in range(0, len(flat), PIECE):
+                    coded = flat.slice(start, PIECE).dictionary_encode()
+                    table = _token_vectors(coded.dictionary.to_pylist(), dim, known)
+                    code = coded.indices.to_numpy()
+                    first, last = np.searchsorted(ends, [start, start + len(code) - 1], "right")
+                    for i, own in enumerate(np.split(code, ends[first:last] - start), first):
+                        used, times = np.unique(own, return_counts=True)
+                        out[i] += times @ table[used]
                 size = np.sqrt((out * out).sum(axis=1))
                 out /= np.where(size > 0, size, 1)[:, None]
                 yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.ravel()))

@@ -10,6 +10,7 @@ import pytest
 from corvane import __main__ as cli
 from corvane import schemas as S
 from corvane.functions import text as X
+from corvane.operators import embedding
 from corvane.operators import index as I
 from corvane.operators.embedding import HashEmbedder, build_embedder, token_vector
 from corvane.operators.knn import top_k
@@ -309,3 +310,19 @@ def test_top_k_of_many_queries(spark, monkeypatch):
     score = np.round(unit(asked) @ unit(vectors).T, 9)
     want = {(q, g, k): f"r{i:03}" for q in range(130) for n, g in enumerate(["x", "y", None]) for k, i in enumerate(sorted(range(n, 300, 3), key=lambda i: (-score[q, i], i))[:4], 1)}
     assert got == want
+
+
+def test_hash_embedder_holds_few_tokens_at_once(spark, monkeypatch):
+    """Texts cut anywhere have the vectors of whole ones, and what a task remembers is bounded, whatever the number of different tokens."""
+    rows = [(i, " ".join(f"w{j % (7 * i + 1)}" for j in range(13 * i))) for i in range(12)] + [(12, None), (13, ""), (14, "a " * 50)]
+    texts = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    want = {r.id: r.vector for r in embedding.HashEmbedder().embed(texts, "text").collect()}
+    for i, text in rows:
+        own = sum((embedding.token_vector(t, 64) for t in (text or "").split()), np.zeros(64))
+        assert want[i] == pytest.approx((own / (np.linalg.norm(own) or 1)).tolist(), abs=1e-12)
+    monkeypatch.setattr(embedding, "PIECE", 17)
+    assert {r.id: r.vector for r in embedding.HashEmbedder().embed(texts, "text").collect()} == want
+    monkeypatch.setattr(embedding, "CACHE_TOKENS", 20)
+    known = {}
+    found = embedding._token_vectors([f"t{i}" for i in range(50)], 64, known)
+    assert len(known) <= 20 and (found[49] == embedding.token_vector("t49", 64)).all() and (found[0] == embedding.token_vector("t0", 64)).all()
