@@ -81,6 +81,9 @@ class _Nearest:
     def _score(self, g, asking: np.ndarray, at: np.ndarray, vectors: np.ndarray, rows: pa.Table) -> None:
         score = np.rint(self.vectors[asking] @ vectors.T * 10**DECIMALS).astype(np.int64)
         fresh = score >= self.floor[g][asking][:, None]
+        some = fresh.any(axis=1)
+        if not some.all():
+            asking, score, fresh = asking[some], score[some], fresh[some]
         if len(at) > self.k:
             # One number for score and place, so that of those that tie the first stay.
             both = score * len(at) + np.arange(len(at) - 1, -1, -1)

@@ -35,7 +35,8 @@ class Kernel(Protocol):
 def sweep(queries: DataFrame, rows: DataFrame, kernel: Callable[[pa.Table], Kernel], schema: T.StructType, few: int = FEW, on: str | None = None, parts: int | None = None) -> DataFrame:
     """The results of `kernel` (made of a task's queries) once it has taken a part of `rows`; each query meets each row in exactly one task.
 
-    With `on`, a column of both, queries meet only rows of their value; `parts` is the number of tasks that share the rows of one value.
+    With `on`, a column of both, queries meet only rows of their value; `parts` is the number of tasks that share the rows of one value, and rows are sent once for each share of the queries
+    of the value that has the most of them.
     """
     spark = rows.sparkSession
     head = queries.limit(few + 1).toArrow() if few and on is None else None
@@ -50,7 +51,8 @@ def sweep(queries: DataFrame, rows: DataFrame, kernel: Callable[[pa.Table], Kern
             yield from own.result()
 
         return rows.mapInArrow(scan, schema)
-    parts, shares = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-queries.count() // SHARE))
+    asking = queries.count() if on is None else queries.groupBy(on).count().agg(F.max("count")).first()[0] or 0
+    parts, shares = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-asking // SHARE))
     any_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     one_of = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
     key = F.lit(0).alias("key") if on is None else F.col(on).alias("key")

@@ -1,7 +1,9 @@
 """Exact search over cells against the full search."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from corvane.operators import cells, knn, sweep
 
@@ -55,3 +57,46 @@ def test_files_of_other_cells_are_not_read(spark, tmp_path):
         assert store.search(spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id int, vector array<double>"), 3)[1].first().share == 0.5
     finally:
         cells.PROBES = monkey
+
+
+def test_rows_go_out_once_for_each_share_of_their_own_queries(spark):
+    """30 values of 10 queries each make one share a value, not one for each 15 of all 300."""
+
+    class Count:
+        def __init__(self, queries):
+            self.queries, self.rows = queries.num_rows, 0
+
+        def take(self, rows):
+            self.rows += rows.num_rows
+
+        def result(self):
+            yield pa.RecordBatch.from_pydict({"queries": [self.queries], "rows": [self.rows]})
+
+    share, sweep.SHARE = sweep.SHARE, 15
+    try:
+        both = spark.range(300).selectExpr("id", "cast(id % 30 as int) as at")
+        found = sweep.sweep(both, spark.range(900).selectExpr("id", "cast(id % 30 as int) as at"), Count, T.StructType().add("queries", "long").add("rows", "long"), on="at", parts=1).collect()
+    finally:
+        sweep.SHARE = share
+    assert [tuple(r) for r in found] == [(10, 30)] * 30
+
+
+def test_a_query_goes_once_to_each_place(spark, tmp_path, monkeypatch):
+    """Of 30 cells in 4 or 5 places; and hits worse than those of the first look are left out by the second."""
+    monkeypatch.setattr(cells, "PLACES", 4)
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(1200)], "id long, vector array<double>")
+    queries = table.where("id < 20").withColumnRenamed("id", "query_id")
+    store, looks, plain = cells.Cells(spark, str(tmp_path / "cells")).build(table, cells=30), [], sweep.sweep
+
+    def watched(asked, rows, *args, **kwargs):
+        found = plain(asked, rows, *args, **kwargs)
+        looks.append((asked.count(), found.where("score is not null").count()))
+        return found
+
+    monkeypatch.setattr(sweep, "sweep", watched)
+    hits, _ = store.search(queries, 5)
+    monkeypatch.undo()
+    full = knn.top_k(queries, table.selectExpr("*", "'a' as source_type"), 5)
+    assert {tuple(r) for r in hits.collect()} == {tuple(r) for r in full.select("query_id", "id", "score", "rk").collect()}
+    assert len(looks) == 2 and all(n <= 20 * 8 for n, _ in looks) and looks[1][1] <= 20 * 5 * 4
