@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 from corvane import schemas as S
 from corvane.operators.documents import from_postings, from_publications
 from corvane.operators.embedding import Embedder
-from corvane.operators.store import ConflictError, Store
+from corvane.operators.store import DEALT, ConflictError, Store
 from corvane.sources import jsonl, storage
 
-__all__ = ["ConflictError", "IndexResult", "ModelMismatchError", "VectorIndex", "build", "count_actions", "diff", "latest_of_each", "remove", "upsert"]
+__all__ = ["ConflictError", "IndexResult", "ModelMismatchError", "VectorIndex", "build", "count_actions", "diff", "remove", "upsert"]
 log = logging.getLogger(__name__)
 #: Bad lines that go to the log; all of them are in the quarantine table.
 LOGGED = 20
@@ -55,13 +55,6 @@ def count_actions(actions: DataFrame) -> DataFrame:
     return actions.agg(of("insert", "update").alias("embedded"), of("skip").alias("skipped"), of("delete").alias("deleted"))
 
 
-def latest_of_each(documents: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """One document for each id: the last in the order of `order`. Without one, that of the highest content hash, so that any run picks the same."""
-    by = F.struct(*(order or ["content_hash"]))
-    picked = documents.groupBy("id").agg(F.max_by(F.struct(*S.DOCUMENT[1:]), by).alias("d"))
-    return picked.select("id", "d.*")
-
-
 class VectorIndex(Store):
     """The documents and vectors of a collection below `path`."""
 
@@ -76,13 +69,14 @@ class VectorIndex(Store):
         return self.spark.read.schema("file string, number long, error string, line string").parquet(f"{self.root}/{manifest['quarantine']}") if manifest.get("quarantine") else None
 
 
-def _apply(index: VectorIndex, documents: DataFrame, embedder: Embedder, keep_others: bool, **facts) -> tuple[dict, int]:
-    """Bring the index in line with `documents` (one for each id): (what was written, how many documents were as they are).
+def _apply(index: VectorIndex, documents: DataFrame, embedder: Embedder, keep_others: bool, order: list[str] | None = None, **facts) -> tuple[dict, int]:
+    """Bring the index in line with `documents`: (what was written, how many documents were as they are). Of documents with one id the last in the order of `order` counts; without one, that of
+    the highest content hash, so that any run picks the same.
 
-    The comparison is one join of hashes; what it leaves is embedded and written once. The number of skipped documents is seen as rows pass, so a task that runs twice may count its own twice; all
+    Documents and the hashes of what is stored are dealt out once, by buckets, and meet by id; what that leaves is embedded and written where it is. The number of skipped documents is seen as rows pass, so a task that runs twice may count its own twice; all
     other numbers are counted in the files.
     """
-    columns = [*documents.columns, "vector"]
+    columns = [*S.DOCUMENT, "vector"]
     seen = {"skipped": 0}
 
     def change(base: dict | None) -> tuple[dict, dict]:
@@ -91,14 +85,17 @@ def _apply(index: VectorIndex, documents: DataFrame, embedder: Embedder, keep_ot
             known = index.hashes(base).select("id", F.col("content_hash").alias("old"), F.col("source_type").alias("old_type"))
         else:
             known = index.spark.createDataFrame([], T.StructType([documents.schema["id"], T.StructField("old", T.StringType()), T.StructField("old_type", T.StringType())]))
-        met = documents.withColumn("new", F.col("content_hash")).join(known, "id", "left" if keep_others else "full_outer")
+        new = documents.select("id", F.struct(*S.DOCUMENT[1:]).alias("d"), F.struct(*(order or ["content_hash"])).alias("by"))
+        both = index.dealt(new.unionByName(known, allowMissingColumns=True), base)
+        met = both.groupBy(*DEALT, "id").agg(F.max_by("d", "by").alias("d"), F.max("old").alias("old"), F.max("old_type").alias("old_type"))
+        met = (met.where("d is not null") if keep_others else met).select(*DEALT, "id", "d.*", "old", "old_type").withColumn("new", F.col("content_hash"))
         met = met.withColumn("change", _action()).withColumn("source_type", F.coalesce("source_type", "old_type"))
         watch = Observation()
         changed = met.observe(watch, F.count_if(F.col("change") == "skip").alias("skipped")).where("change <> 'skip'").drop("new", "old", "old_type")
         embedded = embedder.embed(changed, "text", "vector")  # a tombstone has no text, so its vector costs nothing
-        layer = index.write_layer(embedded.select(*columns, "change"), base)
+        layer = index.write_layer(embedded.select(*columns, "change", *DEALT), base)
         # Where nothing has changed, Spark leaves the watched step out, and all documents are as they were.
-        seen["skipped"] = watch.get["skipped"] if layer["buckets"] else documents.select("id").count()
+        seen["skipped"] = watch.get["skipped"] if layer["buckets"] else documents.select("id").distinct().count()
         if base and not layer["buckets"] and not facts:
             return layer, base
         own = {"embedding_model": embedder.model_name, "sources_dir": (base or {}).get("sources_dir", "")} | facts
@@ -130,8 +127,7 @@ def build(index: VectorIndex, sources: str, embedder: Embedder, rebuild: bool =
     staged[0].bad_lines().unionByName(staged[1].bad_lines()).write.parquet(f"{index.root}/{quarantine}")
     for bad in index.spark.read.parquet(f"{index.root}/{quarantine}").limit(LOGGED).collect() if n_invalid else ():
         log.warning("bad line %s:%d: %s", bad["file"], bad["number"], bad["error"])
-    documents = latest_of_each(parts[0].unionByName(parts[1]), ["rank", "file", "block", "place"])
-    counts, skipped = _apply(index, documents, embedder, keep_missing, sources_dir=sources, quarantine=quarantine)
+    counts, skipped = _apply(index, parts[0].unionByName(parts[1]), embedder, keep_missing, ["rank", "file", "block", "place"], sources_dir=sources, quarantine=quarantine)
     storage.delete(spark, f"{index.root}/staged-{run}")
     embedded = counts.get("insert", 0) + counts.get("update", 0)
     return IndexResult(embedded, skipped, counts.get("delete", 0), n_invalid, n_valid - embedded - skipped)
@@ -139,7 +135,7 @@ def build(index: VectorIndex, sources: str, embedder: Embedder, rebuild: bool =
 
 def upsert(index: VectorIndex, documents: DataFrame, embedder: Embedder) -> IndexResult:
     """Insert or replace documents by id; all others stay, and those that are stored as they are are not embedded again. Of documents with one id the one with the highest content hash counts."""
-    counts, skipped = _apply(index, latest_of_each(documents), embedder, keep_others=True)
+    counts, skipped = _apply(index, documents, embedder, keep_others=True)
     return IndexResult(counts.get("insert", 0) + counts.get("update", 0), skipped, 0)
 
 

@@ -23,6 +23,8 @@ from corvane.sources import storage
 log = logging.getLogger(__name__)
 #: Buckets of a new store; its manifest keeps the number.
 BUCKETS = 16
+#: Columns by which rows are dealt to tasks that write them.
+DEALT = ("bucket", "_part")
 #: Layers of a bucket beyond which it is written anew.
 MAX_LAYERS = 8
 #: Manifests that stay readable after a change.
@@ -88,14 +90,21 @@ class Store:
     def _bucket(self, base: dict | None) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit((base or {}).get("buckets", self.buckets))).cast("int")
 
+    def dealt(self, rows: DataFrame, base: dict | None) -> DataFrame:
+        """`rows` with the columns of DEALT, all of one pair in one task: grouped by these and the id, they need no other shuffle, nor does writing them as a layer."""
+        buckets = (base or {}).get("buckets", self.buckets)
+        parts = max(1, -(-2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets))
+        return rows.withColumns({"bucket": self._bucket(base), "_part": F.pmod(F.hash("id"), F.lit(parts))}).repartition(*DEALT)
+
     def write_layer(self, rows: DataFrame, base: dict | None) -> dict:
-        """Write rows with the column `change` (insert, update or delete), and say what was written: folder, buckets, and the number of each change, counted in the files."""
+        """Write rows with the column `change` (insert, update or delete), and say what was written: folder, buckets, and the number of each change, counted in the files. Rows with
+        the columns of `dealt` are written where they are."""
         folder = f"layer-{uuid.uuid4().hex}"
         at = f"{self.root}/{folder}"
-        dealt = rows.withColumn("bucket", self._bucket(base)).hint("rebalance", "bucket")
-        dealt.sortWithinPartitions("bucket", "source_type", "id").write.partitionBy("bucket", "source_type").parquet(at)
+        placed = rows.drop("_part") if "_part" in rows.columns else rows.withColumn("bucket", self._bucket(base)).hint("rebalance", "bucket")
+        placed.sortWithinPartitions("bucket", "source_type", "id").write.partitionBy("bucket", "source_type").parquet(at)
         buckets = [int(n[7:]) for n in storage.names(self.spark, at) if n.startswith("bucket=")]
-        schema = T.StructType([*[f for f in rows.schema.fields if f.name != "source_type"], T.StructField("bucket", T.IntegerType()), T.StructField("source_type", T.StringType())])
+        schema = T.StructType([*[f for f in rows.schema.fields if f.name not in ("source_type", *DEALT)], T.StructField("bucket", T.IntegerType()), T.StructField("source_type", T.StringType())])
         counts = {r["change"]: r["count"] for r in self.spark.read.schema(schema).parquet(at).groupBy("change").count().collect()} if buckets else {}
         return {"folder": folder, "buckets": sorted(buckets), "counts": counts}
 
@@ -176,7 +185,11 @@ class Store:
             wide = {b for b, n in self.chains(base).items() if n > longer} if base else set()
             if not wide:
                 return False
-            live = self._read(base, self.columns(base), wide).withColumn("change", F.lit("insert"))
+            columns = self.columns(base)
+            layers = [self._layer(base, x, wide & set(x["buckets"])).withColumn("seq", F.lit(i)) for i, x in enumerate(base["layers"]) if wide & set(x["buckets"])]
+            rows = self.dealt(functools.reduce(DataFrame.unionByName, layers), base)
+            latest = rows.groupBy(*DEALT, "id").agg(F.max_by(F.struct("change", *[c for c in columns if c != "id"]), "seq").alias("d"))
+            live = latest.where("d.change <> 'delete'").select(*DEALT, "id", "d.*").select(*columns, *DEALT).withColumn("change", F.lit("insert"))
             layer = self.write_layer(live, base)
             layers = [{"folder": x["folder"], "buckets": [b for b in x["buckets"] if b not in wide]} for x in base["layers"]]
             layers = [x for x in [*layers, {"folder": layer["folder"], "buckets": layer["buckets"]}] if x["buckets"]]

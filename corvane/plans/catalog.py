@@ -28,15 +28,15 @@ K = 10
 TOPICS = ["ranking", "retrieval"]
 
 
-def corpus(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
-    """Documents in the form of an index's rows."""
+def corpus(spark: SparkSession, sf_dir: str, vectors: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents in the form of an index's rows, with the columns of `keep` as they are."""
     posting, i = F.col("doc_id") % 4 == 0, F.col("doc_id")
     other = F.concat(F.lit("src"), (i % 7).cast("string"))
     people = F.when(posting, F.array().cast("array<string>")).when(i % 5 == 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array("source", other)))
     rows = table(spark, sf_dir, "documents").select(
         i.alias("id"), "text", F.when(posting, "thesis_posting").otherwise("publication").alias("source_type"), F.col("lang").alias("department"),
         F.when(posting, F.element_at(F.array(F.lit("bachelor"), F.lit("master"), F.lit("phd")), (i % 3 + 1).cast("int"))).alias("degree_level"),
-        F.when(posting, F.col("source")).alias("supervisor"), (2000 + i % 25).cast("int").alias("year"), F.concat(F.lit("doc/"), i.cast("string")).alias("url"), people.alias("uzh_authors"),
+        F.when(posting, F.col("source")).alias("supervisor"), (2000 + i % 25).cast("int").alias("year"), F.concat(F.lit("doc/"), i.cast("string")).alias("url"), people.alias("uzh_authors"), *keep,
     )
     if not vectors:
         return rows
@@ -179,9 +179,7 @@ def validate_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as publication and posting records: the source is the title, the language a keyword."""
     i, id_ = F.col("doc_id"), F.col("doc_id").cast("string").alias("id")
-    docs = corpus(spark, sf_dir, vectors=False).withColumn("doc_id", F.col("id"))
-    source = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"))
-    docs = docs.join(source, "doc_id")
+    docs = corpus(spark, sf_dir, vectors=False, keep=("doc_id", "source")).withColumnRenamed("source", "title")
     common = [id_, "title", "department", "url", F.array_compact(F.array("department")).alias("keywords")]
     named = F.map_from_arrays("uzh_authors", F.transform("uzh_authors", lambda p: F.when(p == "src1", F.lit(None).cast("string")).otherwise(F.concat(F.lit("n/"), p))))
     pubs = docs.where(i % 4 != 0).select(*common, F.col("text").alias("abstract"), F.col("uzh_authors").alias("authors"), "uzh_authors", named.alias("author_authority_map"), "year")

@@ -11,6 +11,7 @@ from corvane.operators import index as I
 from corvane.operators import store
 from corvane.operators.documents import from_postings, from_publications
 from corvane.operators.embedding import HashEmbedder
+from corvane.plans import catalog
 from corvane.sources import jsonl, storage
 from corvane.streaming.upserts import stream_records
 
@@ -207,3 +208,20 @@ def test_a_file_twice_on_a_stream_embeds_once(spark, index, tmp_path):
     for name in ("a", "b"):
         (tmp_path / f"in/{name}.jsonl").write_text(lines)
         stream_records(spark, str(tmp_path / "in"), "publication", index, EMBED, str(tmp_path / "cp"), once=True).awaitTermination()
+
+
+def test_texts_are_shuffled_once_a_change(spark, index, monkeypatch, sf_dir):
+    """A change and a compaction deal rows out once and join nothing, and so do the records that the registered queries make."""
+    plans, write = [], store.Store.write_layer
+
+    def watched(self, rows, base):
+        plans.append(rows._jdf.queryExecution().toString().partition("== Physical Plan ==")[2])
+        return write(self, rows, base)
+
+    monkeypatch.setattr(store.Store, "write_layer", watched)
+    twice = _pubs(spark, range(30)).unionByName(_pubs(spark, range(20, 40)))
+    assert I.upsert(index, twice, EMBED).embedded == 40
+    assert I.upsert(index, _pubs(spark, range(35, 45)), EMBED) == I.IndexResult(5, 5, 0)
+    assert index.compact() and index.rows().count() == 45
+    assert [(p.count("Exchange hashpartitioning(bucket"), p.count("Exchange "), p.count("Join")) for p in plans] == [(1, 1, 0)] * 3
+    assert "Join" not in catalog.documents_of_records(spark, sf_dir)._jdf.queryExecution().toString()
