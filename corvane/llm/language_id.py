@@ -6,8 +6,10 @@ windows that cover all of it; its probabilities are the windows' mean.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -138,24 +140,29 @@ def predict(docs: DataFrame, model: ByteCnn | None, text_col: str = "text") -> D
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def classify(text: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def classify(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net: ByteCnn | None = sent.value
-        lang, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
-        known = [i for i, t in enumerate(text) if t and _LETTER.search(t)] if net else []
-        group, size = [], 0
-        for k, i in enumerate(known):
-            group.append(i)
-            size += len(text.iloc[i])
-            if size >= 1 << 20 or k + 1 == len(known):
-                x, of = windows([text.iloc[j].encode() for j in group])
-                p = net.probabilities(x)
-                at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                mean = np.add.reduceat(p.astype(np.float64), at, axis=0) / np.diff(np.r_[at, len(of)])[:, None]
-                lang[group] = np.array(net.labels, object)[mean.argmax(axis=1)]
-                score[group] = np.clip(mean.max(axis=1), 0, 1)
-                group, size = [], 0
-        return pd.DataFrame({"lang_pred": lang, "score": score})
+        for column in columns:
+            lang, score = np.full(len(column), UNKNOWN, object), np.zeros(len(column))
+            group, texts, size = [], [], 0
+            for i in range(len(column) if net else 0):
+                text = column[i].as_py()  # one at a time, so that a batch is not held twice
+                if text and _LETTER.search(text):
+                    group.append(i)
+                    texts.append(text.encode())
+                    size += len(text)
+                if group and (size >= 1 << 20 or i + 1 == len(column)):
+                    x, of = windows(texts)
+                    p = net.probabilities(x)
+                    at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                    mean = np.add.reduceat(p.astype(np.float64), at, axis=0) / np.diff(np.r_[at, len(of)])[:, None]
+                    lang[group] = np.array(net.labels, object)[mean.argmax(axis=1)]
+                    score[group] = np.clip(mean.max(axis=1), 0, 1)
+                    group, texts, size = [], [], 0
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], names=["lang_pred", "score"])
+            del column
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps it otherwise
 
     keep, found = [F.col(f"`{c}`") for c in others(docs.columns, ("lang_pred", "score"), (text_col,))], unused(docs.columns, "found")
     return docs.select(*keep, classify(F.col(text_col)).alias(found)).select(*keep, f"{found}.lang_pred", f"{found}.score")
