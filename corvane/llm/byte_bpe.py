@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -28,12 +29,20 @@ from corvane.llm.shared import tidy
 
 #: Characters of text whose distinct words are looked up together; a longer text is a block of its own.
 BLOCK_CHARS = 12_000_000
+#: Characters of text that are cut at once.
+SLICE_CHARS = 1_000_000
 #: Bytes of a word up to which Spark folds it; every merge of the fold passes over the word, so longer ones take a heap instead.
 LONG_WORD = 1_000
 #: Buckets of words for each shuffle partition.
 SPREAD = 3
 #: Parts of the rank map. A Spark map is searched from end to end, so there is one for each hash value.
 N_MAPS = 1 << 15
+#: Ids, of whole documents, that are put together or decoded at once.
+OUT_IDS = 1 << 19
+#: Words or pieces whose ids are gathered at once.
+GATHERED = 1 << 18
+#: What a text has if its white space is more than single spaces and newlines between others, or if it is empty.
+ODD_SPACES = r"^[ \n]|[ \n]$|[ \n][ \n]|^$|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Most ranks that are sent as a literal.
 MAX_RANKS = 1 << 20
 
@@ -158,7 +167,7 @@ def _coded(numbers: np.ndarray) -> list[bytes]:
 def _decoded(often: bytes, coded: bytes) -> np.ndarray:
     coded = _from_planes(coded)
     of_rank = np.argsort(-_from_planes(often), kind="stable")
-    out = np.cumsum(coded == 0) - 1
+    out = np.cumsum(coded == 0, dtype=np.int32) - 1
     known = coded > 0
     out[known] = of_rank[coded[known] - 1]
     return out
@@ -181,46 +190,63 @@ class _Block:
 
     def __init__(self, pattern: regex.Pattern, cuts_at_spaces: bool):
         self.pattern, self.cuts = pattern, cuts_at_spaces
-        self.ids, self.codes, self.chars, self.number = [], [], 0, _Codes()
-        self.newline = self.number["\n"]
-
-    def add(self, doc, text: str) -> None:
-        """A piece's code is twice its number, and one more if a space stands before it."""
-        if self.cuts and " ".join(text.split()) == text.replace("\n", " "):
-            pieces = text.replace("\n", " \n ").split(" ") if text else []
-            codes = np.fromiter(map(self.number.__getitem__, pieces), np.int32, len(pieces))
-            bare = codes == self.newline
-            bare[1:] |= bare[:-1].copy()
-            bare[:1] = True
-            codes = 2 * codes + ~bare
-        else:
-            codes = 2 * np.array(list(map(self.number.__getitem__, self.pattern.findall(text))), np.int32)
-        self.ids.append(doc)
-        self.codes.append(codes)
-        self.chars += len(text)
-
-    def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct words, words in each piece, words of all pieces, number of the piece in each place)."""
-        codes = np.concatenate(self.codes)
-        first = np.full(2 * len(self.number), -1)
+        self.ids, self.pieces, self.counts, self.spaced, self.chars = [], [], [], [], 0
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> None:
+        """Documents of some ids and texts, large strings without nulls. Their pieces are numbered at once, so that only distinct ones are kept."""
+        plain = ~np.asarray(pc.match_substring_regex(texts, ODD_SPACES)) if self.cuts else np.zeros(len(texts), bool)
+        edges = [*np.flatnonzero(np.diff(plain, prepend=~plain[:1])).tolist(), len(texts)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = texts.slice(a, b - a)
+            if plain[a]:
+                own = pc.split_pattern(pc.replace_substring(own, "\n", " \n "), " ")
+            else:
+                own = pa.array([self.pattern.findall(t) for t in own.to_pylist()], pa.list_(pa.large_string()))
+            self.pieces.append(own.flatten().dictionary_encode())
+            self.counts.append(np.asarray(own.value_lengths(), np.int32))
+            self.spaced.append(plain[a:b])
+        self.ids.append(ids)
+
+    def _codes(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(distinct pieces, pieces of each document, in each place twice a piece's number, and one more if a space stands before it)."""
+        chunks = pa.chunked_array(self.pieces).unify_dictionaries().chunks
+        names = chunks[0].dictionary
+        self.pieces.clear()
+        counts, codes = np.concatenate(self.counts), np.concatenate([c.indices for c in chunks])
+        bare = ~np.repeat(np.concatenate(self.spaced), counts)
+        newline = codes == pc.index(names, pa.scalar("\n", pa.large_string())).as_py()
+        bare |= newline
+        bare[1:] |= newline[:-1]
+        begins = np.cumsum(counts) - counts
+        bare[begins[counts > 0]] = True
+        return names, counts, 2 * codes + ~bare
+
+    def words(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct words, words in each piece, words of all pieces, pieces of each document, number of the piece in each place)."""
+        names, counts, codes = self._codes()
+        first = np.full(2 * len(names), -1)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         used = np.flatnonzero(first >= 0)
         used = used[np.argsort(first[used])]
         first[used] = np.arange(len(used))  # numbers in order of first use
         codes = first[codes].astype(np.int32)
-        names, number, each, of = list(self.number), _Codes(), [], []
+        bare = names.take(pa.array(used >> 1))
+        space = pa.array(np.where(used & 1, " ", ""), pa.large_string())
+        pieces = pc.binary_join_element_wise(space, bare, pa.scalar("", pa.large_string()))
         letters = self.cuts and self.pattern.findall("ab é") == ["ab", " é"]
-        for c in used.tolist():
-            name = names[c >> 1]
-            piece = " " + name if c & 1 else name
-            if letters and name.isalpha():
-                each.append(1)
-                of.append(number[piece])
-            else:
-                found = self.pattern.findall(piece)
-                each.append(len(found))
-                of += map(number.__getitem__, found)
-        return [w.encode() for w in number], np.array(each, np.int32), np.array(of, np.int32), codes
+        whole = np.asarray(pc.ascii_is_alpha(bare)) if letters else np.zeros(len(used), bool)
+        rest = np.flatnonzero(~whole)
+        with_space, without = (x.take(pa.array(rest)).to_numpy(zero_copy_only=False) for x in (pieces, bare))
+        found = [[p] if letters and name.isalpha() else self.pattern.findall(p) for p, name in zip(with_space, without, strict=True)]
+        each = np.ones(len(used), np.int32)
+        each[rest] = [len(f) for f in found]
+        begins = np.cumsum(each) - each
+        at = np.empty(int(each.sum()), np.int64)
+        at[begins[whole]] = np.flatnonzero(whole)
+        at[_places(begins[rest], each[rest])] = len(used) + np.arange(int(each[rest].sum()))
+        more = pa.array([w for f in found for w in f], pa.large_string())
+        of = pa.concat_arrays([pieces, more]).take(pa.array(at)).dictionary_encode()
+        return of.dictionary.cast(pa.large_binary()), each, np.asarray(of.indices), counts, codes
 
 
 def _blocks(batches, pattern: str) -> Iterator[_Block]:
@@ -228,8 +254,14 @@ def _blocks(batches, pattern: str) -> Iterator[_Block]:
     cuts = compiled.findall("a b\nc .\n.") == ["a", " b", "\n", "c", " .", "\n", "."]
     block = _Block(compiled, cuts)
     for batch in batches:
-        for i in range(batch.num_rows):
-            block.add(batch.column(0)[i], batch.column(1)[i].as_py() or "")
+        ids, texts = batch.column(0), batch.column(1).cast(pa.large_string()).fill_null("")
+        ends, a = np.cumsum(np.asarray(pc.utf8_length(texts), np.int64)), 0
+        while a < len(texts):
+            before = int(ends[a - 1]) if a else 0
+            b = min(len(texts), int(np.searchsorted(ends, before + min(SLICE_CHARS, BLOCK_CHARS - block.chars))) + 1)
+            block.add(ids.slice(a, b - a), texts.slice(a, b - a))
+            block.chars += int(ends[b - 1]) - before
+            a = b
             if block.chars >= BLOCK_CHARS:
                 yield block
                 block = _Block(compiled, cuts)
@@ -238,11 +270,37 @@ def _blocks(batches, pattern: str) -> Iterator[_Block]:
         yield block
 
 
+def _places(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its length, one after another."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of each start and length, one after another."""
+    out, done = np.empty(int(lengths.sum(dtype=np.int64)), values.dtype), 0
+    for i in range(0, len(starts), GATHERED):
+        own = values[_places(starts[i : i + GATHERED], lengths[i : i + GATHERED])]
+        out[done : done + len(own)] = own
+        done += len(own)
+    return out
+
+
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that end at these bytes of `data`, each where the one before ends."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _ragged(flat: bytes, lengths: np.ndarray) -> list[bytes]:
     ends = np.cumsum(lengths, dtype=np.int64).tolist()
     return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
+def _grown(have: np.ndarray, n: int) -> np.ndarray:
+    """`have`, with room for n values at least."""
+    return have if n <= len(have) else np.concatenate([have, np.zeros(max(n, 2 * len(have)) - len(have), have.dtype)])
+
+
 def _split(texts: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """(key, block, bucket, ids, data): a row of each block with its documents' ids and codes, bucket -1, and rows with its words of each bucket."""
     kind = texts.schema["id"].dataType
@@ -251,22 +309,21 @@ def _split(texts: DataFrame, pattern: str, buckets: int) -> DataFrame:
     def run(batches):
         first = TaskContext.get().partitionId() << 32
         for k, block in enumerate(_blocks(batches, pattern), first):
-            words, each, of, codes = block.words()
-            id_type = block.ids[0].type
-            counts = np.array([len(c) for c in block.codes], np.int32)
-            own = _squeeze(np.array([len(words)], np.int64).tobytes(), _planes(counts), _planes(each), *_coded(of), *_coded(codes))
-            own_ids = pa.array([[x.as_py() for x in block.ids]], pa.list_(id_type))
+            words, each, of, counts, codes = block.words()
+            ids = pa.concat_arrays(block.ids)
             del block
+            own = _squeeze(np.array([len(words)], np.int64).tobytes(), _planes(counts), _planes(each), *_coded(of), *_coded(codes))
+            own_ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            del each, of, counts, codes
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([k]), pa.array([-1], pa.int32()), own_ids, pa.array([own], pa.binary())], names=schema.names)
-            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
+            bucket = np.fromiter(map(zlib.crc32, words.to_numpy(zero_copy_only=False)), np.int64, len(words)) % buckets
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-            rows = []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                mine = [words[i] for i in order[a:b].tolist()]
-                rows.append(_squeeze(_planes(np.diff(order[a:b], prepend=0)), _planes(np.array([len(w) for w in mine])), b"".join(mine)))
+            words = words.take(pa.array(order))
+            at, flat = (np.frombuffer(words.buffers()[1], np.int64, len(words) + 1), memoryview(words.buffers()[2])) if len(words) else (np.zeros(1, np.int64), b"")
+            rows = [_squeeze(_planes(np.diff(order[a:b], prepend=0)), _planes(np.diff(at[a : b + 1])), flat[at[a] : at[b]]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
             found = bucket[order[edges[:-1]]]
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(rows), k)), pa.array(found.astype(np.int32)), pa.nulls(len(rows), pa.list_(id_type)), pa.array(rows, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(rows), k)), pa.array(found.astype(np.int32)), pa.nulls(len(rows), pa.list_(ids.type)), pa.array(rows, pa.binary())], names=schema.names)
 
     return texts.mapInArrow(tidy(run), schema)
 
@@ -298,21 +355,28 @@ def _addressed(rows: DataFrame, long_words) -> DataFrame:
     schema = T.StructType([f for f in rows.schema.fields if f.name in ("block", "bucket", "ids", "data")])
 
     def run(batches):
-        known: list[bytes] = []
+        flat, ends, n = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), 0  # ids of all words so far, and where those of each end
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 folded = row.column("folded")[0].values
-                at = np.asarray(folded.offsets, np.int64)
-                flat = np.asarray(folded.values, np.int64).astype("<u4").tobytes()[4 * at[0] :] if len(folded) else b""
-                for word, ids in zip(row.column("words")[0], _ragged(flat, 4 * np.diff(at)) if len(folded) else (), strict=True):
-                    known.append(ids or np.array(heap_merges(word.as_py(), long_words.value), "<u4").tobytes())
+                if len(folded):
+                    own, sizes = np.asarray(folded.flatten(), "<u4"), np.asarray(folded.value_lengths(), np.int64)
+                    if not sizes.all():  # words that were too long to be folded
+                        words, at = row.column("words")[0].values, np.cumsum(sizes)
+                        each = [own[b - s : b] if s else np.array(heap_merges(words[j].as_py(), long_words.value), "<u4") for j, (b, s) in enumerate(zip(at.tolist(), sizes.tolist(), strict=True))]
+                        own, sizes = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+                    have, end = int(ends[n]), n + len(sizes)
+                    flat, ends = _grown(flat, have + len(own)), _grown(ends, end + 1)
+                    flat[have : have + len(own)] = own
+                    ends[n + 1 : end + 1] = have + np.cumsum(sizes)
+                    n = end
                 out = row.select(schema.names)
                 if row.column("bucket")[0].as_py() >= 0:
                     raw = row.column("data")[0].as_py()
                     places, at = raw[: len(raw) // 2], np.frombuffer(raw, "<i4", offset=len(raw) // 2)
-                    own = [known[k] for k in at.tolist()]
-                    data = _squeeze(places, _planes(np.array([len(x) for x in own])), _planes(np.frombuffer(b"".join(own), "<u4")))
+                    sizes = ends[at + 1] - ends[at]
+                    data = _squeeze(places, _planes(sizes), _planes(_gathered(flat, ends[at], sizes)))
                     out = out.set_column(out.schema.get_field_index("data"), "data", pa.array([data], pa.binary()))
                 yield out
 
@@ -323,39 +387,45 @@ def _put_together(rows: DataFrame, kind: T.DataType) -> DataFrame:
     """(id, n_tokens, tokens) of the documents of sorted `rows`: the row of each block, then those with the ids of its words."""
     schema = T.StructType([T.StructField("id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType())])
 
-    def finish(ids, own: list[bytes], of_word: list[bytes | None]):
-        counts, each = map(_from_planes, own[:2])
-        of, codes = _decoded(*own[2:4]), _decoded(*own[4:6])
-        words = [of_word[k] for k in of.tolist()]
-        if None in words:
+    def finish(ids, own: list[bytes], found: list[tuple[np.ndarray, ...]]):
+        counts, each = map(_from_planes, own[1:3])
+        of, codes = _decoded(*own[3:5]), _decoded(*own[5:7])
+        sizes = np.full(int.from_bytes(own[0], "little"), -1)
+        starts = np.zeros(len(sizes), np.int64)
+        flat, n = np.zeros(sum(len(ids_of) for _, _, ids_of in found), "<u4"), 0
+        for places, lengths, ids_of in found:
+            sizes[places], starts[places] = lengths, n + np.cumsum(lengths) - lengths
+            flat[n : n + len(ids_of)] = ids_of
+            n += len(ids_of)
+        if (sizes < 0).any():
             raise ValueError("a block lacks words: its documents did not come in the same order twice")
-        at = [0, *np.cumsum(each).tolist()]
-        pieces = [b"".join(words[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        at, out, size, first = [0, *np.cumsum(counts).tolist()], [], 0, 0
-        for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            out.append(b"".join(map(pieces.__getitem__, codes[a:b].tolist())))
-            size += len(out[-1])
-            if size > 1 << 22 or k + 2 == len(at):
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(out)), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], names=schema.names)
-                out, size, first = [], 0, k + 1
+        # The ids of each piece, then those of each document.
+        flat = _gathered(flat, starts[of], sizes[of])
+        ends = np.r_[0, np.cumsum(sizes[of])][np.r_[0, np.cumsum(each)]]
+        starts, sizes = ends[:-1], np.diff(ends)
+        at = np.r_[0, np.cumsum(counts)]
+        ends, first = np.r_[0, np.cumsum(sizes[codes])][at], 0
+        while first < len(ids):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + OUT_IDS, "right")) - 1)
+            some = codes[at[first] : at[last]]
+            tokens, until = _gathered(flat, starts[some], sizes[some]), ends[first : last + 1] - ends[first]
+            yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(np.diff(until)), _binaries(tokens, 4 * until)], names=schema.names)
+            first = last
 
     def run(batches):
-        ids = own = None
-        of_word: list[bytes | None] = []
+        ids, own, found = None, None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 parts = _parts(batch.column("data")[i].as_py())
                 if batch.column("bucket")[i].as_py() < 0:
                     if own is not None:
-                        yield from finish(ids, own, of_word)
-                    ids, own = batch.column("ids")[i].values, parts[1:]
-                    of_word = [None] * int.from_bytes(parts[0], "little")
+                        yield from finish(ids, own, found)
+                    ids, own, found = batch.column("ids")[i].values, parts, []
                 else:
                     places, lengths, flat = map(_from_planes, parts)
-                    for p, w in zip(np.cumsum(places).tolist(), _ragged(flat.tobytes(), lengths), strict=True):
-                        of_word[p] = w
+                    found.append((np.cumsum(places), lengths, flat))
         if own is not None:
-            yield from finish(ids, own, of_word)
+            yield from finish(ids, own, found)
 
     return rows.mapInArrow(tidy(run), schema)
 
@@ -394,14 +464,23 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
         of = pa.array(sent.value, pa.large_binary())
         for batch in batches:
             column = batch.column(ids_col).cast(pa.large_binary())
-            decoded: list[bytes | None] = []
-            for ids in column:
-                raw = ids.as_py()
-                found = None if raw is None else of.take(pa.array(np.frombuffer(raw, "<u4")))
-                if found is not None and found.null_count:
+            valid = np.asarray(column.is_valid())
+            column = column.fill_null(b"")
+            at = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+            if (np.diff(at) % 4).any():
+                raise ValueError("ids that are not 32-bit numbers")
+            first = 0
+            while first < len(column):
+                last = max(first + 1, int(np.searchsorted(at, at[first] + 4 * OUT_IDS, "right")) - 1)
+                n = int(at[last] - at[first]) // 4
+                found = of.take(pa.array(np.frombuffer(column.buffers()[2], "<u4", n, int(at[first])) if n else np.zeros(0, "<u4")))
+                if found.null_count:
                     raise ValueError("an id without a piece")
-                at = None if found is None else np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)
-                decoded.append(None if found is None else found.buffers()[2].to_pybytes()[at[0] : at[-1]] if len(found) else b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=schema.names)
+                ends = np.frombuffer(found.buffers()[1], np.int64, n + 1)[(at[first : last + 1] - at[first]) // 4] if n else np.zeros(last - first + 1, np.int64)
+                decoded = _binaries(np.frombuffer(found.buffers()[2] or b"", np.uint8)[: ends[-1]], ends)
+                if not valid[first:last].all():
+                    decoded = pc.if_else(pa.array(valid[first:last]), decoded, None)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, decoded], names=schema.names)
+                first = last
 
     return encoded.select(*rest).mapInArrow(tidy(run), schema)
