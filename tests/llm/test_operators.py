@@ -105,6 +105,30 @@ def test_byte_bpe_cuts_texts_faster_than_one_piece_at_a_time():
     assert ours < min(seconds(one_by_one) for _ in range(4))
 
 
+def test_byte_bpe_decodes_few_documents_at_once(spark):
+    """A task decodes about half a million ids at once, not a whole batch; null and empty ids stay, and a document of more ids is whole."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = {rank: token for token, rank in byte_bpe.read_ranks(path).items()}
+    rng = np.random.default_rng(1)
+    ids = [rng.choice(sorted(pieces), int(k)).astype("<u4") if k >= 0 else None for k in [*[50_000] * 30, 0, -1, 700_000, -1, 3]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ids))), pa.array([None if x is None else x.tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
+
+    class Task:
+        schema = spark.createDataFrame([], "doc_id int, ids binary").schema
+        columns, sparkSession = schema.names, spark
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([batch.slice(1)])))
+
+    out = byte_bpe.decode(Task(), path)
+    assert all(sum(len(x) // 4 for x in b.column("ids").to_pylist() if x) <= 1 << 19 or b.num_rows == 1 for b in out)
+    got = {d: x for b in out for d, x in zip(b.column("doc_id").to_pylist(), b.column("decoded").to_pylist(), strict=True)}
+    assert got == {d: None if x is None else b"".join(pieces[k] for k in x.tolist()) for d, x in enumerate(ids) if d}
+
+
 def test_byte_bpe_folds_words_of_any_length(spark, monkeypatch):
     """The fold and the heap give tiktoken's ids; a word of 200,000 letters and a text of 60,000 words are encoded whole, over blocks of any size."""
     import tiktoken
