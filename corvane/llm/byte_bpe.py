@@ -288,6 +288,8 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 
 def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary values that end at these bytes of `data`, each where the one before ends."""
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise ValueError("a document of over 2 GB")
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
