@@ -37,10 +37,12 @@ BAND = 32
 SHORT = 24
 #: Edits up to which short texts meet by what is left without the edited words; beyond by whole segments.
 FEW_EDITS = 2
-#: Texts of a bucket up to which each is compared with each; those of larger ones with the first, then by their rare words.
+#: Texts of a bucket up to which each is compared with each; those of larger ones with the first and their neighbours, then by their rare words.
 SMALL = 8
-#: Texts that share a word up to which that alone makes them candidates.
-FEW = 32
+#: Orders of texts in buckets, see `_neighbours`.
+ORDERS = 4
+#: Rare words before each one that it is sent with, by which pairs are told that have met already.
+BEFORE = 8
 #: Texts whose words are sent to be counted together.
 PART_TEXTS = 1_000
 
@@ -255,14 +257,39 @@ def _close_lengths(n: str, m: str) -> Column:
     return F.least(n, m) >= F.ceil(F.greatest(n, m) * F.lit(THRESHOLD) - F.lit(1e-6))
 
 
-def _pairs_within(members: DataFrame, key: str, apart: bool = False) -> DataFrame:
-    """The pairs of texts (a, b) that share a `key` and can be similar by length; with `apart` only those of different roots."""
-    one, other = (members.select(key, *[F.col(c).alias(f"{side}_{c}") for c in members.columns if c != key]) for side in "xy")
+def _pairs_within(members: DataFrame, key: str) -> DataFrame:
+    """Each pair of texts (a, b, their roots p and q) of different roots that share a `key` and can be similar by length, once for each key they share.
+
+    Where `members` have parities as `bits` and the keys that come before a text's key as `before`, pairs must be plausible, and not share one of those: they have met there.
+    """
+    one, other = (members.select(key, *[F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root", "bits", "before") if c in members.columns]) for side in "xy")
     # What meets can outgrow what Spark expects of it by far, so neither side is broadcast.
-    met = merged(one, other, key).where((F.col("x_t") < F.col("y_t")) & _close_lengths("x_n", "y_n"))
-    if apart:
-        met = met.where("x_root <> y_root")
-    return met.select(F.col("x_t").alias("a"), F.col("y_t").alias("b")).distinct()
+    met = merged(one, other, key).where((F.col("x_t") < F.col("y_t")) & _close_lengths("x_n", "y_n") & (F.col("x_root") != F.col("y_root")))
+    if "bits" in members.columns:
+        met = met.where(_few_odd("x_n", "y_n", "x_bits", "y_bits") & ~F.arrays_overlap("x_before", "y_before"))
+    return met.select(F.col("x_t").alias("a"), F.col("y_t").alias("b"), F.col("x_root").alias("p"), F.col("y_root").alias("q"))
+
+
+def _neighbours(members: DataFrame) -> DataFrame:
+    """Pairs of texts (a, b) that stand next to each other in a bucket and can be similar by length; ORDERS orders by chance, of which each bucket has one.
+
+    Near copies are in many buckets together, so each gets several neighbours by chance, and that links most of a class whatever its size. Buckets are split where
+    Spark cuts the sorted rows; two texts on either side of a cut are no neighbours.
+    """
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if last is None else [last, batch]).combine_chunks()
+            v = rows.column("v").to_numpy()
+            at = np.flatnonzero(v[:-1] == v[1:])
+            one, other = rows.take(at), rows.take(at + 1)
+            yield from pa.table({"x_t": one["t"], "x_n": one["n"], "y_t": other["t"], "y_n": other["n"]}).to_batches()
+            last = batch.slice(batch.num_rows - 1)
+
+    dealt = members.select("v", F.xxhash64(F.pmod("v", F.lit(ORDERS)), "t").alias("o"), "t", "n").repartitionByRange("v", "o").sortWithinPartitions("v", "o")
+    beside = dealt.mapInArrow(run, "x_t binary, x_n long, y_t binary, y_n long").where((F.col("x_t") != F.col("y_t")) & _close_lengths("x_n", "y_n"))
+    return beside.select(F.least("x_t", "y_t").alias("a"), F.greatest("x_t", "y_t").alias("b"))
 
 
 def _labelled(words: bytes) -> np.ndarray:
@@ -275,6 +302,23 @@ def _labelled(words: bytes) -> np.ndarray:
     return W.mix(w + (occurrence << np.uint64(32)))
 
 
+def _bits(labelled: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements falls into each of PARITIES cells, as 64-bit integers."""
+    return np.packbits((np.bincount((labelled % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _lists(bits: list[np.ndarray]) -> pa.Array:
+    """A list column of parities."""
+    values = np.concatenate([np.zeros(0, np.int64), *bits])
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, PARITIES // 64), pa.int32()), pa.array(values))
+
+
+def _few_odd(n: str, m: str, bits: str, other: str) -> Column:
+    """Whether parities leave it open that texts of so many words are THRESHOLD similar."""
+    apart = sum((F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other)[i])) for i in range(PARITIES // 64)), F.lit(0))
+    return apart <= 2 * F.floor(F.greatest(n, m) * F.lit(1 - THRESHOLD) + F.lit(1e-9))
+
+
 def _parities(sequences: DataFrame) -> DataFrame:
     """(t, n, bits) of each of `sequences`: its words, and for each of PARITIES cells whether an odd number of its labelled words falls into it.
 
@@ -284,10 +328,7 @@ def _parities(sequences: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             own = [_labelled(words) for words in batch.column("words").to_pylist()]
-            odd = np.array([np.bincount((h % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1 for h in own], np.uint8)
-            bits = np.packbits(odd, axis=1).view(np.int64) if len(own) else np.zeros((0, PARITIES // 64), np.int64)
-            ends = np.arange(0, bits.size + 1, PARITIES // 64)
-            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array([len(h) for h in own], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bits.ravel()))], names=["t", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array([len(h) for h in own], pa.int64()), _lists([_bits(h) for h in own])], names=["t", "n", "bits"])
 
     return sequences.mapInArrow(run, "t binary, n long, bits array<long>")
 
@@ -296,9 +337,7 @@ def _plausible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b and any other columns) whose parities leave it open that they are similar. They are some bytes a text, so most pairs go before words are sent."""
     one, other = (parities.select(F.col("t").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in ("a", "b"))
     met = merged(merged(pairs, one, "a"), other, "b")
-    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda have, x: have + x)
-    edits = F.floor(F.greatest("a_n", "b_n") * F.lit(1 - THRESHOLD) + F.lit(1e-9))
-    return met.where(apart <= 2 * edits).select(pairs.columns)
+    return met.where(_few_odd("a_n", "b_n", "a_bits", "b_bits")).select(pairs.columns)
 
 
 def _parts_of(batches):
@@ -355,7 +394,7 @@ def _shared_words(pairs: DataFrame) -> DataFrame:
 
 
 def _rare_words(texts: DataFrame) -> DataFrame:
-    """(t, n, root, w): of the n // 5 + 2 rarest words of each text those that a text of another root has too. Rare are words of few roots."""
+    """(t, n, root, bits, before, w): of the n // 5 + 1 rarest words of each text those that a text of another root has too, from rare to frequent; the text's parities, and up to BEFORE of those words that come right before. Rare are words of few roots."""
     spark = texts.sparkSession
     shared = _shared_words(_words_by_bucket(texts, 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))).repartition("bucket"))
     names = ["part", "bucket", "t", "n", "root", "data"]
@@ -367,8 +406,8 @@ def _rare_words(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         part, known, count = None, [], []
-        for batch in batches:
-            found, at = [], []
+        for batch in (rows.slice(i, PART_TEXTS) for rows in batches for i in range(0, rows.num_rows, PART_TEXTS)):
+            found, at, bits, before, lengths = [], [], [], [], []
             for i in range(batch.num_rows):
                 if batch.column("part")[i].as_py() != part:
                     part, known, count = batch.column("part")[i].as_py(), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -387,37 +426,35 @@ def _rare_words(texts: DataFrame) -> DataFrame:
                 if len(known[0]):
                     place = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
                     c = np.where(known[0][place] == h, count[0][place], c)
-                first = np.lexsort((h, c))[: len(h) // 5 + 2]
+                first = np.lexsort((h, c))[: len(h) // 5 + 1]
                 first = first[c[first] > 1]
                 found.append(h[first])
                 at.append(np.full(len(first), i))
+                bits.append(np.tile(_bits(h), len(first)))
+                place = np.arange(len(first))
+                lengths.append(np.minimum(place, BEFORE))
+                before.append(h[first][np.repeat(place - np.cumsum(lengths[-1]), lengths[-1]) + np.arange(lengths[-1].sum())])
             if found:
                 own = batch.select(["t", "n", "root"]).take(pa.array(np.concatenate(at)))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate(found).view(np.int64))], names=["t", "n", "root", "w"])
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+                recent = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(before).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*own.columns, _lists(bits), recent, pa.array(np.concatenate(found).view(np.int64))], names=["t", "n", "root", "bits", "before", "w"])
 
     tagged = texts.mapInArrow(tag, "part long, bucket int, t binary, n long, root binary, data binary")
     none = {c: F.lit(None).cast(kind) for c, kind in (("t", "binary"), ("n", "long"), ("root", "binary"))}
     rows = tagged.unionByName(shared.withColumns(none)).repartition("part").sortWithinPartitions("part", "bucket")
-    return rows.mapInArrow(run, "t binary, n long, root binary, w long")
+    return rows.mapInArrow(run, "t binary, n long, root binary, bits array<long>, before array<long>, w long")
 
 
 def _rare_pairs(hot: DataFrame, sequences: DataFrame) -> DataFrame:
-    """All pairs (a, b) of the texts `hot` (t, n, root) that may be similar and are of different roots.
+    """All pairs (a, b, p, q) of the texts `hot` (t, n, root) that may be similar and are of different roots p and q.
 
     Similar texts of n words and more share all but n / 5 of their labelled words, so whatever the order of words, they have one in
-    common among the n // 5 + 1 first of each, and two among the n // 5 + 2 first. The order is from words of few roots to those of
-    many, so a text with enough words of its own root alone meets nobody. Texts that
-    share a word of few texts are compared; for more frequent words those that share two of them are.
+    common among the n // 5 + 1 first of each. The order is from words of few roots to those of
+    many, so a text with enough words of its own root alone meets nobody. A pair meets at the first word in common, and again only after a gap of over BEFORE words.
     """
     texts = cut(sequences.join(hot, "t").select("t", "n", "root", "words"))
-    keyed = cut(_rare_words(texts))
-    sizes = keyed.groupBy("w").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("m > 1 and low <> high")
-    keyed = cut(merged(keyed, cut(sizes.select("w", "m")), "w"))
-    few = keyed.where(F.col("m") <= FEW).drop("m")
-    many = keyed.where(F.col("m") > FEW).groupBy("t", "n", "root").agg(F.collect_set("w").alias("ws"))
-    two = F.flatten(F.transform("ws", lambda x: F.transform(F.filter("ws", lambda y: y > x), lambda y: F.xxhash64(x, y))))
-    many = many.select("t", "n", "root", F.explode(two).alias("w"))
-    return _pairs_within(few, "w", apart=True).unionByName(_pairs_within(many, "w", apart=True)).distinct()
+    return _pairs_within(cut(_rare_words(texts)), "w")
 
 
 def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFrame:
@@ -427,40 +464,27 @@ def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFr
     bucketed = texts.where("n > 0").select("t", F.col("n").cast("long").alias("n"), F.explode(values).alias("v"))
     counts = bucketed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
     members = cut(bucketed.join(counts, "v").select("v", "t", "n", "m"))
-    small, large = members.where(F.col("m") <= SMALL).drop("m"), members.where(F.col("m") > SMALL).drop("m")
+    large = members.where(F.col("m") > SMALL)
     leads = large.groupBy("v").agg(F.min(F.struct("n", "t")).alias("lead"))
     led = large.join(leads, "v").where((F.col("t") != F.col("lead.t")) & _close_lengths("n", "lead.n"))
-    led = led.select(F.least("t", "lead.t").alias("a"), F.greatest("t", "lead.t").alias("b")).distinct()
+    led = led.select(F.least("t", "lead.t").alias("a"), F.greatest("t", "lead.t").alias("b"))
+    tried = cut(led.unionByName(_neighbours(members)).distinct())
     sequences = cut(_sequences(docs, text_col, members.select("t").distinct()))
     parities = cut(_parities(sequences))
-    links = cut(_verified(_plausible(led, parities), sequences))
-    roots = components(links)
-    of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
-    with_roots = lambda pairs: merged(merged(pairs, of_a, "a", "left"), of_b, "b", "left")
-    apart = with_roots(_pairs_within(small, "v"))
-    apart = apart.where("a_root is null or b_root is null or a_root <> b_root").select("a", "b")
-    rooted = cut(merged(large, roots.withColumnRenamed("node", "t"), "t", "left").select("v", "t", "n", F.coalesce("root", "t").alias("root")))
-    mixed = rooted.groupBy("v").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("v")
-    hot, n_hot = counted(rooted.join(mixed, "v", "left_semi").select("t", "n", "root").distinct())
+    roots = components(cut(_verified(_plausible(tried, parities), sequences)))
+    # Then all other pairs whose texts are not of one class by now.
+    rooted = cut(merged(members, roots.withColumnRenamed("node", "t"), "t", "left").select("v", "t", "n", "m", F.coalesce("root", "t").alias("root")))
+    apart = _pairs_within(rooted.where(F.col("m") <= SMALL), "v")
+    hot, n_hot = counted(rooted.where(F.col("m") > SMALL).select("t", "n", "root").distinct())
     if n_hot:
-        apart = apart.unionByName(_rare_pairs(hot, sequences)).distinct()
-    apart = _plausible(apart, parities)
-    # First one pair for each two classes, then those of the other pairs that lie in two classes even so.
-    apart = with_roots(apart).select("a", "b", F.coalesce("a_root", "a").alias("p"), F.coalesce("b_root", "b").alias("q"))
-    apart, n_apart = counted(apart.select("a", "b", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")))
+        apart = apart.unionByName(_rare_pairs(hot, sequences))
+    known = tried.select("a", "b", *[F.lit(None).cast("binary").alias(c) for c in "pq"], F.lit(True).alias("tried"))
+    apart = apart.withColumn("tried", F.lit(False)).unionByName(known).groupBy("a", "b").agg(F.max("p").alias("p"), F.max("q").alias("q"), F.max("tried").alias("tried"))
+    apart, n_apart = counted(_plausible(apart.where("not tried").drop("tried"), parities))
     if not n_apart:
         return _named(texts, [roots])
-    first = cut(apart.groupBy("p", "q").agg(F.min(F.struct("a", "b")).alias("pair")).select("p", "q", "pair.*"))
-    linked = _verified(first, sequences, ["p", "q"])
-    higher = components(linked.select(F.col("p").alias("a"), F.col("q").alias("b")))
-    of_p, of_q = (higher.select(F.col("node").alias(c), F.col("root").alias(f"{c}_top")) for c in ("p", "q"))
-    rest = merged(apart, first, ["p", "q", "a", "b"], "left_anti")
-    rest = merged(merged(rest, of_p, "p", "left"), of_q, "q", "left").select("a", "b", F.coalesce("p_top", "p").alias("p"), F.coalesce("q_top", "q").alias("q"))
-    rest, n_rest = counted(rest.where("p <> q"))
-    if not n_rest:
-        return _named(texts, [roots, higher])
-    last = components(_verified(rest, sequences, ["p", "q"]).select(F.col("p").alias("a"), F.col("q").alias("b")))
-    return _named(texts, [roots, higher, last])
+    higher = components(_verified(apart, sequences, ["p", "q"]).select(F.col("p").alias("a"), F.col("q").alias("b")))
+    return _named(texts, [roots, higher])
 
 
 def _named(texts: DataFrame, closures: list[DataFrame]) -> DataFrame:
@@ -477,13 +501,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of `docs`: the id column and class_id, the lowest id of its class.
 
     Two different texts are linked if they agree in a band or a key of short texts and are at least THRESHOLD similar: 1 - edit distance / longer
-    length, in words; in hot buckets also if they agree in enough rare words. So no link is missed where the shorter text has up to SHORT words, or all of the bucket is hot. Classes are the connected components of links and equal texts, so pairs that are
+    length, in words; of texts that have a hot bucket also if they agree in a rare word. So no link is missed where the shorter text has up to SHORT words, or both have a hot bucket. Classes are the connected components of links and equal texts, so pairs that are
     of one class already need no alignment. Texts without words have no links, but equal ones are one class; each
     row of null text is one for itself. Null ids count for nothing unless a class has no other; then its class_id is null. Repeated
     ids are rows of their own, and go by their texts. Other columns are not read; an empty table gives an empty one.
-    Buckets of up to SMALL texts give all their pairs. Texts of larger ones are compared
-    with the bucket's first; where that leaves more than one class in a bucket, its texts meet all others of such buckets by
-    their rare words, which misses no link.
+    Texts are first compared with neighbours in their buckets, and those of buckets of over SMALL texts with the bucket's first. Of texts that
+    are of different classes after that, all that share a smaller bucket are compared, and all with a larger one that share a
+    rare word, which misses no link.
     """
     others([], ("class_id",), (id_col,))
     sketched = cut(sketch(docs, id_col, text_col))

@@ -1,6 +1,7 @@
 """Operators on hand-made rows: nulls, empty and repeated texts, ties, extra columns, empty tables."""
 
 import hashlib
+import re
 import time
 import zlib
 
@@ -626,3 +627,41 @@ def test_parities_lose_no_similar_pair(spark):
     kept = {bytes(r.a) for r in left.collect()}
     similar = {a for a, _, x, y in pairs if near_dedup.edit_distances([(x, y)], [near_dedup._edits(max(len(x), len(y)))])[0]}
     assert similar <= kept and len(similar) > 50 and len(kept) < 250
+
+
+def _joined_rows(spark, key, since):
+    """The most rows that an inner join by `key` alone has made in the session's SQL executions from number `since` on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    seq = lambda s: [s.apply(i) for i in range(s.size())]
+    for e in (x for x in seq(store.executionsList()) if x.executionId() >= since):
+        values = store.executionMetrics(e.executionId())
+        for node in seq(store.planGraph(e.executionId()).allNodes()):
+            if re.search(rf"Join \[{key}#\d+L?\], \[{key}#\d+L?\], Inner", node.desc()):
+                for m in seq(node.metrics()):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_near_dedup_pairs_of_a_hot_group_meet_about_once(spark):
+    """A template without links and loose copies of one text: the classes are those of all pairs, and the join on rare words makes few more rows than there are pairs."""
+    rng = np.random.default_rng(29)
+    template, base = [f"t{i}" for i in range(70)], [f"b{i}" for i in range(100)]
+    texts = [[*template, *(f"pool{x}" for x in rng.choice(60, 30, replace=False))] for _ in range(150)]
+    for i in range(100):
+        gone = set(rng.choice(100, 11, replace=False).tolist())
+        texts.append([f"new{i}x{j}" if j in gone else w for j, w in enumerate(base)])
+    numbers = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    pairs = [(i, j) for i in range(250) for j in range(i)]
+    good = near_dedup.edit_distances([tuple(np.array([numbers[w] for w in texts[k]], np.uint32) for k in p) for p in pairs], [20] * len(pairs))
+    root = list(range(250))
+    for (i, j), linked in zip(pairs, good, strict=True):
+        if linked and root[i] != root[j]:
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    assert 100 < len(set(root)) < 250
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == dict(enumerate(root))
+    assert 0 < _joined_rows(spark, "w", since) <= 2 * 150 * 149 // 2
