@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 
 from corvane.llm import words as W
 from corvane.llm.graph import components
-from corvane.llm.shared import counted, cut, merged, others, unused
+from corvane.llm.shared import counted, merged, others, scratch, shuffles_removed, stored, unused
+from corvane.sources import storage
 
 #: Short shingles and few minima: a text with every fifth word changed keeps half of its 3-word shingles.
 SHINGLE = 3
@@ -231,7 +232,8 @@ def _sequences(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array([w[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["t", "words"])
 
     texts = docs.select(F.col(text_col).alias("text")).where("text is not null").select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("t"), "text")
-    return texts.join(wanted, "t", "left_semi").mapInArrow(run, "t binary, words binary").dropDuplicates(["t"])
+    # Equal texts are one by the join's own key, so only texts are shuffled and not their words again.
+    return texts.join(wanted, "t", "left_semi").dropDuplicates(["t"]).mapInArrow(run, "t binary, words binary")
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, more: list[str] | None = None) -> DataFrame:
@@ -446,45 +448,49 @@ def _rare_words(texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "t binary, n long, root binary, bits array<long>, before array<long>, w long")
 
 
-def _rare_pairs(hot: DataFrame, sequences: DataFrame) -> DataFrame:
-    """All pairs (a, b, p, q) of the texts `hot` (t, n, root) that may be similar and are of different roots p and q.
+def _rare_pairs(hot: DataFrame, sequences: DataFrame, below: str) -> DataFrame:
+    """All pairs (a, b, p, q) of the texts `hot` (t, n, root) that may be similar and are of different roots p and q. What is made on the way goes to `below`.
 
     Similar texts of n words and more share all but n / 5 of their labelled words, so whatever the order of words, they have one in
     common among the n // 5 + 1 first of each. The order is from words of few roots to those of
     many, so a text with enough words of its own root alone meets nobody. A pair meets at the first word in common, and again only after a gap of over BEFORE words.
     """
-    texts = cut(sequences.join(hot, "t").select("t", "n", "root", "words"))
-    return _pairs_within(cut(_rare_words(texts)), "w")
+    texts = stored(sequences.join(hot, "t").select("t", "n", "root", "words"), below)
+    return _pairs_within(stored(_rare_words(texts), below), "w")
 
 
 def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFrame:
-    """(t, root, low, class_id) of each text: root names its class, low is its lowest id, class_id that of its class."""
+    """(t, root, low, class_id) of each text: root names its class, low is its lowest id, class_id that of its class. What is made on the way is removed when classes are written."""
+    spark = docs.sparkSession
+    below = scratch(spark, "near")
     texts = sketched.where("t is not null").groupBy("t").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("keys").alias("keys"))
     values = F.concat(F.transform("bands", lambda band, j: F.xxhash64(j, band)), "keys")
     bucketed = texts.where("n > 0").select("t", F.col("n").cast("long").alias("n"), F.explode(values).alias("v"))
     counts = bucketed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
-    members = cut(bucketed.join(counts, "v").select("v", "t", "n", "m"))
+    members = stored(bucketed.join(counts, "v").select("v", "t", "n", "m"), below)
     large = members.where(F.col("m") > SMALL)
     leads = large.groupBy("v").agg(F.min(F.struct("n", "t")).alias("lead"))
     led = large.join(leads, "v").where((F.col("t") != F.col("lead.t")) & _close_lengths("n", "lead.n"))
     led = led.select(F.least("t", "lead.t").alias("a"), F.greatest("t", "lead.t").alias("b"))
-    tried = cut(led.unionByName(_neighbours(members)).distinct())
-    sequences = cut(_sequences(docs, text_col, members.select("t").distinct()))
-    parities = cut(_parities(sequences))
-    roots = components(cut(_verified(_plausible(tried, parities), sequences)))
+    tried = stored(led.unionByName(_neighbours(members)).distinct(), below)
+    sequences = stored(_sequences(docs, text_col, members.select("t").distinct()), below)
+    parities = stored(_parities(sequences), below)
+    roots = components(stored(_verified(_plausible(tried, parities), sequences), below))
     # Then all other pairs whose texts are not of one class by now.
-    rooted = cut(merged(members, roots.withColumnRenamed("node", "t"), "t", "left").select("v", "t", "n", "m", F.coalesce("root", "t").alias("root")))
+    rooted = stored(merged(members, roots.withColumnRenamed("node", "t"), "t", "left").select("v", "t", "n", "m", F.coalesce("root", "t").alias("root")), below)
     apart = _pairs_within(rooted.where(F.col("m") <= SMALL), "v")
-    hot, n_hot = counted(rooted.where(F.col("m") > SMALL).select("t", "n", "root").distinct())
+    hot, n_hot = counted(rooted.where(F.col("m") > SMALL).select("t", "n", "root").distinct(), below=below)
     if n_hot:
-        apart = apart.unionByName(_rare_pairs(hot, sequences))
+        apart = apart.unionByName(_rare_pairs(hot, sequences, below))
     known = tried.select("a", "b", *[F.lit(None).cast("binary").alias(c) for c in "pq"], F.lit(True).alias("tried"))
     apart = apart.withColumn("tried", F.lit(False)).unionByName(known).groupBy("a", "b").agg(F.max("p").alias("p"), F.max("q").alias("q"), F.max("tried").alias("tried"))
-    apart, n_apart = counted(_plausible(apart.where("not tried").drop("tried"), parities))
-    if not n_apart:
-        return _named(texts, [roots])
-    higher = components(_verified(apart, sequences, ["p", "q"]).select(F.col("p").alias("a"), F.col("q").alias("b")))
-    return _named(texts, [roots, higher])
+    apart, n_apart = counted(_plausible(apart.where("not tried").drop("tried"), parities), below=below)
+    closures = [roots]
+    if n_apart:
+        closures.append(components(_verified(apart, sequences, ["p", "q"]).select(F.col("p").alias("a"), F.col("q").alias("b"))))
+    named = _named(texts, closures)
+    storage.delete(spark, below)
+    return named
 
 
 def _named(texts: DataFrame, closures: list[DataFrame]) -> DataFrame:
@@ -492,8 +498,8 @@ def _named(texts: DataFrame, closures: list[DataFrame]) -> DataFrame:
     named = texts.select("t", F.col("t").alias("root"), "low")
     for found in closures:
         named = merged(named, found.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("t", F.coalesce("top", "root").alias("root"), "low")
-    named = cut(named)
-    lowest = cut(named.groupBy("root").agg(F.min("low").alias("class_id")))
+    named = stored(named)
+    lowest = stored(named.groupBy("root").agg(F.min("low").alias("class_id")))
     return named.join(lowest, "root").select("t", "root", "low", "class_id")
 
 
@@ -510,8 +516,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rare word, which misses no link.
     """
     others([], ("class_id",), (id_col,))
-    sketched = cut(sketch(docs, id_col, text_col))
-    classes = _text_classes(docs, sketched, text_col).select("t", "class_id")
+    with shuffles_removed(docs.sparkSession):
+        sketched = stored(sketch(docs, id_col, text_col))
+        classes = _text_classes(docs, sketched, text_col).select("t", "class_id")
     out = sketched.select("id", "t").join(classes, "t", "left")
     return out.select(F.col("id").alias(id_col), F.when(F.col("t").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
@@ -522,7 +529,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows of equal id and text are one; which of them stays is open where their other columns differ. Null ids come after all
     others. Columns of any name are kept; an empty table gives an empty one.
     """
-    classes = _text_classes(docs, cut(sketch(docs, id_col, text_col)), text_col)
+    with shuffles_removed(docs.sparkSession):
+        classes = _text_classes(docs, stored(sketch(docs, id_col, text_col)), text_col)
     kept = classes.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("last"), "low", "t")).alias("first"))
     own, text, low, number = (unused(docs.columns, c) for c in ("t", "text", "low", "number"))
     kept = kept.select(F.col("first.t").alias(text), F.col("first.low").alias(low))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -60,6 +61,24 @@ def counted(df: DataFrame, which: Column | None = None, below: str | None = None
     return written, seen.get.get("n", 0)
 
 
+#: Whether Spark removes a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within this, each job's shuffle files go when what it has made is written, so that disk holds those of one job at a time whatever the driver's memory. What a caller is to run belongs outside."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """`run` for mapInArrow, giving Arrow's unused memory back at its end: a Python worker that waits for its next task keeps it otherwise."""
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -665,3 +666,17 @@ def test_near_dedup_pairs_of_a_hot_group_meet_about_once(spark):
     since = spark._jsparkSession.sharedState().statusStore().executionsCount()
     assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == dict(enumerate(root))
     assert 0 < _joined_rows(spark, "w", since) <= 2 * 150 * 149 // 2
+
+
+def test_near_dedup_leaves_no_shuffles(spark):
+    """Each job's shuffle files are gone when the classes are there, and so are the tables made on the way; the session's setting is as before."""
+    tracker, shared = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker(), Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    shuffles = lambda: set(filter(None, tracker.shuffleStatuses().keys().mkString(",").split(",")))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]])) for i in range(30)], "doc_id long, text string")
+    before, files, setting = shuffles(), set(shared.iterdir()), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    classes = near_dedup.near_classes(docs)
+    assert not shuffles() - before
+    assert sum(f.stat().st_size for d in set(shared.iterdir()) - files for f in d.rglob("*.parquet")) < 200_000 and not [d for d in set(shared.iterdir()) - files if d.name.startswith("corvane-near")]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    assert {r.class_id for r in classes.collect()} == {0} == {r.class_id for r in classes.collect()}
