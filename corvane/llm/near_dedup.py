@@ -30,22 +30,24 @@ THRESHOLD = 0.8
 N_BANDS = 24
 #: Shingles sampled for a band.
 MINIMA = 2
-#: Bits of a text's parities, see `_parities`.
-PARITIES = 1_024
+#: Bits of a text's parities, see `_parities`, and of the finer ones that texts of over a quarter as many words as PARITIES have besides: in a few cells the words of a long text even out.
+PARITIES, FINE = 1_024, 4_096
 #: Edits that an alignment first allows for.
 BAND = 32
 #: Words of a text up to which all texts of at least that similarity are found, whatever the bands say.
 SHORT = 24
 #: Edits up to which short texts meet by what is left without the edited words; beyond by whole segments.
 FEW_EDITS = 2
-#: Texts of a bucket up to which each is compared with each; those of larger ones with the first and their neighbours, then by their rare words.
+#: Texts of a bucket up to which each is compared with each; those of larger ones with the first and their neighbours, then by their rare bigrams.
 SMALL = 8
 #: Orders of texts in buckets, see `_neighbours`.
 ORDERS = 4
-#: Rare words before each one that it is sent with, by which pairs are told that have met already.
+#: Rare bigrams before each one that it is sent with, by which pairs are told that have met already.
 BEFORE = 8
-#: Texts whose words are sent to be counted together.
+#: Texts whose bigrams are sent to be counted together.
 PART_TEXTS = 1_000
+#: Rare bigrams of a batch, or one text's where they are more.
+BATCH_ROWS = 4_096
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 1 << 63, N_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,13 +122,10 @@ def short_keys(words: np.ndarray) -> np.ndarray:
     return np.unique(np.array(keys, np.uint64)).view(np.int64)
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two multisets."""
-    values, counts = np.unique(np.concatenate([a, b]), return_counts=True)
-    in_a = np.zeros(len(values), np.int64)
-    found, n = np.unique(a, return_counts=True)
-    in_a[np.searchsorted(values, found)] = n
-    return int(np.minimum(in_a, counts - in_a).sum())
+def _apart(a: np.ndarray, b: np.ndarray, cells: int) -> int:
+    """In how many elements two multisets of 32-bit hashes differ, or fewer where some share one of so many cells, a power of 2. Nothing is sorted for it."""
+    one, other = (np.bincount(x & np.uint32(cells - 1), minlength=cells) for x in (a, b))
+    return int(np.abs(one - other).sum())
 
 
 def _pairs_of(x: np.ndarray) -> np.ndarray:
@@ -175,10 +174,12 @@ def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]
         n = max(len(x), len(y))
         if abs(len(x) - len(y)) > limits[i]:
             continue
-        changed = n - _common(x, y)  # words that an edit must have changed
-        if changed > limits[i] or min(len(x), len(y)) > 1 and _common(_pairs_of(x), _pairs_of(y)) < n - 1 - 2 * limits[i]:
+        m, cells = min(len(x), len(y)), 1 << max(10, (4 * n).bit_length())
+        changed = (_apart(x, y, cells) + n - m + 1) // 2  # words of the longer that an edit must have changed, or fewer
+        if changed > limits[i]:
             continue  # an edit changes at most one word of the longer and two bigrams
-        m = min(len(x), len(y))
+        if m > 1 and _apart(*(z[:-1] * np.uint32(0x9E3779B1) + z[1:] for z in (x, y)), cells) > m - n + 4 * limits[i]:
+            continue
         differ = np.flatnonzero(x[:m] != y[:m])
         head = int(differ[0]) if len(differ) else m
         x, y = x[head:], y[head:]
@@ -262,13 +263,17 @@ def _close_lengths(n: str, m: str) -> Column:
 def _pairs_within(members: DataFrame, key: str) -> DataFrame:
     """Each pair of texts (a, b, their roots p and q) of different roots that share a `key` and can be similar by length, once for each key they share.
 
-    Where `members` have parities as `bits` and the keys that come before a text's key as `before`, pairs must be plausible, and not share one of those: they have met there.
+    Of rare bigrams (see `_rare_bigrams`), so many must follow in both texts as a similar pair has in common, pairs must be plausible by parities, and not share a bigram right before: they have met there.
     """
-    one, other = (members.select(key, *[F.col(c).alias(f"{side}_{c}") for c in ("t", "n", "root", "bits", "before") if c in members.columns]) for side in "xy")
+    one, other = (members.select(key, *[F.col(c).alias(f"{side}_{c}") for c in members.columns if c != key]) for side in "xy")
     # What meets can outgrow what Spark expects of it by far, so neither side is broadcast.
-    met = merged(one, other, key).where((F.col("x_t") < F.col("y_t")) & _close_lengths("x_n", "y_n") & (F.col("x_root") != F.col("y_root")))
-    if "bits" in members.columns:
-        met = met.where(_few_odd("x_n", "y_n", "x_bits", "y_bits") & ~F.arrays_overlap("x_before", "y_before"))
+    apart = (F.col("x_t") < F.col("y_t")) & _close_lengths("x_n", "y_n") & (F.col("x_root") != F.col("y_root"))
+    if "rest" in members.columns:  # the cheap tests first
+        n = F.greatest("x_n", "y_n")
+        odd = F.aggregate(F.zip_with("x_fine", "y_fine", lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda total, some: total + some)
+        apart = ((F.col("x_last") != F.col("y_last")) | (F.col("x_last") == 0)) & apart & (F.least("x_rest", "y_rest") >= n - 2 - 2 * _allowed(n)) & _few_odd("x_n", "y_n", "x_bits", "y_bits")
+        apart = apart & ~F.arrays_overlap("x_before", "y_before") & F.coalesce(odd <= _most_odd("x_n", "y_n"), F.lit(True))  # null where one of the two has no finer parities
+    met = merged(one, other, key).where(apart)
     return met.select(F.col("x_t").alias("a"), F.col("y_t").alias("b"), F.col("x_root").alias("p"), F.col("y_root").alias("q"))
 
 
@@ -294,19 +299,31 @@ def _neighbours(members: DataFrame) -> DataFrame:
     return beside.select(F.least("x_t", "y_t").alias("a"), F.greatest("x_t", "y_t").alias("b"))
 
 
+def _occurrences(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each one."""
+    order = np.argsort(values, kind="stable")
+    run = np.flatnonzero(np.r_[True, values[order][1:] != values[order][:-1]])
+    occurrence = np.zeros(len(values), np.uint64)
+    occurrence[order] = np.arange(len(values)) - np.repeat(run, np.diff(np.r_[run, len(values)]))
+    return occurrence
+
+
 def _labelled(words: bytes) -> np.ndarray:
     """64-bit elements of a text: its words, equal ones told apart by their occurrence."""
     w = np.frombuffer(words, np.uint32).astype(np.uint64)
-    order = np.argsort(w, kind="stable")
-    run = np.flatnonzero(np.r_[True, w[order][1:] != w[order][:-1]])
-    occurrence = np.zeros(len(w), np.uint64)
-    occurrence[order] = np.arange(len(w)) - np.repeat(run, np.diff(np.r_[run, len(w)]))
-    return W.mix(w + (occurrence << np.uint64(32)))
+    return W.mix(w + (_occurrences(w) << np.uint64(32)))
+
 
+def _bigrams(words: bytes) -> np.ndarray:
+    """64-bit elements of a text: each two words in a row (of a single word: that), equal ones told apart by their occurrence."""
+    w = np.frombuffer(words, np.uint32)
+    pairs = _pairs_of(w) if len(w) > 1 else w.astype(np.uint64)
+    return W.mix(W.mix(pairs) + _occurrences(pairs))
 
-def _bits(labelled: np.ndarray) -> np.ndarray:
-    """Whether an odd number of elements falls into each of PARITIES cells, as 64-bit integers."""
-    return np.packbits((np.bincount((labelled % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+def _bits(labelled: np.ndarray, cells: int = PARITIES) -> np.ndarray:
+    """Whether an odd number of elements falls into each of so many cells, as 64-bit integers."""
+    return np.packbits((np.bincount((labelled % np.uint64(cells)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _lists(bits: list[np.ndarray]) -> pa.Array:
@@ -315,16 +332,26 @@ def _lists(bits: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, PARITIES // 64), pa.int32()), pa.array(values))
 
 
+def _allowed(n: Column) -> Column:
+    """Edits by which a text may differ from one of `n` words, if neither is longer."""
+    return F.floor(n * F.lit(1 - THRESHOLD) + F.lit(1e-9))
+
+
+def _most_odd(n: str, m: str) -> Column:
+    """In how many bits similar texts of so many words can differ. An edit changes two labelled words at most, and each of them one bit; as many edits as one text is longer add a word or take one away, which changes one."""
+    return 2 * _allowed(F.greatest(n, m)) - (F.greatest(n, m) - F.least(n, m))
+
+
 def _few_odd(n: str, m: str, bits: str, other: str) -> Column:
     """Whether parities leave it open that texts of so many words are THRESHOLD similar."""
     apart = sum((F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other)[i])) for i in range(PARITIES // 64)), F.lit(0))
-    return apart <= 2 * F.floor(F.greatest(n, m) * F.lit(1 - THRESHOLD) + F.lit(1e-9))
+    return apart <= _most_odd(n, m)
 
 
 def _parities(sequences: DataFrame) -> DataFrame:
     """(t, n, bits) of each of `sequences`: its words, and for each of PARITIES cells whether an odd number of its labelled words falls into it.
 
-    An edit changes two labelled words at most, and each of them one bit. So texts that differ in more than twice as many bits as edits are allowed are not similar, whatever the words.
+    So texts that differ in more bits than edits can change (see `_most_odd`) are not similar, whatever the words.
     """
 
     def run(batches):
@@ -351,12 +378,12 @@ def _parts_of(batches):
             number += 1
 
 
-def _words_by_bucket(texts: DataFrame, buckets: int) -> DataFrame:
-    """(part, bucket, data): the distinct pairs of a word and a root in each part of `texts`, in buckets by the word; data has the words, then the roots' hashes."""
+def _bigrams_by_bucket(texts: DataFrame, buckets: int) -> DataFrame:
+    """(part, bucket, data): the distinct pairs of a bigram and a root in each part of `texts`, in buckets by the bigram; data has the bigrams, then the roots' hashes."""
 
     def run(batches):
         for number, rows in _parts_of(batches):
-            own = [_labelled(words.as_py()) for words in rows.column("words")]
+            own = [_bigrams(words.as_py()) for words in rows.column("words")]
             w = np.concatenate(own)
             root = np.repeat(np.array([xxhash.xxh3_64_intdigest(x.as_py()) for x in rows.column("root")], np.uint64), [len(x) for x in own])
             w, root = _distinct_pairs(w, root)
@@ -376,8 +403,8 @@ def _distinct_pairs(w: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.nda
     return w[fresh], root[fresh]
 
 
-def _shared_words(pairs: DataFrame) -> DataFrame:
-    """(part, bucket, data): for each part the words that texts of several roots have, then of how many. A Spark partition's share of the words is in memory at once."""
+def _shared_bigrams(pairs: DataFrame) -> DataFrame:
+    """(part, bucket, data): for each part the bigrams that texts of several roots have, then of how many. A Spark partition's share of the bigrams is in memory at once."""
 
     def run(batches):
         rows = [(p.as_py(), b.as_py(), np.frombuffer(d.as_py(), np.uint64)) for batch in batches for p, b, d in zip(batch.column(0), batch.column(1), batch.column(2), strict=True)]
@@ -395,10 +422,13 @@ def _shared_words(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "part long, bucket int, data binary")
 
 
-def _rare_words(texts: DataFrame) -> DataFrame:
-    """(t, n, root, bits, before, w): of the n // 5 + 1 rarest words of each text those that a text of another root has too, from rare to frequent; the text's parities, and up to BEFORE of those words that come right before. Rare are words of few roots."""
+def _rare_bigrams(texts: DataFrame) -> DataFrame:
+    """(t, n, root, bits, fine, before, last, rest, w): of the 2 * (n // 5) + 2 rarest bigrams of each text those that a text of another root has too, from rare to frequent. Rare are bigrams of few roots.
+
+    `bits` and `fine` are the text's parities, `before` up to BEFORE of those bigrams that come right before, `last` the last of them or 0, `rest` how many of all the text's bigrams come after.
+    """
     spark = texts.sparkSession
-    shared = _shared_words(_words_by_bucket(texts, 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))).repartition("bucket"))
+    shared = _shared_bigrams(_bigrams_by_bucket(texts, 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))).repartition("bucket"))
     names = ["part", "bucket", "t", "n", "root", "data"]
 
     def tag(batches):
@@ -406,10 +436,38 @@ def _rare_words(texts: DataFrame) -> DataFrame:
             ends = [pa.array(np.full(rows.num_rows, number)), pa.array(np.full(rows.num_rows, 1 << 30, np.int32))]
             yield pa.RecordBatch.from_arrays([*ends, *(rows.column(c) for c in ("t", "n", "root", "words"))], names=names)
 
+    def rarest(words, known, count):
+        """(bigrams, how many come after each) of a text."""
+        h = _bigrams(words)
+        c = np.ones(len(h), np.uint64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            c = np.where(known[place] == h, count[place], c)
+        first = np.lexsort((h, c))[: 2 * (len(words) // 20) + 2]  # a word has 4 bytes
+        other = c[first] > 1
+        return h[first][other], len(h) - 1 - np.flatnonzero(other)
+
+    def table(texts, found):
+        """The rows of `texts`; `found` has their words, bigrams and how many come after."""
+        sizes = [len(w) for _, w, _ in found]
+        labelled = [_labelled(words) for words, _, _ in found]
+        bits = [np.tile(_bits(h), size) for h, size in zip(labelled, sizes, strict=True)]
+        fine = [_bits(h, FINE) if 4 * len(h) > PARITIES else np.zeros(0, np.int64) for h in labelled]
+        w, place = np.concatenate([w for _, w, _ in found]), np.concatenate([np.arange(size) for size in sizes])
+        lengths = np.minimum(place, BEFORE)
+        at = np.repeat(np.arange(len(w)) - lengths - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        recent = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(w[at].view(np.int64)))
+        ends = np.concatenate([[0], np.cumsum(np.repeat([len(b) for b in fine], sizes))])
+        finer = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.tile(b, size) for b, size in zip(fine, sizes, strict=True)])))
+        last = np.where(place > 0, np.roll(w, 1), np.uint64(0)).view(np.int64)
+        rest = np.concatenate([rest for _, _, rest in found])
+        own = texts.take(pa.array(np.repeat(np.arange(len(found)), sizes)))
+        return pa.RecordBatch.from_arrays([*own.columns, _lists(bits), finer, recent, pa.array(last), pa.array(rest, pa.int64()), pa.array(w.view(np.int64))], names=["t", "n", "root", "bits", "fine", "before", "last", "rest", "w"])
+
     def run(batches):
         part, known, count = None, [], []
-        for batch in (rows.slice(i, PART_TEXTS) for rows in batches for i in range(0, rows.num_rows, PART_TEXTS)):
-            found, at, bits, before, lengths = [], [], [], [], []
+        for batch in batches:
+            begin, found, size = 0, [], 0
             for i in range(batch.num_rows):
                 if batch.column("part")[i].as_py() != part:
                     part, known, count = batch.column("part")[i].as_py(), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
@@ -418,45 +476,40 @@ def _rare_words(texts: DataFrame) -> DataFrame:
                     w, c = np.frombuffer(data, np.uint64).reshape(2, -1)
                     known.append(w)
                     count.append(c)
-                    continue
-                if len(known) != 1:  # the first text after its part's words
-                    w, c = np.concatenate(known), np.concatenate(count)
-                    order = np.argsort(w)
-                    known, count = [w[order]], [c[order]]
-                h = _labelled(data)
-                c = np.ones(len(h), np.uint64)
-                if len(known[0]):
-                    place = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
-                    c = np.where(known[0][place] == h, count[0][place], c)
-                first = np.lexsort((h, c))[: len(h) // 5 + 1]
-                first = first[c[first] > 1]
-                found.append(h[first])
-                at.append(np.full(len(first), i))
-                bits.append(np.tile(_bits(h), len(first)))
-                place = np.arange(len(first))
-                lengths.append(np.minimum(place, BEFORE))
-                before.append(h[first][np.repeat(place - np.cumsum(lengths[-1]), lengths[-1]) + np.arange(lengths[-1].sum())])
-            if found:
-                own = batch.select(["t", "n", "root"]).take(pa.array(np.concatenate(at)))
-                ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-                recent = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(before).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*own.columns, _lists(bits), recent, pa.array(np.concatenate(found).view(np.int64))], names=["t", "n", "root", "bits", "before", "w"])
+                    found.append((b"", w[:0], w[:0].view(np.int64)))  # no row of a text
+                else:
+                    if len(known) != 1:  # the first text after its part's bigrams
+                        w, c = np.concatenate(known), np.concatenate(count)
+                        order = np.argsort(w)
+                        known, count = [w[order]], [c[order]]
+                    found.append((data, *rarest(data, known[0], count[0])))
+                size += len(found[-1][1])
+                if size >= BATCH_ROWS or i + 1 == batch.num_rows:
+                    yield table(batch.select(["t", "n", "root"]).slice(begin, i + 1 - begin), found)
+                    begin, found, size = i + 1, [], 0
 
     tagged = texts.mapInArrow(tag, "part long, bucket int, t binary, n long, root binary, data binary")
     none = {c: F.lit(None).cast(kind) for c, kind in (("t", "binary"), ("n", "long"), ("root", "binary"))}
     rows = tagged.unionByName(shared.withColumns(none)).repartition("part").sortWithinPartitions("part", "bucket")
-    return rows.mapInArrow(run, "t binary, n long, root binary, bits array<long>, before array<long>, w long")
+    return rows.mapInArrow(run, "t binary, n long, root binary, bits array<long>, fine array<long>, before array<long>, last long, rest long, w long")
 
 
 def _rare_pairs(hot: DataFrame, sequences: DataFrame, below: str) -> DataFrame:
     """All pairs (a, b, p, q) of the texts `hot` (t, n, root) that may be similar and are of different roots p and q. What is made on the way goes to `below`.
 
-    Similar texts of n words and more share all but n / 5 of their labelled words, so whatever the order of words, they have one in
-    common among the n // 5 + 1 first of each. The order is from words of few roots to those of
-    many, so a text with enough words of its own root alone meets nobody. A pair meets at the first word in common, and again only after a gap of over BEFORE words.
+    An edit changes at most two bigrams of a text, so similar texts of n words and more share all but 2 * (n / 5) + 1 of their labelled bigrams, and whatever the order of bigrams, they have one in
+    common among the 2 * (n // 5) + 2 first of each. The order is from bigrams of few roots to those of
+    many, so a text with enough bigrams of its own root alone meets nobody. A pair meets at the first bigram in common, and again only after a gap of over BEFORE bigrams.
     """
     texts = stored(sequences.join(hot, "t").select("t", "n", "root", "words"), below)
-    return _pairs_within(stored(_rare_words(texts), below), "w")
+    return _pairs_within(stored(_rare_bigrams(texts), below), "w")
+
+
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Each of `pairs` (a, b, p, q) once, without those of `tried` (a, b)."""
+    known = tried.select("a", "b", *[F.lit(None).cast("binary").alias(c) for c in "pq"], F.lit(True).alias("tried"))
+    met = pairs.withColumn("tried", F.lit(False)).unionByName(known).groupBy("a", "b").agg(F.max("p").alias("p"), F.max("q").alias("q"), F.max("tried").alias("tried"))
+    return met.where("not tried").drop("tried")
 
 
 def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFrame:
@@ -474,17 +527,14 @@ def _text_classes(docs: DataFrame, sketched: DataFrame, text_col: str) -> DataFr
     led = led.select(F.least("t", "lead.t").alias("a"), F.greatest("t", "lead.t").alias("b"))
     tried = stored(led.unionByName(_neighbours(members)).distinct(), below)
     sequences = stored(_sequences(docs, text_col, members.select("t").distinct()), below)
-    parities = stored(_parities(sequences), below)
-    roots = components(stored(_verified(_plausible(tried, parities), sequences), below))
+    roots = components(stored(_verified(tried, sequences), below))
     # Then all other pairs whose texts are not of one class by now.
     rooted = stored(merged(members, roots.withColumnRenamed("node", "t"), "t", "left").select("v", "t", "n", "m", F.coalesce("root", "t").alias("root")), below)
-    apart = _pairs_within(rooted.where(F.col("m") <= SMALL), "v")
+    apart = _plausible(_untried(_pairs_within(rooted.where(F.col("m") <= SMALL).drop("m"), "v"), tried), stored(_parities(sequences), below))
     hot, n_hot = counted(rooted.where(F.col("m") > SMALL).select("t", "n", "root").distinct(), below=below)
     if n_hot:
-        apart = apart.unionByName(_rare_pairs(hot, sequences, below))
-    known = tried.select("a", "b", *[F.lit(None).cast("binary").alias(c) for c in "pq"], F.lit(True).alias("tried"))
-    apart = apart.withColumn("tried", F.lit(False)).unionByName(known).groupBy("a", "b").agg(F.max("p").alias("p"), F.max("q").alias("q"), F.max("tried").alias("tried"))
-    apart, n_apart = counted(_plausible(apart.where("not tried").drop("tried"), parities), below=below)
+        apart = apart.unionByName(_untried(_rare_pairs(hot, sequences, below), tried)).distinct()
+    apart, n_apart = counted(apart, below=below)
     closures = [roots]
     if n_apart:
         closures.append(components(_verified(apart, sequences, ["p", "q"]).select(F.col("p").alias("a"), F.col("q").alias("b"))))
@@ -507,13 +557,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each row of `docs`: the id column and class_id, the lowest id of its class.
 
     Two different texts are linked if they agree in a band or a key of short texts and are at least THRESHOLD similar: 1 - edit distance / longer
-    length, in words; of texts that have a hot bucket also if they agree in a rare word. So no link is missed where the shorter text has up to SHORT words, or both have a hot bucket. Classes are the connected components of links and equal texts, so pairs that are
+    length, in words; of texts that have a hot bucket also if they agree in a rare bigram. So no link is missed where the shorter text has up to SHORT words, or both have a hot bucket. Classes are the connected components of links and equal texts, so pairs that are
     of one class already need no alignment. Texts without words have no links, but equal ones are one class; each
     row of null text is one for itself. Null ids count for nothing unless a class has no other; then its class_id is null. Repeated
     ids are rows of their own, and go by their texts. Other columns are not read; an empty table gives an empty one.
     Texts are first compared with neighbours in their buckets, and those of buckets of over SMALL texts with the bucket's first. Of texts that
     are of different classes after that, all that share a smaller bucket are compared, and all with a larger one that share a
-    rare word, which misses no link.
+    rare bigram, which misses no link.
     """
     others([], ("class_id",), (id_col,))
     with shuffles_removed(docs.sparkSession):

@@ -680,3 +680,15 @@ def test_near_dedup_leaves_no_shuffles(spark):
     assert sum(f.stat().st_size for d in set(shared.iterdir()) - files for f in d.rglob("*.parquet")) < 200_000 and not [d for d in set(shared.iterdir()) - files if d.name.startswith("corvane-near")]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
     assert {r.class_id for r in classes.collect()} == {0} == {r.class_id for r in classes.collect()}
+
+
+def test_near_dedup_long_texts_of_common_words_do_not_meet(spark):
+    """60 texts of 1,500 words share a passage and, out of order, half of all words, and one is a copy of another with 285 words changed: that pair is found, and hardly any of the other 1,770 is left to be compared."""
+    rng = np.random.default_rng(41)
+    texts = [[*(f"p{i}" for i in range(500)), *(f"v{x}" for x in rng.integers(0, 3000, 1000))] for _ in range(60)]
+    gone = set(rng.choice(1500, 285, replace=False).tolist())
+    texts.append([f"new{i}" if i in gone else w for i, w in enumerate(texts[7])])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()} == {**{i: i for i in range(60)}, 60: 7}
+    assert _joined_rows(spark, "w", since) <= 60
