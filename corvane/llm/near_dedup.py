@@ -413,11 +413,27 @@ def _shared_bigrams(pairs: DataFrame) -> DataFrame:
         w, _ = _distinct_pairs(*(np.concatenate([d.reshape(2, -1)[i] for _, _, d in rows]) for i in (0, 1)))
         known, count = np.unique(w, return_counts=True)
         known, count = known[count > 1], count[count > 1].astype(np.uint64)
+        if not len(known):
+            return
+        found, size = [], 0
         for part, bucket, d in rows:
-            own = np.intersect1d(d.reshape(2, -1)[0], known)
-            if len(own):
-                data = own.tobytes() + count[np.searchsorted(known, own)].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=["part", "bucket", "data"])
+            # Each bigram is looked up among the partition's, so the work is that of the row and not of the partition.
+            own = d.reshape(2, -1)[0]
+            own = own[np.r_[True, own[1:] != own[:-1]]]  # in order already
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            again = known[place] == own
+            if again.any():
+                found.append((part, bucket, own[again].tobytes() + count[place[again]].tobytes()))
+                size += len(found[-1][2])
+                if size >= W.SLICE_BYTES:
+                    yield batch_of(found)
+                    found, size = [], 0
+        if found:
+            yield batch_of(found)
+
+    def batch_of(found):
+        part, bucket, data = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(bucket, pa.int32()), pa.array(data, pa.binary())], names=["part", "bucket", "data"])
 
     return pairs.mapInArrow(run, "part long, bucket int, data binary")
 
